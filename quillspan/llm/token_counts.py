@@ -212,7 +212,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         n = lead[:, 3].copy()
         for data in pdf.loc[pdf.kind == 1, "data"]:
             x = np.frombuffer(data, "<i4") if len(data) % 4 == 0 else np.frombuffer(data[:-1], "<i8")
-            n[: len(x)] += x
+            n[: len(x)] += x[: len(n)]  # a task's sums of a short block end in zeros
         ids = pd.array(lead[:, 1], dtype="Int64")
         ids[lead[:, 0] == 0] = pd.NA
         return pd.DataFrame({"doc_id": ids, "n_bytes": lead[:, 2], "n_tokens": n, "over_limit": n > limit})
