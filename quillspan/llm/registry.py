@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, token_counts, wavelet
+from . import bpe, decontaminate, html_text, near_duplicates, pii, quality, secrets, token_counts, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
+    "op2_decontamination": decontaminate.query,
+    "op3_ngram_jaccard": near_duplicates.query,
+    "op4_html_text": html_text.query,
     "op5_wavelet_tokens": wavelet.query,
+    "op6_secrets": secrets.query,
     "op7_token_counts": token_counts.query,
+    "op8_quality": quality.query,
     "op9_byte_bpe": bpe.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL, "op8_quality": quality.SQL}
