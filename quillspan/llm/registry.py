@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, near_duplicates, pii, quality, secrets, token_counts, wavelet
+from . import bpe, decontaminate, html_text, near_duplicates, pii, quality, secrets, token_counts, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
@@ -18,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": token_counts.query,
     "op8_quality": quality.query,
     "op9_byte_bpe": bpe.query,
+    "op10_toxicity": toxicity.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL, "op8_quality": quality.SQL}
