@@ -281,7 +281,8 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> tuple[DataF
     placed = wanted.join(sizes, F.col("component") == F.col("c")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = staged(placed.select("component", "blocks", "block", "rep", "copies", "rep_doc", "rep_text"), "candidates")
     text = with_key(docs)
-    given = text.join(placed, (F.col("text_key") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep_doc"))).select("component", "blocks", "block", "rep", "copies", "text")
+    # The candidates grow with the corpus: texts meet them by a shuffle at every size, never by a broadcast.
+    given = text.join(placed.hint("merge"), (F.col("text_key") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep_doc"))).select("component", "blocks", "block", "rep", "copies", "text")
     payload = given.mapInArrow(describe, "component long, blocks int, block int, rep long, copies long, shingles binary, sig binary")
     dealt = payload.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
