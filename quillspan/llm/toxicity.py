@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
@@ -344,7 +344,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None) -> Mode
     return Model(kernel, weights, b, slope, shift, key)
 
 
-def held_out(doc_id) -> F.Column:
+def held_out(doc_id) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
