@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,17 +11,61 @@ from ..functions.lines import line_ends
 from ..operators import accounting, compose, errors, planhash, resolve, snapshot
 
 
-@dataclass
 class Plan:
-    """Lazy frames of one planning; nothing runs before one of them is read."""
+    """One planning of all batches of ``operations`` over ``files``. Its frames are lazy, and each is built when it is asked for.
 
-    operations: DataFrame  #: flat
-    files: DataFrame  #: indexed, of the paths that are asked for
-    resolved: DataFrame
-    events: DataFrame  #: of batches without a problem before composition
-    conflicts: DataFrame
-    recipe: DataFrame
-    outputs: DataFrame
+    ``files`` must be pinned (a written version): both passes of a commit have to read the same bytes.
+    """
+
+    def __init__(self, operations: DataFrame, files: DataFrame):
+        self.given, self.all_files = operations, files
+
+    @cached_property
+    def required(self) -> DataFrame:
+        return snapshot.requirements(self.given)
+
+    @cached_property
+    def operations(self) -> DataFrame:
+        return resolve.flat(self.given)
+
+    @cached_property
+    def used_files(self) -> DataFrame:
+        """The files that any operation names."""
+        asked = self.required.select(F.col("path").alias("asked")).distinct()
+        return self.all_files.join(asked, F.col("path") == F.col("asked"), "left_semi")
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return resolve.indexed(self.used_files, line_ends("bytes"))
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return resolve.resolve(self.operations, self.files)
+
+    @cached_property
+    def conflicts(self) -> DataFrame:
+        every = resolve.edit_events(self.resolved)
+        overlaps = compose.overlapping_deletions(every).select("batch_id", "path", "operation_index", F.lit(0).alias("rank"), F.lit("OVERLAPPING_DELETIONS").alias("problem"))
+        inside = compose.insertions_in_deletions(every).select("batch_id", "path", "operation_index", F.lit(1).alias("rank"), F.lit("INSERTION_IN_DELETION").alias("problem"))
+        return overlaps.union(inside)
+
+    @cached_property
+    def good(self) -> DataFrame:
+        """Resolved operations of the batches without any problem so far."""
+        bad = self.conflicts.select("batch_id").union(self.resolved.filter("problem is not null").select("batch_id")).distinct()
+        return self.resolved.join(bad, "batch_id", "left_anti")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return resolve.edit_events(self.good)
+
+    @cached_property
+    def recipe(self) -> DataFrame:
+        return compose.segments(self.events, self.good, self.files.select("path", "byte_length"))
+
+    @cached_property
+    def outputs(self) -> DataFrame:
+        return compose.outputs(self.recipe, self.events, self.files)
 
     def usage(self) -> DataFrame:
         return accounting.usage(self.resolved, self.outputs, self.recipe)
@@ -29,37 +73,17 @@ class Plan:
     def problems(self) -> DataFrame:
         """The first problem of each batch that has one."""
         pre = errors.problems(resolve.precondition_conflicts(self.required), "precondition", "PRECONDITION_CONFLICT", "''", "operation_index * 2 + role")
-        ops = errors.problems(self.resolved.filter(F.col("problem").isNotNull()), "operation", None, "''", "operation_index")
+        ops = errors.problems(self.resolved.filter("problem is not null"), "operation", None, "''", "operation_index")
         outs = errors.problems(self.conflicts, "output", None, "path", "rank")
         used = errors.problems(accounting.limit_violations(self.usage()), "budget", "RESOURCE_LIMIT_EXCEEDED")
         return errors.first_problem(pre, ops, outs, used)
 
-    required: DataFrame | None = None
-
     def digests(self, domain: bytes = b"") -> DataFrame:
         asked = self.required.select("batch_id", F.col("path").alias("r_path")).distinct()
-        known = self.files_with_identity.withColumnRenamed("path", "f_path")
+        known = self.used_files.withColumnRenamed("path", "f_path")
         inputs = asked.join(known, F.col("r_path") == F.col("f_path"), "left").select("batch_id", F.col("r_path").alias("path"), F.coalesce("existed", F.lit(False)).alias("existed"), F.length("bytes").cast("long").alias("byte_length"), "sha256", "device", "inode", "parent_device", "parent_inode")
         return planhash.plan_digests(inputs, self.operations, self.resolved, self.outputs, self.recipe, domain=domain)
 
-    files_with_identity: DataFrame | None = None
-
 
 def plan(operations: DataFrame, files: DataFrame) -> Plan:
-    """Plan all batches of ``operations`` over ``files`` (pinned: both passes of a commit must read the same bytes)."""
-    required = snapshot.requirements(operations)
-    ops = resolve.flat(operations)
-    asked = required.select(F.col("path").alias("asked")).distinct()
-    used = files.join(asked, F.col("path") == F.col("asked"), "left_semi")
-    known = resolve.indexed(used, line_ends("bytes"))
-    done = resolve.resolve(ops, known)
-    every = resolve.edit_events(done)
-    overlaps = compose.overlapping_deletions(every).withColumn("rank", F.lit(0)).withColumn("problem", F.lit("OVERLAPPING_DELETIONS"))
-    inside = compose.insertions_in_deletions(every).drop("offset").withColumn("rank", F.lit(1)).withColumn("problem", F.lit("INSERTION_IN_DELETION"))
-    conflicts = overlaps.unionByName(inside)
-    bad = conflicts.select("batch_id").union(done.filter(F.col("problem").isNotNull()).select("batch_id")).distinct()
-    good = done.join(bad, "batch_id", "left_anti")
-    events = resolve.edit_events(good)
-    recipe = compose.segments(events, good, known.select("path", "byte_length"))
-    made = compose.outputs(recipe, events, known)
-    return Plan(ops, known, done, events, conflicts, recipe, made, required, used)
+    return Plan(operations, files)
