@@ -46,7 +46,7 @@ def test_quality_against_sql(spark):
 
 
 def test_quality_odd_rows_and_boilerplate(spark, odd):
-    frame = odd.select("doc_id", "text", "source").toPandas()
+    frame = odd.select("doc_id", "text", "source").toArrow()
     same(quality.judge(odd).drop("words_left"), quality.SQL, documents=frame)
     own = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
     passage = " ".join(f"p{j}" for j in range(80))
