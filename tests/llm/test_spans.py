@@ -96,8 +96,8 @@ PAGE = '<html><head><title>t</title><script>var x="</p>";</script></head><body><
 
 
 def test_blocks():
-    page = PAGE.format('<article><header><h1>Head &amp; line</h1></header><p>one  two<br>three<p><b>four</b> five<p class="note">six <span class="ad">no</span></article><div id="comments"><p>reader</p></div>')
-    assert html_text.main_text(html_text.blocks_of(page), set()) == "Head & line\none two three\nfour five\nsix"
+    page = PAGE.format('<article><header><h1>Head &amp; line</h1></header><p>one  two<br>three<p><b>four</b> five<p class="note">six <span class="ad">no</span><p class="notice">away<p>seven</article><div id="comments"><p>reader</p></div>')
+    assert html_text.main_text(html_text.blocks_of(page), set()) == "Head & line\none two three\nfour five\nsix\nseven"
     assert html_text.blocks_of("") == [] and html_text.blocks_of("<p>a<!-- x") == [("a", False)]
 
 
