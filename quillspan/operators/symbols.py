@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,8 +22,11 @@ RANGE = "struct<start_line:int,start_character:int,end_line:int,end_character:in
 FLAT = f"path string, ordinal long, depth int, name string, detail string, kind_number int, kind string, symbol_path array<string>, lsp_range {RANGE}, lsp_selection_range {RANGE}, start long, end long, selection_start long, selection_end long, problem string"
 
 
+PIECES = re.compile(rb"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
+
+
 class Refused(Exception):
-    pass
+    """A response that gives no symbols; its message is the problem."""
 
 
 def _range(node: dict, name: str, lines: list[tuple[int, bytes]], encoding: str) -> tuple[tuple, int, int]:
@@ -46,7 +50,7 @@ def _range(node: dict, name: str, lines: list[tuple[int, bytes]], encoding: str)
 
 def _lines(text: bytes) -> list[tuple[int, bytes]]:
     out, at = [], 0
-    for piece in text.splitlines(keepends=True) if False else _pieces(text):
+    for piece in PIECES.findall(text):
         out.append((at, piece.rstrip(b"\r\n")))
         at += len(piece)
     if not out or text[-1:] in (b"\n", b"\r"):
@@ -54,12 +58,6 @@ def _lines(text: bytes) -> list[tuple[int, bytes]]:
     return out
 
 
-def _pieces(text: bytes) -> list[bytes]:
-    import re
-
-    return re.findall(rb"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+", text)
-
-
 def flatten_one(path: str, text: bytes, encoding: str, symbols: str | None, limits: dict[str, int]) -> list[tuple]:
     """The rows of one response; a response that is refused gives one row with its problem."""
     try:

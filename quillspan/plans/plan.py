@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import line_ends
 from ..operators import accounting, compose, errors, planhash, resolve, snapshot
+from ..staging import staged
 
 
 class Plan:
-    """One planning of all batches of ``operations`` over ``files``. Its frames are lazy, and each is built when it is asked for.
+    """One planning of all batches of ``operations`` over ``files``. Each frame is built when it is asked for.
 
     ``files`` must be pinned (a written version): both passes of a commit have to read the same bytes.
     """
@@ -40,7 +41,8 @@ class Plan:
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return resolve.resolve(self.operations, self.files)
+        """Resolved operations, written down: everything after reads these few columns many times, and none of the bytes again."""
+        return staged(resolve.resolve(self.operations, self.files), "resolved")
 
     @cached_property
     def conflicts(self) -> DataFrame:
@@ -53,7 +55,7 @@ class Plan:
     def good(self) -> DataFrame:
         """Resolved operations of the batches without any problem so far."""
         bad = self.conflicts.select("batch_id").union(self.resolved.filter("problem is not null").select("batch_id")).distinct()
-        return self.resolved.join(bad, "batch_id", "left_anti")
+        return staged(self.resolved.join(bad, "batch_id", "left_anti"), "good")
 
     @cached_property
     def events(self) -> DataFrame:
@@ -61,7 +63,8 @@ class Plan:
 
     @cached_property
     def recipe(self) -> DataFrame:
-        return compose.segments(self.events, self.good, self.files.select("path", "byte_length"))
+        """The segments of all outputs, written down for the same reason."""
+        return staged(compose.segments(self.events, self.good, self.files.select("path", "byte_length")), "recipe")
 
     @cached_property
     def outputs(self) -> DataFrame:
