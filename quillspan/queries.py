@@ -274,7 +274,7 @@ def samples_base64(spark, sf_dir):
     return T.files(spark, sf_dir).select("path", S.head_sample("bytes").alias("head"), S.tail_sample("bytes").alias("tail"))
 
 
-@query(f"""{UP_TO_O} SELECT batch_id, sum(after_length + before_length) AS disk_bytes, sum(after_length + before_length) > 3221225472 AS exceeded FROM out WHERE change_kind <> 'unchanged' GROUP BY 1""")
+@query(f"""{UP_TO_O} SELECT batch_id, CAST(sum(after_length + before_length) AS BIGINT) AS disk_bytes, sum(after_length + before_length) > 3221225472 AS exceeded FROM out WHERE change_kind <> 'unchanged' GROUP BY 1""")
 def projected_disk(spark, sf_dir):
     return accounting.projected_disk(_plan(spark, sf_dir).outputs)
 
