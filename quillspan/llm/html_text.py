@@ -1,13 +1,14 @@
 """Operator 4, main text of web pages by nearest-URL page differencing.
 
-Pages are put in order of host, URL path and id, dealt out by range so that a large host spreads over many tasks. Walking
-along that order, a page's nearest neighbour is the page beside it. Each page is read into blocks of text with what is known
-of their place (menus, footers, adverts and the like by element, class or role; the article by its element). The blocks of
-the two pages are aligned by longest common subsequence, and a shared block is template text: it goes, unless it stands
-inside the page's own article element. Neighbours that are copies of each other (nearly all blocks shared) say nothing
-about a template, so the comparison goes on to the nearest page that differs.
+Each page is read into blocks of text with what is known of their place (menus, footers, adverts and the like by element,
+class or role; the article by its element). Of every page a small outline (block hashes, a sketch of each block's words) is put
+in order of host, URL path and id, dealt out by range so that a large host spreads over many tasks. A page's neighbours are
+the nearest pages of its host in that order that are no copies of it; each part of the order hands its outermost distinct pages
+to the parts beside it, so a part's edge hides no neighbour. The blocks of a page and its neighbour are aligned by longest
+common subsequence, and a shared block is template text. What goes is joined back to the pages by a key.
 
-Only one neighbour and the pages that still wait for one are held; a page with an article element waits for none.
+Copies are told by what two pages do not share: where that says the same, or one page has nothing of its own, shared blocks are
+no template. A run of copies is held as one page, however long it is.
 
 Defined cases: a null or empty page has an empty text; malformed and unclosed markup is read to the end of the page; repeated
 rows each get their row; a null URL is a host of its own; other columns are ignored; an empty table gives no rows.
@@ -15,17 +16,21 @@ rows each get their row; a null URL is a host of its own; other columns are igno
 
 from __future__ import annotations
 
+import hashlib
 import html
+import pickle
 import re
+import zlib
+from array import array
 from bisect import bisect_left
-from collections.abc import Iterator
-from urllib.parse import urlsplit
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import staged, table
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:@-][\w:.@-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.S)
@@ -42,7 +47,9 @@ NOISE = frozenset("ad ads advert adverts advertisement advertising adsense spons
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-TASK_PAGES = 200  #: pages that a task has at least, but for skewed keys
+TASK_PAGES, MOST_PAGES = 200, 20_000  #: pages that a task has at least and, where there are many, about at most
+NEIGHBOURS = 4  #: distinct pages to each side that a page is held against
+SKETCH = 16  #: hashes kept of a block's words
 
 Block = tuple[str, bool]  #: text, and whether it stands inside the page's article
 
@@ -147,100 +154,187 @@ def common_lines(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
     return left[::-1], right[::-1]
 
 
-def are_copies(a: list[str], b: list[str], shared: list[int]) -> bool:
-    """Whether the shared lines are most of both pages: then they are no template."""
-    size = sum(map(len, a)), sum(map(len, b))
-    both = sum(len(a[i]) for i in shared)
-    return both >= 0.5 * max(size)
+def shared_places(a: list[int], b: list[int]) -> list[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``; equal beginnings and ends need no search."""
+    n = min(len(a), len(b))
+    head = next((k for k in range(n) if a[k] != b[k]), n)
+    tail = next((k for k in range(n - head) if a[-1 - k] != b[-1 - k]), n - head)
+    found, _ = common_lines(a[head : len(a) - tail], b[head : len(b) - tail])
+    return [*range(head), *(head + k for k in found), *range(len(a) - tail, len(a))]
+
+
+class Page:
+    """What neighbours are told by: the hash of every block, whether it stands in the article, and a sketch of its words."""
+
+    def __init__(self, key: int, marks: list[int], inside: list[bool], sketches: list[bytes]):
+        self.key, self.marks, self.inside, self.sketches = key, marks, inside, sketches
+
+    def rest(self, shared: list[int]) -> set[int]:
+        gone = set(shared)
+        return {x for k, s in enumerate(self.sketches) if k not in gone for x in array("I", s)}
+
+
+def mark(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def sketch(text: str) -> bytes:
+    """The least ``SKETCH`` hashes of the block's runs of three words."""
+    words = text.split(" ")
+    runs = {zlib.crc32(" ".join(words[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - 2))}
+    return array("I", sorted(runs)[:SKETCH]).tobytes()
+
+
+def are_copies(a: Page, b: Page) -> bool:
+    """Whether the blocks that two pages do not share say the same, or one has none: then shared blocks are no template.
+
+    How much they share says nothing: a short article under a large template shares most of its page.
+    """
+    if a.marks == b.marks:
+        return True
+    left, right = a.rest(shared_places(a.marks, b.marks)), b.rest(shared_places(b.marks, a.marks))
+    return not left or not right or 2 * len(left & right) >= max(len(left), len(right))
+
+
+def passed(recent: list[Page], page: Page) -> list[Page]:
+    """The last distinct pages, the last one at the end, once ``page`` is passed; one stands for all copies of it."""
+    if not page.marks:
+        return recent
+    return [r for r in recent if not are_copies(r, page)][-NEIGHBOURS:] + [page]
+
+
+def sides(pages: list[Page], before: list[Page], after: list[Page]) -> Iterator[tuple[Page, list[Page], list[Page]]]:
+    """Every page of a host with its nearest distinct pages to both sides, the nearest first."""
+
+    def walk(run: Iterable[Page], recent: list[Page]) -> list[list[Page]]:
+        out = []
+        for page in run:
+            recent = passed(recent, page)
+            out.append(recent[-2::-1] if page.marks else [])
+        return out
+
+    yield from zip(pages, walk(pages, before), reversed(walk(reversed(pages), after)))
+
+
+def template(page: Page, back: list[Page], ahead: list[Page]) -> list[int]:
+    """Places of the page's blocks that are template text."""
+    near = (back[:1] or ahead[:1])[:1]
+    if any(page.inside) or not near:
+        return []
+    return shared_places(page.marks, near[0].marks)
 
 
 def main_text(blocks: list[Block], shared: set[int]) -> str:
-    """The article's blocks where the page has an article, else every block that is not shared with its neighbour."""
-    if any(inside for _, inside in blocks):
-        return "\n".join(text for text, inside in blocks if inside)
-    return "\n".join(text for k, (text, _) in enumerate(blocks) if k not in shared)
-
-
-class Walk:
-    """Takes the pages of one task in order and gives each its text once its neighbour is known."""
-
-    def __init__(self, patience: int = 500):
-        self.host: str | None = None
-        self.last: list[str] | None = None
-        self.waiting: list[tuple] = []
-        self.patience = patience  #: pages of a host that wait for one that is no copy of them; then the first goes as it is
-
-    def take(self, key: tuple, host: str, blocks: list[Block]) -> Iterator[tuple]:
-        if host != self.host:
-            yield from self.end()
-            self.host, self.last = host, None
-        lines = [t for t, _ in blocks]
-        still = []
-        for old_key, old_blocks in self.waiting:
-            old = [t for t, _ in old_blocks]
-            shared, _ = common_lines(old, lines)
-            if are_copies(old, lines, shared):
-                still.append((old_key, old_blocks))
-            else:
-                yield (*old_key, main_text(old_blocks, set(shared)))
-        self.waiting = still
-        shared = None
-        if self.last is not None:
-            found, _ = common_lines(lines, self.last)
-            if not are_copies(lines, self.last, found):
-                shared = set(found)
-        if shared is not None or any(inside for _, inside in blocks):
-            yield (*key, main_text(blocks, shared or set()))
-        else:
-            self.waiting.append((key, blocks))
-            if len(self.waiting) > self.patience:
-                old_key, old_blocks = self.waiting.pop(0)
-                yield (*old_key, main_text(old_blocks, set()))
-        if self.last is None or shared is not None:
-            self.last = lines
-
-    def end(self) -> Iterator[tuple]:
-        for key, blocks in self.waiting:
-            yield (*key, main_text(blocks, set()))
-        self.waiting = []
-
-
-def place(url: str | None) -> tuple[str, str]:
-    try:
-        parts = urlsplit(url or "")
-        return (parts.hostname or ""), parts.path
-    except ValueError:
-        return "", url or ""
+    """The article's blocks where the page has an article, else every block; those that are template text go."""
+    article = any(inside for _, inside in blocks)
+    return "\n".join(text for k, (text, inside) in enumerate(blocks) if k not in shared and (inside or not article))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` of every page."""
+def batches_of(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*(b.column(c).to_pylist() for c in names))
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        walk = Walk()
 
-        def give(rows: list[tuple]) -> pa.RecordBatch:
-            ids, urls, found = (list(c) for c in zip(*rows))
-            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+def outlines(pages: DataFrame) -> DataFrame:
+    """``key, host, path, page_id, marks, inside, sketches`` of every page."""
 
+    def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for page_id, url, page in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                rows += walk.take((page_id, url), place(url)[0], blocks_of(page))
-            if rows:
-                yield give(rows)
-        if rows := list(walk.end()):
-            yield give(rows)
-
+            found = [blocks_of(page) for page in b.column("html").to_pylist()]
+            yield pa.record_batch(
+                [
+                    *(b.column(c) for c in ("key", "host", "path", "page_id")),
+                    pa.array([[mark(t) for t, _ in x] for x in found], pa.list_(pa.int64())),
+                    pa.array([[i for _, i in x] for x in found], pa.list_(pa.bool_())),
+                    pa.array([[sketch(t) for t, _ in x] for x in found], pa.list_(pa.binary())),
+                ],
+                names=["key", "host", "path", "page_id", "marks", "inside", "sketches"],
+            )
+
+    return pages.mapInArrow(run, "key long, host string, path string, page_id long, marks array<long>, inside array<boolean>, sketches array<binary>")
+
+
+def parts_of(batches) -> Iterator[tuple[int, list[tuple[str, list[Page]]]]]:
+    """Each part of the order with its hosts' pages; rows come sorted."""
+    part, hosts = None, []
+    for b in batches:
+        for n, host, *page in batches_of(b, "part", "host", "key", "marks", "inside", "sketches"):
+            if n != part:
+                if hosts:
+                    yield part, hosts
+                part, hosts = n, []
+            if not hosts or hosts[-1][0] != host:
+                hosts.append((host, []))
+            hosts[-1][1].append(Page(*page))
+    if hosts:
+        yield part, hosts
+
+
+def ends(batches) -> Iterator[pa.RecordBatch]:
+    """Of each part its first and last host, and the distinct pages that the parts beside it look at."""
+    for part, hosts in parts_of(batches):
+        (first, begin), (last, end) = hosts[0], hosts[-1]
+        head: list[Page] = reduce(passed, reversed(begin), [])
+        tail: list[Page] = reduce(passed, end, [])
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([pickle.dumps((len(hosts) == 1, first, last, head, tail))], pa.binary())], names=["part", "ends"])
+
+
+def carried(known: list[tuple[int, bytes]]) -> dict[int, tuple[list[Page], list[Page]]]:
+    """For each part the distinct pages of its first host before it, and of its last host behind it."""
+    parts = [(part, *pickle.loads(e)) for part, e in sorted(known)]
+    before, after = {}, {}
+    host, recent = None, []
+    for part, single, first, last, _, tail in parts:
+        before[part] = recent if host == first else []
+        host, recent = last, reduce(passed, tail, before[part] if single else [])
+    host, recent = None, []
+    for part, single, first, last, head, _ in reversed(parts):
+        after[part] = recent if host == last else []
+        host, recent = first, reduce(passed, head, after[part] if single else [])
+    return {part: (before[part], after[part]) for part in before}
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """``t_key`` and ``places`` of the pages that have template text."""
     spark = pages.sparkSession
-    # A page's neighbour is looked for inside its task; with this many pages a task, hardly one stands alone at its edge.
     most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = max(1, min(most, pages.count() // TASK_PAGES))
-    host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:/]*:?//([^/?#]*)", 1)
-    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:/]*:?//[^/?#]*([^?#]*)", 1)
-    given = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.lower(host).alias("host"), path.alias("path"))
-    dealt = given.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return dealt.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    n = pages.count()
+    parts = max(1, min(most, n // TASK_PAGES), n // MOST_PAGES)
+    order = ("host", "path", "page_id", "key")
+    known = staged(outlines(pages).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "outlines")
+    dealt = known.repartition(parts, "part").sortWithinPartitions("part", *order)
+    beside = carried([(r["part"], bytes(r["ends"])) for r in dealt.mapInArrow(ends, "part int, ends binary").collect()])
+    sent = spark.sparkContext.broadcast(pickle.dumps(beside))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        beside = pickle.loads(sent.value)
+        for part, hosts in parts_of(batches):
+            before, after = beside[part]
+            keys, places = [], []
+            for k, (_, own) in enumerate(hosts):
+                for page, back, ahead in sides(own, before if k == 0 else [], after if k == len(hosts) - 1 else []):
+                    if gone := template(page, back, ahead):
+                        keys.append(page.key)
+                        places.append(gone)
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["t_key", "places"])
+
+    # Repeated rows have the same neighbours, and one entry.
+    return dealt.mapInArrow(run, "t_key long, places array<int>").dropDuplicates(["t_key"])
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """``page_id, url, text, n_chars`` of every page."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [main_text(blocks_of(page), set(gone or ())) for page, gone in batches_of(b, "html", "places")]
+            yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    url = F.coalesce("url", F.lit(""))
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[^:/]*:?//([^/?#]*)", 1)), r"^.*@|:[0-9]*$", "")
+    path = F.regexp_extract(url, r"^[^:/]*:?//[^/?#]*([^?#]*)", 1)
+    given = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).select("*", host.alias("host"), path.alias("path"), F.xxhash64("page_id", "url", "html").alias("key"))
+    found = given.join(templates(given), F.col("key") == F.col("t_key"), "left")
+    return found.select("page_id", "url", "html", "places").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,3 +121,23 @@ def test_common_lines_is_longest():
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         left, right = html_text.common_lines(a, b)
         assert len(left) == best[-1][-1] and [a[i] for i in left] == [b[j] for j in right]
+
+
+def template_pages(spark, stories, wrap="{}"):
+    menu = "".join(f"<div>Template line {k} of a long untagged menu on every page</div>" for k in range(8))
+    rows = [(k, f"http://h.org/a/{k:05}", f"<body>{menu}{wrap.format(f'<div>{s}</div>')}</body>") for k, s in enumerate(stories)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_short_articles_under_a_large_template(spark):
+    stories = [" ".join(f"s{k}w{j}" for j in range(5)) for k in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(template_pages(spark, stories)).collect()}
+    assert got == dict(enumerate(stories))
+
+
+def test_long_runs_of_copies_and_edges_of_parts_hide_no_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "TASK_PAGES", 100)
+    many, other = " ".join(f"copy{j}" for j in range(12)), " ".join(f"other{j}" for j in range(12))
+    stories = [many] * 700 + [other]
+    got = {r.page_id: r.text for r in html_text.extract(template_pages(spark, stories)).collect()}
+    assert got == dict(enumerate(stories))
