@@ -5,7 +5,8 @@ class or role; the article by its element). Of every page a small outline (block
 in order of host, URL path and id, dealt out by range so that a large host spreads over many tasks. A page's neighbours are
 the nearest pages of its host in that order that are no copies of it; each part of the order hands its outermost distinct pages
 to the parts beside it, so a part's edge hides no neighbour. The blocks of a page and its neighbour are aligned by longest
-common subsequence, and a shared block is template text. What goes is joined back to the pages by a key.
+common subsequence, and a shared block is template text; inside an article element, only a block that several neighbours
+share is. What goes is joined back to the pages by a key.
 
 Copies are told by what two pages do not share: where that says the same, or one page has nothing of its own, shared blocks are
 no template. A run of copies is held as one page, however long it is.
@@ -22,7 +23,7 @@ import pickle
 import re
 import zlib
 from array import array
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -49,6 +50,9 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 
 TASK_PAGES, MOST_PAGES = 200, 20_000  #: pages that a task has at least and, where there are many, about at most
 NEIGHBOURS = 4  #: distinct pages to each side that a page is held against
+SEVERAL = 3  #: distinct neighbours that must share a block of an article before it is template text
+SAMPLE = 50  #: places sampled for each part of the order
+BROADCAST_ROWS = 100_000  #: pages with template text up to which what goes is sent to every executor; beyond, pages are shuffled
 SKETCH = 16  #: hashes kept of a block's words
 
 Block = tuple[str, bool]  #: text, and whether it stands inside the page's article
@@ -217,11 +221,24 @@ def sides(pages: list[Page], before: list[Page], after: list[Page]) -> Iterator[
 
 
 def template(page: Page, back: list[Page], ahead: list[Page]) -> list[int]:
-    """Places of the page's blocks that are template text."""
-    near = (back[:1] or ahead[:1])[:1]
-    if any(page.inside) or not near:
+    """Places of the page's blocks that are template text.
+
+    Outside an article one neighbour tells. Inside, a passage may well stand on two pages (a licence, a quotation), so there
+    a block is template only if ``SEVERAL`` neighbours or more were looked at and all of them share it.
+    """
+    if not any(page.inside):
+        near = back[:1] or ahead[:1]
+        return shared_places(page.marks, near[0].marks) if near else []
+    near = sorted([*enumerate(back), *enumerate(ahead)], key=lambda x: x[0])[:NEIGHBOURS]
+    if len(near) < SEVERAL:
         return []
-    return shared_places(page.marks, near[0].marks)
+    gone = {k for k, inside in enumerate(page.inside) if inside}
+    kept = len(gone)
+    for _, other in near:
+        gone.intersection_update(shared_places(page.marks, other.marks))
+        if not gone:
+            return []
+    return sorted(gone) if len(gone) < kept else []
 
 
 def main_text(blocks: list[Block], shared: set[int]) -> str:
@@ -234,23 +251,35 @@ def batches_of(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(b.column(c).to_pylist() for c in names))
 
 
-def outlines(pages: DataFrame) -> DataFrame:
-    """``key, host, path, page_id, marks, inside, sketches`` of every page."""
+def place(host: str, path: str, page_id: int | None) -> tuple:
+    return host, path, page_id is not None, page_id or 0
+
+
+def bounds(pages: DataFrame, parts: int, n: int) -> list[tuple]:
+    """Where each part of the order but the first begins, from a sample of the pages' places (the pages themselves are not read)."""
+    places = pages.select("host", "path", "page_id")
+    some = sorted(place(*r) for r in (places if n <= parts * SAMPLE else places.sample(parts * SAMPLE / n, seed=1)).collect()) if parts > 1 else []
+    return [some[k * len(some) // parts] for k in range(1, parts)] if some else []
+
+
+def outlines(pages: DataFrame, starts: list[tuple]) -> DataFrame:
+    """``part, key, host, path, page_id, marks, inside, sketches`` of every page."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [blocks_of(page) for page in b.column("html").to_pylist()]
             yield pa.record_batch(
                 [
+                    pa.array([bisect_right(starts, place(*p)) for p in batches_of(b, "host", "path", "page_id")], pa.int32()),
                     *(b.column(c) for c in ("key", "host", "path", "page_id")),
                     pa.array([[mark(t) for t, _ in x] for x in found], pa.list_(pa.int64())),
                     pa.array([[i for _, i in x] for x in found], pa.list_(pa.bool_())),
                     pa.array([[sketch(t) for t, _ in x] for x in found], pa.list_(pa.binary())),
                 ],
-                names=["key", "host", "path", "page_id", "marks", "inside", "sketches"],
+                names=["part", "key", "host", "path", "page_id", "marks", "inside", "sketches"],
             )
 
-    return pages.mapInArrow(run, "key long, host string, path string, page_id long, marks array<long>, inside array<boolean>, sketches array<binary>")
+    return pages.mapInArrow(run, "part int, key long, host string, path string, page_id long, marks array<long>, inside array<boolean>, sketches array<binary>")
 
 
 def parts_of(batches) -> Iterator[tuple[int, list[tuple[str, list[Page]]]]]:
@@ -299,9 +328,8 @@ def templates(pages: DataFrame) -> DataFrame:
     most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = pages.count()
     parts = max(1, min(most, n // TASK_PAGES), n // MOST_PAGES)
-    order = ("host", "path", "page_id", "key")
-    known = staged(outlines(pages).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "outlines")
-    dealt = known.repartition(parts, "part").sortWithinPartitions("part", *order)
+    known = staged(outlines(pages, bounds(pages, parts, n)), "outlines")
+    dealt = known.repartition(parts, "part").sortWithinPartitions("part", "host", "path", "page_id", "key")
     beside = carried([(r["part"], bytes(r["ends"])) for r in dealt.mapInArrow(ends, "part int, ends binary").collect()])
     sent = spark.sparkContext.broadcast(pickle.dumps(beside))
 
@@ -333,7 +361,10 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[^:/]*:?//([^/?#]*)", 1)), r"^.*@|:[0-9]*$", "")
     path = F.regexp_extract(url, r"^[^:/]*:?//[^/?#]*([^?#]*)", 1)
     given = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).select("*", host.alias("host"), path.alias("path"), F.xxhash64("page_id", "url", "html").alias("key"))
-    found = given.join(templates(given), F.col("key") == F.col("t_key"), "left")
+    gone = staged(templates(given), "templates")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    found = given.join(gone, F.col("key") == F.col("t_key"), "left")
     return found.select("page_id", "url", "html", "places").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

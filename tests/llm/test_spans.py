@@ -141,3 +141,9 @@ def test_long_runs_of_copies_and_edges_of_parts_hide_no_neighbour(spark, monkeyp
     stories = [many] * 700 + [other]
     got = {r.page_id: r.text for r in html_text.extract(template_pages(spark, stories)).collect()}
     assert got == dict(enumerate(stories))
+
+
+def test_template_lines_inside_an_article_go_and_passages_stay(spark):
+    stories = [" ".join(f"s{k}w{j}" for j in range(20)) + ("</div><div>Released under the MIT License." if k in (2, 3) else "") for k in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract(template_pages(spark, stories, "<article><p>Tell your friends about this story</p>{}</article>")).collect()}
+    assert got == {k: s.replace("</div><div>", "\n") for k, s in enumerate(stories)}
