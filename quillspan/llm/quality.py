@@ -24,7 +24,6 @@ SALTS = 16
 MIN_WORDS = 25  #: words that must be left
 MAX_DOCS = 20  #: documents of one host that may hold a line
 MIN_SHARE = 0.3  #: of a document's words that must be left
-LONG_LINE_WORDS = 4  #: shorter lines (headings, single words) are no evidence
 
 
 def spaced_words(text: Column) -> Column:
@@ -85,7 +84,7 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
 
 def frequent_lines(known: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """``host``, ``line`` and ``docs`` of the lines that more than ``max_docs`` documents of a host hold."""
-    lines = F.array_distinct(F.transform(F.filter("lines", lambda x: x["words"] >= LONG_LINE_WORDS), lambda x: x["line"]))
+    lines = F.array_distinct(F.transform("lines", lambda x: x["line"]))
     each = known.select(F.coalesce("host", F.lit("\0")).alias("host"), F.explode(lines).alias("line"))
     return each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > max_docs)
 

@@ -55,6 +55,14 @@ def test_quality_odd_rows_and_boilerplate(spark, odd):
     assert not any(kept[k] for k in range(30)) and all(kept[100 + k] for k in range(5)) and kept[200]
 
 
+def test_short_lines_are_boilerplate_too(spark):
+    menu = "\n".join(f"Menu entry {'abcdefghijklmnopqrst'[k]}" for k in range(20))
+    own = " ".join(f"own{j}" for j in range(60))
+    df = spark.createDataFrame([(k, menu, "h") for k in range(30)] + [(50, own + "\nMenu entry a", "h"), (51, menu, "other")], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.words_left, r.kept) for r in quality.judge(df).collect()}
+    assert all(got[k] == (0, False) for k in range(30)) and got[50] == (60, True) and got[51] == (60, True)
+
+
 def brute(rows):
     shingler = near_duplicates.Shingler()
     sets = [set(shingler(t or "").tolist()) for _, t in rows]
