@@ -4,7 +4,7 @@ The base detectors run over the text as it is. Beside them, transducers rewrite
 that they put out, the source range it came from:
 
 1. homoglyphs: look-alike letters, digits, points and at signs of other scripts become ASCII, invisible characters go;
-2. separators: "(at)", " at ", "[dot]", " dot " and their like become "@" and ".";
+2. separators: "(at)", " at ", "[dot]", " dot " and their like become "@" and ".", in addresses and between numerals;
 3. spelled digits: runs of digit words ("plus", "double" and "dot" among them) become digits.
 
 The same detectors run over what the transducers put out; a find that covers at least one rewritten character is mapped
@@ -134,15 +134,18 @@ def plain_looks(tape: Tape) -> Tape:
     return tape.rewrite([(m.start(), m.end(), PLAIN[m.group()]) for m in there.finditer(tape.text)])
 
 
-# Endings that a spoken address is believed with.
+# Endings that a spoken address is believed with; one with both separators in brackets may have any.
 ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|tv|test|example|invalid|local|uk|us|ca|au|de|fr|es|it|nl|eu|ch|at|be|se|no|dk|fi|pl|pt|ru|jp|cn|in|br|mx|ie|nz"
-STRONG_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|[-_](?:dot)[-_])"
+BRACKET_DOT = r"\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*"
+STRONG_DOT = rf"(?:{BRACKET_DOT}|\s+(?:dot|punkt|punto|point)\s+|[-_](?:dot)[-_])"
 DOT = rf"(?:{STRONG_DOT}|\.|\x20\.\x20)"
 LABEL = r"[a-z0-9](?:[a-z0-9]|-(?!dot-|at-))*"
 HOST = re.compile(rf"{LABEL}(?:{DOT}{LABEL})*{DOT}(?:{ENDINGS})(?![a-z0-9@-])", re.I | re.A)
+ANY_HOST = re.compile(rf"{LABEL}(?:(?:{BRACKET_DOT}|\.){LABEL})*{BRACKET_DOT}[a-z]{{2,63}}(?![a-z0-9@-])", re.I | re.A)
 WHO = re.compile(rf"(?<![a-z0-9._%+-])[a-z0-9._%+-]+(?:{STRONG_DOT}[a-z0-9_%+-]+)*\Z", re.I | re.A)
 DOTS = re.compile(DOT, re.I | re.A)
 STRONG_DOTS = re.compile(STRONG_DOT, re.I | re.A)
+NUMERAL_DOTS = re.compile(rf"(?<=[0-9]){STRONG_DOT}(?=[0-9])", re.I | re.A)
 BRACKET_AT = re.compile(r"[\[({<]\s*(?:at|@|arroba|arobase|a|ät)\s*[\])}>]", re.I)
 SPOKEN_AT = re.compile(r"at(?=\s)|(?<=[-_])at(?=[-_])|arroba(?=\s)|arobase(?=\s)|&\#0*64;|&commat;|%40|@", re.I)
 #: Where a spoken at can begin: a literal to look for, and how far into it the word starts.
@@ -170,23 +173,42 @@ def at_marks(text: str, low: str) -> list[tuple[int, int, str, re.Match]]:
         else:
             while end < len(text) and text[end].isspace():
                 end += 1
-        if host := HOST.match(text, end):
+        host = HOST.match(text, end)
+        if text[a] in "[({<" and (whole := ANY_HOST.match(text, end)) and (not host or whole.end() > host.end()):
+            host = whole
+        if host:
             while a > 0 and text[a - 1].isspace():
                 a -= 1
             out.append((a, end, core, host))
     return sorted(out, key=lambda x: (x[0], -x[1]))
 
 
+def local_part(text: str, low: int, end: int) -> tuple[int, re.Match] | None:
+    """Where the text searched begins, and the local part that ends at ``end``; more text is taken while it may go on."""
+    size = 400
+    while True:
+        left = max(low, end - size)
+        who = WHO.search(text[left:end])
+        if not who or left == low or who.start() > size // 2:
+            return (left, who) if who else None
+        size *= 2
+
+
+def numeral_dots(tape: Tape) -> Tape | None:
+    """The second transducer on numerals: rewrite the disguised dots between digits; None where there is none."""
+    edits = [(m.start(), m.end(), ".") for m in NUMERAL_DOTS.finditer(tape.text)]
+    return tape.rewrite(edits) if edits else None
+
+
 def separators(tape: Tape, marks: list[tuple[int, int, str, re.Match]]) -> Tape | None:
     """The second transducer: rewrite the at and the dots of disguised addresses; None where there is none."""
     text = tape.text
     edits: list[tuple[int, int, str]] = []
     done = 0
     for a, b, core, host in marks:
-        # A local part has at most 64 characters (its standard's limit); 400 leaves room for its spoken dots.
-        left = max(done, a - 400)
-        if a < done or not (who := WHO.search(text[left:a])):
+        if a < done or not (found := local_part(text, done, a)):
             continue
+        left, who = found
         dots = [(b + d.start(), b + d.end(), ".") for d in DOTS.finditer(host.group())]
         inner = [(left + who.start() + d.start(), left + who.start() + d.end(), ".") for d in STRONG_DOTS.finditer(who.group())]
         if not inner and all(d[1] - d[0] == 1 for d in dots):
@@ -258,7 +280,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     looks = not text.isascii() and not LOOKS.isdisjoint(text)
     low = text.lower()
     marks = [] if looks else at_marks(text, low)
-    if not looks and all(m[2] == "@" and m[1] - m[0] == 1 and not STRONG_DOTS.search(m[3].group()) and text[m[0] - 1] not in ")]}> " for m in marks) and not (digit_words(low) and RUN.search(text)):
+    if not looks and all(m[2] == "@" and m[1] - m[0] == 1 and not STRONG_DOTS.search(m[3].group()) and text[m[0] - 1] not in ")]}> " for m in marks) and not (digit_words(low) and RUN.search(text)) and not NUMERAL_DOTS.search(text):
         return base, []
     tape = Tape.of(text, 0, len(text))
     found: list[Span] = []
@@ -268,6 +290,8 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
         marks = at_marks(tape.text, tape.text.lower())
     if (rewritten := separators(tape, marks)) is not None:
         found += rewritten.spans()
+    if (rewritten := numeral_dots(tape)) is not None:
+        found += rewritten.spans()
     for piece in spelled(tape):
         found += piece.spans()
     known = set(base)

@@ -52,6 +52,28 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert [(k, text[a:b]) for k, a, b in added] == [(kind, found)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("at 192[.]168[.]1[.]10 now", "ip", "192[.]168[.]1[.]10"),
+        ("at 192 (dot) 168 (dot) 1 (dot) 10 now", "ip", "192 (dot) 168 (dot) 1 (dot) 10"),
+        ("at 192 dot 168 dot 1 dot 10 now", "ip", "192 dot 168 dot 1 dot 10"),
+        ("at 192.168[.]1.10 now", "ip", "192.168[.]1.10"),
+        ("to jane (at) firm (dot) shop today", "email", "jane (at) firm (dot) shop"),
+        ("to jane [at] firm [dot] co [dot] za today", "email", "jane [at] firm [dot] co [dot] za"),
+        ("to " + "ab" * 400 + " (at) example (dot) com", "email", "ab" * 400 + " (at) example (dot) com"),
+    ],
+)
+def test_disguises_in_numerals_with_any_ending_and_long_local_parts(text, kind, found):
+    _, added = pii.find(text)
+    assert [(k, text[a:b]) for k, a, b in added] == [(kind, found)]
+
+
+@pytest.mark.parametrize("text", ["2 dot 3 is 999 dot 1 dot 1 dot 1", "items (a) first.thing and 3 (dot) 5"])
+def test_dots_that_make_no_address(text):
+    assert pii.find(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["look at example.com today", "He sat at it. It was dot. One two three.", "a at the dot matrix", "one of two or three", "", "né à Paris – 1789"])
 def test_clean_texts_stay_clean(text):
     assert pii.find(text) == ([], [])
