@@ -10,15 +10,15 @@ consecutive words of a test item (the whole item where it is shorter).
    around it that an occurrence through this position can reach.
 4. *Search*: postings meet the test positions of their term. The second list is intersected at its offset, then the
    common run of words through the anchor is measured to both sides. A run of a whole window or more is an exact phrase
-   match; every window holds an anchor, so every occurrence is found. Where the words of the window are there but
-   scattered, it is a proximity match.
+   match; every window holds an anchor, so every occurrence is found. Where the words of any window that the anchor stands
+   for are within a window's reach of it but scattered, it is a proximity match.
 
 Only the test side is ever broadcast, and only after its rows are counted; beyond ``BROADCAST_ROWS`` it is joined by a
 shuffle.
 
 Defined cases: null and empty texts have no words, so nothing is hit and ``contaminated`` is false; an item without words has
-no window; repeated documents each get their row, repeated items count once per ``item_id``; a null ``item_id`` is left out of
-the list of items; other columns are ignored; empty tables give no rows, or no hits.
+no window; repeated documents each get their row, repeated items count once per ``item_id``; items with a null ``item_id`` hit
+and count as one item but are left out of the list of items; other columns are ignored; empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def cased_words(text: str) -> Column:
 
 def item_words(items: DataFrame) -> DataFrame:
     """``item_no`` (one for each item row with words), ``item_id`` and ``item`` (its words)."""
-    known = items.select("item_id", F.transform(cased_words("text"), ascii_lower).alias("item")).filter((F.get("item", F.lit(0)) != "") & F.col("item_id").isNotNull()).distinct()
+    known = items.select("item_id", F.transform(cased_words("text"), ascii_lower).alias("item")).filter((F.get("item", F.lit(0)) != "")).distinct()
     return known.withColumn("item_no", F.xxhash64("item_id", F.array_join("item", " ")))
 
 
@@ -67,7 +67,7 @@ def term_counts(docs: DataFrame, vocabulary: DataFrame, rows: int) -> DataFrame:
 def anchors(positions: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
     """The test positions that are looked up: of every window its rarest term (the first of equals).
 
-    ``item_no, item_id, item, at, term``, and ``second_term`` with its ``offset`` from the anchor: the rarest other position
+    ``item_no, item_id, item, at, term``, ``low`` and ``high`` (starts of its first and last window), and ``second_term`` with its ``offset`` from the anchor: the rarest other position
     that all of the windows anchored here share (the anchor itself where there is none).
     """
     known = positions.join(counts, "term").select("item_no", "item_id", "item", "at", "term", "postings")
@@ -82,7 +82,7 @@ def anchors(positions: DataFrame, counts: DataFrame, window: int = WINDOW) -> Da
     second = near.groupBy("item_no", "anchor").agg(F.min(F.struct("postings", "at")).alias("second"))
     out = chosen.join(second, ["item_no", "anchor"], "left").withColumn("offset", F.coalesce(F.col("second.at") - F.col("anchor"), F.lit(0)))
     joined = out.join(known.drop("postings"), "item_no").filter(F.col("at") == F.col("anchor"))
-    return joined.select("item_no", "item_id", "item", "at", "term", "offset", F.expr("item[at + offset]").alias("second_term"))
+    return joined.select("item_no", "item_id", "item", "at", "term", "low", "high", "offset", F.expr("item[at + offset]").alias("second_term"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame, rows: int, window: int = WINDOW) -> DataFrame:
@@ -114,8 +114,12 @@ def search(index: DataFrame, looked_up: DataFrame, rows: int, window: int = WIND
     second = F.expr("get(around, here + offset)").eqNullSafe(F.col("second_term"))
     measured = met.withColumn("left", F.when(second, common(left_doc, left_item)).otherwise(0)).withColumn("right", F.when(second, common(right_doc, right_item)).otherwise(0))
     exact = (F.col("left") + F.col("right") + 1 >= F.least(F.lit(window), length)) & second
-    wanted = F.array_distinct(F.slice("item", F.greatest(F.lit(1), F.least(F.col("at") + 1, length - window + 1)), window))
-    near = F.size(F.array_intersect("around", wanted)) == F.size(wanted)
+    # Words of the windows from low to high, and the longest run of them that stand around the posting. Every window holds the
+    # second term, which is asked first.
+    words = F.slice("item", F.col("low") + 1, F.col("high") - F.col("low") + window)
+    none = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
+    run = F.aggregate(words, none, lambda acc, w: F.when(F.array_contains("around", w), F.struct((acc["run"] + 1).alias("run"), F.greatest(acc["best"], acc["run"] + 1).alias("best"))).otherwise(F.struct(F.lit(0).alias("run"), acc["best"].alias("best"))), lambda acc: acc["best"])
+    near = F.array_contains("around", F.col("second_term")) & (run >= F.least(F.lit(window), length))
     kind = F.when(exact, "exact").when(near, "near")
     start = F.when(exact, F.col("pos") - F.col("left")).otherwise(F.col("pos") - F.col("here"))
     end = F.when(exact, F.col("pos") + F.col("right") + 1).otherwise(F.col("pos") - F.col("here") + F.size("around"))
@@ -142,6 +146,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     by_doc = found.groupBy(F.col("doc_id").alias("key")).agg(
         F.collect_set(F.when(exact, F.struct("start", "end"))).alias("spans"),
         F.collect_set(F.when(exact, F.col("item_id").cast("string"))).alias("ids"),
+        F.count_if(exact & F.col("item_id").isNull()).alias("unnamed"),
         F.count(F.when(~exact, 1)).alias("near"),
     )
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("until"))
@@ -151,7 +156,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["until"]))).alias("n"), F.greatest(acc["until"], s["end"]).alias("until")),
         lambda acc: acc["n"],
     )
-    hits = by_doc.select("key", covered.cast("long").alias("hit"), F.sort_array("ids").alias("ids"), "near")
+    hits = by_doc.select("key", covered.cast("long").alias("hit"), F.sort_array("ids").alias("ids"), (F.size("ids") + (F.col("unnamed") > 0).cast("int")).alias("items"), "near")
     split = cased_words("text")
     n_words = F.when(F.element_at(split, 1) == "", F.lit(0)).otherwise(F.size(split)).cast("long")
     base = docs.select("doc_id", n_words.alias("n_words"))
@@ -161,7 +166,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
         F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),

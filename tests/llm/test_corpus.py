@@ -41,6 +41,24 @@ def test_short_items_repeats_and_odd_texts(spark, odd):
     assert (1, "exact") in kinds and (2, "near") in kinds and (2, "exact") not in kinds
 
 
+def test_items_without_an_id_still_hit(spark):
+    passage = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, "x " + passage + " y"), (2, "nothing of it"), (3, " ".join(f"v{k}" for k in range(15)) + " " + passage)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), (None, passage + " z"), (7, " ".join(f"v{k}" for k in range(15)))], "item_id long, text string")
+    found = decontaminate.contamination(docs, items).drop("n_near")
+    assert {r.doc_id: r.n_hit for r in found.collect()} == {1: 20, 2: 0, 3: 35}
+    same(found, decontaminate.SQL, documents=docs.toArrow(), benchmark=items.toArrow())
+
+
+def test_every_window_of_an_anchor_is_tried_for_proximity(spark):
+    item = [f"i{k}" for k in range(30)]
+    common = " ".join(f"{w} " + "gap " * 30 for w in item if w != "i10")
+    rows = [(k, common) for k in range(3)] + [(10, " ".join(reversed(item[:13]))), (11, " ".join(reversed(item[5:18]))), (12, " ".join(reversed(item[1:13])))]
+    found = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    near = {r.doc_id: r.n_near > 0 for r in found.collect()}
+    assert near == {0: False, 1: False, 2: False, 10: True, 11: True, 12: False}
+
+
 def test_quality_against_sql(spark):
     same(quality.query(spark, DATA), quality.SQL)
 
