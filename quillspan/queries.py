@@ -305,8 +305,13 @@ def utf16_positions(spark, sf_dir):
     from .shipping import ship
 
     ship(spark)
-    ask = _spots(spark, sf_dir).select("query_id", "path", F.lit(0).cast("long").alias("line"), (F.col("pk") % 40).alias("character"), F.lit("utf-16").alias("encoding"))
-    return P.position_to_byte(ask, P.editor_lines(T.files(spark, sf_dir)))
+    lines = P.editor_lines(T.files(spark, sf_dir))
+    n_lines = lines.groupBy(F.col("path").alias("n_path")).agg(F.max("line").alias("n_lines"))
+    n_docs = F.broadcast(T.table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_docs")))
+    # Every lineitem row asks, for any line of its document.
+    every = T.table(spark, sf_dir, "lineitem").crossJoin(n_docs).withColumn("path", T.path_of(F.col("l_orderkey") % F.col("n_docs"))).join(n_lines, F.col("path") == F.col("n_path"))
+    ask = every.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("query_id"), "path", (F.col("l_partkey") % F.col("n_lines")).cast("long").alias("line"), (F.col("l_partkey") % 40).cast("long").alias("character"), F.lit("utf-16").alias("encoding"))
+    return P.position_to_byte(ask, lines)
 
 
 @query(f"""WITH {SPOTS} SELECT query_id, sp.path, l.line_start AS start, l.line_end AS "end" FROM sp JOIN l ON l.path = sp.path AND l.line = 1""")

@@ -1,6 +1,7 @@
 """Positions, requests, symbols, logs and recovery on small literal inputs."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -109,3 +110,17 @@ def test_stream_of_states(spark, tmp_path):
     q.stop()
     got = {r.transaction_id: (r.last_state, r.complete) for r in spark.table("folded").collect()}
     assert got == {"t": ("committing", False), "u": ("preparing", True)}
+
+
+def test_positions_are_asked_on_all_lines_of_all_rows(spark):
+    from quillspan import queries
+
+    data = "/root/testdata/sf0.001"
+    rows = queries.utf16_positions(spark, data).collect()
+    texts = {f"{r.doc_id:08}": r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    assert len(rows) == spark.read.parquet(f"{data}/lineitem.parquet").count() and max(r.line for r in rows) > 0
+    for r in rows:
+        line = re.split(r"\r\n|\r|\n", texts[r.path])[r.line].encode("utf-16-le")
+        if r.problem is None:
+            before = "".join(re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+", texts[r.path])[: r.line])
+            assert r.offset == len(before.encode()) + len(line[: 2 * r.character].decode("utf-16-le").encode())
