@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table, texts
-from .chunks import ChunkEncoder
+from .chunks import PATTERN, ChunkEncoder
 
 NONE = np.int64(2**62)
 BATCHED = 64  #: pieces of up to so many bytes are merged many at a time
@@ -180,9 +181,10 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def load(path: str, pattern: str) -> tuple[ByteBpe, ChunkEncoder]:
+def load(path: str, pattern: str) -> tuple[ByteBpe, Callable[[list[str]], list[bytes]]]:
     bpe = ByteBpe.from_file(path, pattern)
-    return bpe, ChunkEncoder(bpe.encode_many)
+    # Other patterns may join what a chunk's end keeps apart: whole texts then.
+    return bpe, ChunkEncoder(bpe.encode_many) if pattern == PATTERN else bpe.encode_many
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Operator 5, token-id output as one wavelet matrix per shard.
 
-A shard is one self-contained blob: a header, the lengths of its documents, and one bit-plane per bit of its largest id,
-from the highest down. Each plane keeps the ids' bits in the order that the planes above put them into (zeros first,
-stable), with the count of ones before every 512-bit block beside it. From that single file :class:`WaveletMatrix`
-answers ``access``, ``rank`` (how often an id occurs before a position) and ``select`` (where its k-th occurrence is) by
-walking the planes, without unpacking the shard; ``decode_all`` undoes the planes in one sweep.
+A shard is one self-contained compressed blob: a header, the lengths of its documents, and one bit-plane per bit of its largest
+id, from the highest down. Each plane keeps the ids' bits in the order that the planes above put them into (zeros first,
+stable). It is stored in chunks of ``CHUNK`` bits, each compressed where that makes it smaller, with the count of ones before
+every 512-bit block beside it. From that single file :class:`WaveletMatrix` answers ``access``, ``rank`` (how often an id
+occurs before a position) and ``select`` (where its k-th occurrence is) by walking the planes; it opens the chunks that it
+walks through and no others, and finds a block by binary search. ``decode_all`` undoes the planes in one sweep.
 
 Documents are dealt out in ascending ``doc_id`` order (ties by text), so every task writes consecutive shards; a task keeps
 one shard's ids in memory at a time. Blobs are stored through Spark's writer and read through Spark's reader, hence in
@@ -16,24 +17,28 @@ other columns are ignored; an empty table writes no shard.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import staged, table, texts
-from .chunks import ChunkEncoder
+from .chunks import PATTERN, ChunkEncoder
 
-MAGIC = b"QWM1"
+MAGIC = b"QWM2"
 BLOCK = 512  #: bits between stored ranks
+CHUNK = 1 << 16  #: bits of a plane that are compressed together
 SHARD_IDS = 1 << 20  #: ids after which a shard is closed; a document is never split
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -44,6 +49,7 @@ def pack(ids: np.ndarray, doc_lengths: np.ndarray) -> bytes:
     levels = max(1, int(ids.max()).bit_length()) if n else 1
     x = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     parts = [MAGIC, struct.pack("<IQI", levels, n, len(doc_lengths)), doc_lengths.astype("<u4").tobytes()]
+    squeeze = zstandard.ZstdCompressor(level=1, write_content_size=False, write_checksum=False).compress
     for level in range(levels - 1, -1, -1):
         bit = (x & x.dtype.type(1 << level)).astype(bool)
         plane = np.packbits(bit, bitorder="little")
@@ -51,7 +57,12 @@ def pack(ids: np.ndarray, doc_lengths: np.ndarray) -> bytes:
         zeros = np.flatnonzero(~bit)
         counts = ONES[np.pad(plane, (0, -len(plane) % (BLOCK // 8)))].reshape(-1, BLOCK // 8).sum(1, dtype=np.uint32)
         ranks = np.concatenate([[0], np.cumsum(counts)]).astype("<u4")
-        parts += [struct.pack("<Q", len(zeros)), ranks.tobytes(), plane.tobytes()]
+        chunks = []
+        for raw in (plane[k : k + CHUNK // 8].tobytes() for k in range(0, len(plane), CHUNK // 8)):
+            small = squeeze(raw)
+            chunks.append(small if len(small) < len(raw) else raw)
+        sizes = np.fromiter(map(len, chunks), "<u4", len(chunks))
+        parts += [struct.pack("<Q", len(zeros)), ranks.tobytes(), sizes.tobytes(), *chunks]
         y = np.empty_like(x)
         x.take(zeros, out=y[: len(zeros)], mode="clip")
         x.take(ones, out=y[len(zeros) :], mode="clip")
@@ -59,8 +70,71 @@ def pack(ids: np.ndarray, doc_lengths: np.ndarray) -> bytes:
     return b"".join(parts)
 
 
+class Plane:
+    """One stored bit-plane; chunks are opened as they are asked for, the last ``OPEN`` of them stay open."""
+
+    OPEN = 64
+
+    def __init__(self, blob: bytes, n: int, at: int):
+        self.n, self.size = n, (n + 7) // 8
+        blocks = -(-self.size // (BLOCK // 8)) + 1
+        (self.zeros,) = struct.unpack_from("<Q", blob, at)
+        self.ranks = np.frombuffer(blob, "<u4", blocks, at + 8)
+        at += 8 + 4 * blocks
+        sizes = np.frombuffer(blob, "<u4", -(-self.size // (CHUNK // 8)), at).astype(np.int64)
+        self.ends = at + 4 * len(sizes) + np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.end = int(self.ends[-1]) if len(sizes) else at
+        self.blob = blob
+        self.open: dict[int, np.ndarray] = {}
+
+    def chunk(self, c: int) -> np.ndarray:
+        if (found := self.open.get(c)) is None:
+            raw = min(CHUNK // 8, self.size - c * (CHUNK // 8))
+            data = self.blob[int(self.starts[c]) : int(self.ends[c])]
+            found = np.frombuffer(data if len(data) == raw else zstandard.ZstdDecompressor().decompress(data, max_output_size=raw), np.uint8)
+            if len(self.open) >= self.OPEN:
+                del self.open[next(iter(self.open))]
+            self.open[c] = found
+        return found
+
+    def whole(self) -> np.ndarray:
+        """All bytes of the plane, without keeping its chunks open."""
+        out = np.empty(self.size, np.uint8)
+        for c, (a, b) in enumerate(zip(self.starts.tolist(), self.ends.tolist())):
+            at = c * (CHUNK // 8)
+            raw = min(CHUNK // 8, self.size - at)
+            data = self.blob[a:b]
+            out[at : at + raw] = np.frombuffer(data if len(data) == raw else zstandard.ZstdDecompressor().decompress(data, max_output_size=raw), np.uint8)
+        return out
+
+    def bytes_of(self, block: int) -> np.ndarray:
+        """The bytes of a 512-bit block (a chunk is a whole number of blocks)."""
+        c, at = divmod(block * BLOCK, CHUNK)
+        return self.chunk(c)[at // 8 : (at + BLOCK) // 8]
+
+    def bit(self, i: int) -> int:
+        return int(self.bytes_of(i // BLOCK)[i % BLOCK // 8] >> i % 8 & 1)
+
+    def ones(self, i: int) -> int:
+        """Ones among the first i bits."""
+        block, rest = divmod(i, BLOCK)
+        n = int(self.ranks[block])
+        if rest:
+            own = self.bytes_of(block)
+            n += int(ONES[own[: rest // 8]].sum()) + (int(ONES[own[rest // 8] & ((1 << rest % 8) - 1)]) if rest % 8 else 0)
+        return n
+
+    def find(self, bit: int, nth: int) -> int:
+        """Position of the nth (from 0) such bit, its block by binary search."""
+        before = (lambda b: int(self.ranks[b])) if bit else (lambda b: b * BLOCK - int(self.ranks[b]))
+        block = bisect_right(range(len(self.ranks)), nth, key=before) - 1
+        bits = np.unpackbits(self.bytes_of(block), bitorder="little")
+        return block * BLOCK + int(np.flatnonzero(bits == bit)[nth - before(block)])
+
+
 class WaveletMatrix:
-    """Reads one shard; planes are views of the blob."""
+    """Reads one shard."""
 
     def __init__(self, blob: bytes):
         if blob[:4] != MAGIC:
@@ -69,48 +143,26 @@ class WaveletMatrix:
         at = 20
         self.doc_lengths = np.frombuffer(blob, "<u4", docs, at)
         at += 4 * docs
-        size = (self.n + 7) // 8
-        blocks = -(-size // (BLOCK // 8)) + 1
-        self.planes = []
+        self.planes: list[Plane] = []
         for _ in range(self.levels):
-            (zeros,) = struct.unpack_from("<Q", blob, at)
-            ranks = np.frombuffer(blob, "<u4", blocks, at + 8)
-            plane = np.frombuffer(blob, np.uint8, size, at + 8 + 4 * blocks)
-            self.planes.append((zeros, ranks, plane))
-            at += 8 + 4 * blocks + size
-
-    def _ones(self, k: int, i: int) -> int:
-        """Ones among the first i bits of plane k."""
-        _, ranks, plane = self.planes[k]
-        block = i // BLOCK
-        n = int(ranks[block]) + int(ONES[plane[block * BLOCK // 8 : i // 8]].sum())
-        return n + (int(ONES[plane[i // 8] & ((1 << i % 8) - 1)]) if i % 8 else 0)
-
-    def _find(self, k: int, bit: int, nth: int) -> int:
-        """Position of the nth (from 0) such bit of plane k."""
-        _, ranks, plane = self.planes[k]
-        before = ranks.astype(np.int64) if bit else np.arange(len(ranks)) * BLOCK - ranks
-        block = int(np.searchsorted(before, nth, side="right")) - 1
-        start = block * BLOCK // 8
-        bits = np.unpackbits(plane[start : start + BLOCK // 8], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[nth - int(before[block])])
+            self.planes.append(Plane(blob, self.n, at))
+            at = self.planes[-1].end
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for k, (zeros, _, plane) in enumerate(self.planes):
-            bit = plane[i // 8] >> i % 8 & 1
-            ones = self._ones(k, i)
-            i = zeros + ones if bit else i - ones
-            value = value << 1 | int(bit)
+        for plane in self.planes:
+            bit, ones = plane.bit(i), plane.ones(i)
+            i = plane.zeros + ones if bit else i - ones
+            value = value << 1 | bit
         return value
 
     def _range(self, token: int, i: int) -> tuple[int, int]:
         start, end = 0, i
-        for k, (zeros, _, _) in enumerate(self.planes):
-            a, b = self._ones(k, start), self._ones(k, end)
-            start, end = (zeros + a, zeros + b) if token >> (self.levels - 1 - k) & 1 else (start - a, end - b)
+        for k, plane in enumerate(self.planes):
+            a, b = plane.ones(start), plane.ones(end)
+            start, end = (plane.zeros + a, plane.zeros + b) if token >> (self.levels - 1 - k) & 1 else (start - a, end - b)
         return start, end
 
     def rank(self, token: int, i: int | None = None) -> int:
@@ -127,14 +179,14 @@ class WaveletMatrix:
         i = self._range(token, 0)[0] + nth
         for k in range(self.levels - 1, -1, -1):
             bit = token >> (self.levels - 1 - k) & 1
-            i = self._find(k, bit, i - self.planes[k][0] if bit else i)
+            i = self.planes[k].find(bit, i - self.planes[k].zeros if bit else i)
         return i
 
     def decode_all(self) -> np.ndarray:
         x = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for k in range(self.levels - 1, -1, -1):
-            zeros, _, plane = self.planes[k]
-            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            zeros = self.planes[k].zeros
+            bit = np.unpackbits(self.planes[k].whole(), count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
             y[np.flatnonzero(bit)] = x[zeros:] | x.dtype.type(1 << (self.levels - 1 - k))
             y[np.flatnonzero(~bit)] = x[:zeros]
@@ -142,31 +194,40 @@ class WaveletMatrix:
         return x
 
 
+def in_pieces(t) -> bool:
+    """Whether the file's parts are those that :func:`load` takes apart: no normaliser, the public split, plain merges."""
+    told = json.loads(t.to_str())
+    split, model = told["pre_tokenizer"] or {}, told["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    return plain and told["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+
+
 @lru_cache(maxsize=2)
-def load(path: str) -> tuple[object, ChunkEncoder, list[str]]:
+def load(path: str) -> tuple[object, Callable[[list[str]], list[bytes]], list[str]]:
+    """The tokenizer, what encodes whole texts by it, and its added tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import public_tokenizers as P
     import regex
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     special = [x.content for x in t.get_added_tokens_decoder().values()]
+    if not in_pieces(t):
+        return t, lambda values: [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(values, add_special_tokens=False)], special
 
-    # The file's pre-tokenizer splits by this pattern and writes each byte as a printable character; its model then
-    # encodes every distinct piece once.
-    find, tokenize = regex.compile(P.PATTERN).findall, t.model.tokenize
+    # The pre-tokenizer splits by this pattern and writes each byte as a printable character; the model then encodes each piece.
+    find, tokenize = regex.compile(PATTERN).findall, t.model.tokenize
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_chars = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    pieces: dict[str, bytes] = {}
+    space, packed = chr(byte_chars[32]), [k.to_bytes(4, "little") for k in range(t.get_vocab_size())]
 
     def piece_ids(p: str) -> bytes:
-        if (v := pieces.get(p)) is None:
-            v = pieces[p] = b"".join([x.id.to_bytes(4, "little") for x in tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(byte_chars))])
-        return v
+        if (p[1:] if p[:1] == " " else p).isalnum() and p.isascii():
+            shown = p.replace(" ", space)
+        else:
+            shown = p.encode("utf-8", "surrogatepass").decode("latin-1").translate(byte_chars)
+        return b"".join([packed[x.id] for x in tokenize(shown)])
 
     def many(chunks: list[str]) -> list[bytes]:
-        if len(pieces) > 200_000:
-            pieces.clear()
         # A chunk of letters alone, with or without its space, is one piece.
         return [piece_ids(c) if (c[1:] if c[:1] == " " else c).isalpha() else b"".join(map(piece_ids, find(c))) for c in chunks]
 

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from quillspan.llm import bpe, token_counts, wavelet
+from quillspan.llm import bpe, chunks, token_counts, wavelet
 
 BYTE_JSON, WORD_JSON, RANKS = (P.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"))
 
@@ -70,6 +70,43 @@ def test_wavelet_queries():
         m.access(3000)
 
 
+def test_wavelet_of_many_compressed_chunks():
+    rng = np.random.default_rng(2)
+    a = (rng.zipf(1.3, 300_000) % 50_257).astype(np.uint32)
+    blob = wavelet.pack(a, np.array([len(a)]))
+    assert len(blob) < 2 * len(a)  # smaller than plain 16-bit ids, ranks and all
+    m = wavelet.WaveletMatrix(blob)
+    assert (m.decode_all() == a).all()
+    for i in rng.integers(0, len(a), 60).tolist():
+        token, before = int(a[i]), int((a[:i] == a[i]).sum())
+        assert (m.access(i), m.rank(token, i), m.select(token, before)) == (token, before, i)
+
+
+def test_chunks_agree_with_the_library_and_forget(monkeypatch):
+    rng = random.Random(5)
+    t, encoder, _ = wavelet.load(BYTE_JSON)
+    small = chunks.ChunkEncoder(encoder.encode_many, limit=60, longest=12)
+    parts = [*"abé1'!.,;:? \n\t", " ", " ", "\n", "\n\n", " \n", "\u00a0", "\u2028", "\x1c", "\r\n", "the", "Word", "it's", "日本", "a" * 20]
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(20)]
+        expected = [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
+        assert encoder(texts) == expected and small(texts) == expected
+    assert small.n < 400 and small([]) == []
+
+
+def test_other_tokenizer_files_go_to_the_library(tmp_path):
+    import json
+
+    told = json.loads(Tokenizer.from_file(BYTE_JSON).to_str())
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "other.json")
+    open(path, "w").write(json.dumps(told))
+    t = Tokenizer.from_file(path)
+    assert wavelet.encode_texts(path, ["one two", ""]) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ("one two", "")]
+    with pytest.raises(ValueError):
+        token_counts.WordVocabulary(path)
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_token_counts(spark, request, which):
     df = request.getfixturevalue(which)
