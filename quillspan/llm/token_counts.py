@@ -13,6 +13,7 @@ library does by default; repeated rows are counted each on its own; other column
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -36,6 +37,16 @@ DIRECTORY = "\0block:"  #: marks the row that carries a block's own documents; n
 HELD_SUMS = 4_000_000  #: sums that a task holds before it hands them on
 
 
+def split_pattern(path: str, told: dict) -> str:
+    """The file's pattern of pre-tokens, if its other parts are those that :class:`WordVocabulary` takes apart: composing, white
+    space as one space, lower case; pre-tokens cut out by a pattern and written as bytes."""
+    normal = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", ())]
+    cut = (told["pre_tokenizer"] or {}).get("pretokenizers", ())
+    if normal != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cut] != ["Split", "ByteLevel"] or cut[0]["behavior"] != "Removed" or not cut[0]["invert"] or cut[1]["use_regex"] or cut[1]["add_prefix_space"]:
+        raise ValueError(f"{path}: not a word-end vocabulary of the kind that is taken apart here")
+    return cut[0]["pattern"]["Regex"]
+
+
 class WordVocabulary:
     """The tokenizer of a word-end BPE file, taken apart into its normaliser, its split and its model."""
 
@@ -47,7 +58,7 @@ class WordVocabulary:
         self.model = t.model
         self.special = sorted((x.content for x in t.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special_any = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.find = regex.compile(split_pattern(path, json.loads(t.to_str()))).findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte_chars = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         self.chunks: dict[str, tuple[str, ...]] = {}
