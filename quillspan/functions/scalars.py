@@ -124,5 +124,8 @@ def is_transaction_id(text: Column | str) -> Column:
     return _col(text).rlike(r"\A[0-9a-f]{32}\z")
 
 
-def is_artifact_name(text: Column | str) -> Column:
+def is_artifact_name(text: Column | str, kind: str | None = None, number: Column | None = None) -> Column:
+    """A generated name; ``kind`` and ``number``: the very one of that kind and number."""
+    if kind and number is not None:
+        return _col(text) == F.concat(F.lit(f"{kind}-"), F.lpad(number.cast("string"), 8, "0"))
     return _col(text).rlike(r"\A(?:candidate|backup|state)-[0-9]{8}\z")

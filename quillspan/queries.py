@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import schemas
 from .functions import lines as L
 from .functions import positions as P
 from .functions import scalars as S
-from .operators import accounting, compose, journal, recovery, resolve, review, snapshot, symbols
+from .named import ORACLE_SQL, QUERIES, query  # noqa: F401
+from .operators import accounting, compose, resolve, review, snapshot, symbols
 from .plans.plan import plan
 from .sources import tables as T
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _plan(spark: SparkSession, sf_dir: str):
+def _plan(spark, sf_dir):
     return plan(T.operations(spark, sf_dir), T.files(spark, sf_dir))
 
 
@@ -396,70 +378,4 @@ def ambiguity(spark, sf_dir):
     return symbols.gate(symbols.by_position(ask, _tree(spark, sf_dir), smallest=False), ask, unique=True).drop("candidates")
 
 
-# --- Logs and recovery --------------------------------------------------------------------------------------------------
-
-EDGE_SQL = ", ".join(f"('{a}', '{b}')" for a, many in journal.EDGES.items() for b in many)
-LOG = f"""e AS (SELECT CAST(user_id AS VARCHAR) AS t, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS q, CASE event_type WHEN 'signup' THEN 'preparing' WHEN 'view' THEN 'prepared' WHEN 'click' THEN 'committing' WHEN 'error' THEN 'rolling_back' ELSE 'committed' END AS g FROM events),
-c AS (SELECT *, CASE WHEN g IN ('preparing', 'prepared') THEN 0 WHEN g = 'committing' AND event_id % 2 = 0 THEN 1 ELSE 2 END AS rk, lag(g) OVER p AS pg, lag(event_id) OVER p AS pe FROM e WINDOW p AS (PARTITION BY t ORDER BY q)), d AS (SELECT *, lag(rk) OVER (PARTITION BY t ORDER BY q) AS pr FROM c), ed(a, b) AS (VALUES {EDGE_SQL})"""
-
-
-@query(f"""WITH {LOG} SELECT t AS transaction_id, q AS sequence, pg AS from_state, g AS to_state, CASE WHEN (pg, g) NOT IN (SELECT (a, b) FROM ed) THEN 'EDGE' ELSE 'PROGRESS' END AS problem FROM d WHERE pg IS NOT NULL AND ((pg, g) NOT IN (SELECT (a, b) FROM ed) OR rk < pr)""")
-def state_transitions(spark, sf_dir):
-    return journal.transition_problems(T.journal(spark, sf_dir), journal.edges(spark))
-
-
-@query(f"""WITH {LOG} SELECT t AS transaction_id, count(*) AS states, max(q) AS last_sequence, arg_max(g, q) AS last_state, CASE WHEN count(*) FILTER (WHERE event_id % 50 = 0) > 0 THEN 'CHECKSUM_LINK' WHEN arg_min(g, q) <> 'preparing' THEN 'BEGINNING' END AS problem FROM d GROUP BY 1""")
-def last_state(spark, sf_dir):
-    return journal.fold_chain(T.journal(spark, sf_dir))
-
-
-@query("""SELECT CAST(conv_id AS VARCHAR) AS transaction_id, count(*) AS states, max(turn) AS last_sequence, max(turn) + 1 <> count(*) AS gap FROM conversations WHERE (conv_id + turn) % 11 <> 3 GROUP BY 1""")
-def chain_gaps(spark, sf_dir):
-    c = T.table(spark, sf_dir, "conversations").filter("(conv_id + turn) % 11 <> 3")
-    null = F.lit(None).cast("string")
-    folded = journal.fold_chain(c.select(F.col("conv_id").cast("string").alias("transaction_id"), F.col("turn").alias("sequence"), F.lit("preparing").alias("global_state"), F.lit("m").alias("manifest_checksum"), null.alias("prior_checksum"), null.alias("checksum")))
-    return folded.select("transaction_id", "states", "last_sequence", (F.coalesce("problem", F.lit("")) == "GAP").alias("gap"))
-
-
-@query(f"""WITH {LOG} SELECT t AS transaction_id, CAST(count(*) FILTER (WHERE event_id % 50 = 0) AS BIGINT) AS forks FROM d GROUP BY 1 HAVING count(*) FILTER (WHERE event_id % 50 = 0) > 0""")
-def chain_forks(spark, sf_dir):
-    log = Window.partitionBy("transaction_id").orderBy("sequence")
-    s = T.journal(spark, sf_dir).withColumn("expected", F.lag("checksum").over(log))
-    return s.groupBy("transaction_id").agg(F.count_if(~F.col("expected").eqNullSafe(F.col("prior_checksum"))).alias("forks")).filter("forks > 0")
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{a}', '{v}')" for s, (a, v) in journal.ACTIONS.items()) + ") t(global_state, actions, visibility)")
-def state_actions_visibility(spark, sf_dir):
-    return journal.actions(spark)
-
-
-@query(f"""WITH {LOG}, en AS (SELECT CAST(c_custkey AS VARCHAR) AS t, c_custkey % 3 = 0 AS completed FROM customer), ls AS (SELECT t, arg_max(g, q) AS s FROM d GROUP BY 1) SELECT en.t AS transaction_id, completed, CASE WHEN CAST(en.t AS BIGINT) % 7 = 0 THEN 'orphan_record' WHEN s IS NULL THEN 'manifest_only' WHEN completed THEN 'cleanup_only' ELSE 'active' END AS entry, s AS last_state FROM en LEFT JOIN ls ON ls.t = en.t""")
-def entry_classification(spark, sf_dir):
-    entries = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("transaction_id"), (F.col("c_custkey") % 3 == 0).alias("completed"))
-    manifests = T.table(spark, sf_dir, "customer").filter("c_custkey % 7 <> 0").select(F.col("c_custkey").cast("string").alias("transaction_id"))
-    return journal.classify_entries(entries, manifests, journal.fold_chain(T.journal(spark, sf_dir)))
-
-
-def _observations(spark):
-    places = ["original", "candidate", "absent", "unexpected"]
-    parts = {"global_state": list(recovery.MODES), "original_existed": [True, False], "commit_kind": list(recovery.COMMITS), "rollback_kind": ["none", "original_restored", "absence_restored"], "parent_matches": [True, False], "target": places, "candidate": places, "backup": places}
-    df = spark.range(1).drop("id")
-    for name, values in parts.items():  # the whole truth table: 13,824 fixed rows
-        df = df.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return df
-
-
-TABLE_SQL = ", ".join(str((g, e, k, r, *seen)).replace("True", "true").replace("False", "false") for (e, g, c, r), sights in recovery.TABLE.items() for k in (recovery.COMMITS if c == "any" else (c,)) if e or k != "backed_up" for seen in sights)
-PLACES = "(SELECT unnest(['original', 'candidate', 'absent', 'unexpected']) AS v)"
-
-
-@query(f"""WITH tt(g, e, c, r, x, y, z) AS (VALUES {TABLE_SQL}), ob AS (SELECT g.v AS global_state, e.v AS original_existed, c.v AS commit_kind, r.v AS rollback_kind, p.v AS parent_matches, x.v AS target, y.v AS candidate, z.v AS backup FROM (SELECT unnest({list(recovery.MODES)}) AS v) g, (SELECT unnest([true, false]) AS v) e, (SELECT unnest({list(recovery.COMMITS)}) AS v) c, (SELECT unnest(['none', 'original_restored', 'absence_restored']) AS v) r, (SELECT unnest([true, false]) AS v) p, {PLACES} x, {PLACES} y, {PLACES} z),
-k AS (SELECT ob.*, tt.g IS NOT NULL AS known, parent_matches AND tt.g IS NOT NULL AS ok FROM ob LEFT JOIN tt ON tt.g = global_state AND tt.e = original_existed AND tt.c = commit_kind AND tt.r = rollback_kind AND tt.x = target AND tt.y = candidate AND tt.z = backup)
-SELECT global_state, original_existed, commit_kind, rollback_kind, parent_matches, target, candidate, backup, ok AND global_state IN ('prepared', 'committing') AS complete, ok AND global_state IN ('preparing', 'prepared', 'committing', 'rolling_back') AS "rollback", ok AND global_state IN ('committed', 'rolled_back') AS cleanup_only, CASE WHEN NOT parent_matches THEN 'PARENT_CHANGED' WHEN 'unexpected' IN (target, candidate, backup) THEN 'UNEXPECTED_FILE' WHEN NOT known THEN 'STATE_MISMATCH' END AS conflict_reason FROM k""")
-def recovery_disposition(spark, sf_dir):
-    return recovery.classify(_observations(spark), recovery.truth_table(spark))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{cat}', {schemas.EXIT_CODES[cat]}, {str(c in schemas.RETRYABLE).lower()})" for cat, codes in schemas.CATEGORY_CODES.items() for c in codes.split()) + ") t(code, category, exit_code, retryable)")
-def registry_categories(spark, sf_dir):
-    return schemas.error_codes(spark)
+from . import log_queries  # noqa: E402, F401  (adds its own names)

@@ -34,6 +34,13 @@ SELECTION_CODES = {
     "LSP_REQUEST_FAILED": ("support", 4, True), "SELECTION_INTERNAL_ERROR": ("internal", 8, False),
 }
 
+OUTLINE_CODES = {
+    "INVALID_OUTLINE_QUERY": ("request", 2, False), "LSP_SERVER_NOT_CONFIGURED": ("support", 4, False), "UNSUPPORTED_TEXT_ENCODING": ("support", 4, False),
+    "LSP_CAPABILITY_UNAVAILABLE": ("support", 4, False), "LSP_FLAT_SYMBOLS_UNSUPPORTED": ("support", 4, False), "LSP_DOCUMENT_SYNC_UNAVAILABLE": ("support", 4, False),
+    "LSP_RESOURCE_LIMIT_EXCEEDED": ("support", 4, False), "LSP_TIMEOUT": ("support", 4, True), "LSP_START_FAILED": ("support", 4, True), "LSP_EXITED": ("support", 4, True),
+    "LSP_PROTOCOL_ERROR": ("support", 4, False), "LSP_REQUEST_FAILED": ("support", 4, True), "OUTLINE_INTERNAL_ERROR": ("internal", 8, False),
+}
+
 # The language-server protocol's symbol kinds, numbered from 1.
 SYMBOL_KINDS = "file module namespace package class method property field constructor enum interface function variable constant string number boolean array object key null enum_member struct event operator type_parameter".split()
 
@@ -43,6 +50,10 @@ def error_codes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "code string, category string, exit_code int, retryable boolean")
 
 
+def outline_codes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c, *OUTLINE_CODES[c]) for c in OUTLINE_CODES], "code string, category string, exit_code int, retryable boolean")
+
+
 def warning_codes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c,) for c in WARNING_CODES], "code string")
 

@@ -68,19 +68,30 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EVENT_STATES = ("preparing", "prepared", "committing", "rolling_back", "committed")
-
-
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as logs: a transaction a user, numbered by time, each event type a global state, each state one target."""
     from pyspark.sql.window import Window
 
     e = table(spark, sf_dir, "events")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    state = F.expr("CASE event_type WHEN 'signup' THEN 'preparing' WHEN 'view' THEN 'prepared' WHEN 'click' THEN 'committing' WHEN 'error' THEN 'rolling_back' ELSE 'committed' END")
+    state = F.expr("CASE event_type WHEN 'signup' THEN 'preparing' WHEN 'view' THEN 'prepared' WHEN 'click' THEN 'committing' WHEN 'error' THEN IF(event_id % 5 = 0, 'rolled_back', 'rolling_back') ELSE 'committed' END")
     own = F.concat(F.lit("sha256:"), F.sha2(F.col("event_id").cast("string"), 256))
+    who = F.concat(F.lit("1:"), F.col("user_id").cast("string"))
+    candidate = F.when((state == "preparing") & (F.col("event_id") % 4 == 0), "missing").otherwise("ready")
     commit = F.when(state.isin("preparing", "prepared"), "untouched").when(state == "committing", F.when(F.col("event_id") % 2 == 0, "backed_up").otherwise("installed")).otherwise("installed")
-    target = F.array(F.struct(F.lit(0).cast("long").alias("target_index"), F.lit("ready").alias("candidate"), commit.alias("commit"), F.lit("none").alias("rollback")))
+    rollback = F.when((state == "rolled_back") | ((state == "rolling_back") & (F.col("event_id") % 3 == 0)), "original_restored").otherwise("none")
+    target = F.array(
+        F.struct(
+            F.lit(0).cast("long").alias("target_index"),
+            candidate.alias("candidate"),
+            F.when(candidate == "ready", who).alias("candidate_identity"),
+            commit.alias("commit"),
+            F.when(commit != "untouched", who).alias("commit_identity"),
+            F.when(commit != "untouched", F.lit(420)).alias("preserved_mode"),
+            rollback.alias("rollback"),
+            F.when(rollback == "original_restored", who).alias("rollback_identity"),
+        )
+    )
     n = F.row_number().over(order) - 1
     df = e.select(F.col("user_id").cast("string").alias("transaction_id"), n.cast("long").alias("sequence"), "event_id", state.alias("global_state"), target.alias("targets"), own.alias("checksum"), F.lag(own).over(order).alias("prior"))
     # Every 50th event loses its link, so that there are forks to find.
