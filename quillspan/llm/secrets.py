@@ -8,8 +8,11 @@ owners and looks random is taken for live. Base spans always stay; a further spa
 The counts are made of distinct (hash, repository, owner) rows, pre-aggregated in each task, so a sample that a third of the
 corpus copies costs a row a task. Only hashes that are widely copied go back to the candidates, spread over salts.
 
+Runs of any length are matched whole; every pattern begins where its run begins, so that a long text is read in linear time.
+
 Defined cases: a null or empty text has no spans (digest of the empty string); a null owner or repository counts as one of
-its own; repeated rows each get their row; other columns are ignored; an empty table gives no rows.
+its own; repeated rows each get their row, and rows that share an id (or have none) are each judged by their own text; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,12 +49,12 @@ SHAPES: list[tuple[str, str, re.Pattern]] = [
     ("vendor", "sk", re.compile(r"(?<![A-Za-z0-9])sk[-_]([A-Za-z0-9_-]{20,})")),
     ("vendor", "AIza", re.compile(r"AIza([0-9A-Za-z_-]{30,})")),
     ("vendor", "ASIA", re.compile(r"(?<![A-Z0-9])ASIA([A-Z0-9]{12,})")),
-    ("jwt", "eyJ", re.compile(r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
-    ("pem", "PRIVATE KEY", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----([A-Za-z0-9+/=\s]+)(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?")),
-    ("url", "://", re.compile(r"(?<=://)[^\s:/@]{1,64}:([^\s:/@]{6,64})@")),
+    ("jwt", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
+    ("pem", "PRIVATE KEY", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?")),
+    ("url", "://", re.compile(r"(?<=://)[^\s:/@]+:([^\s:/@]{6,})@")),
     ("bearer", "earer ", re.compile(r"[Bb]earer ([A-Za-z0-9+/_.=-]{20,})")),
 ]
-LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])([A-Za-z0-9+/_=-]{24,})")
+LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])([A-Za-z0-9+/_=-]{24,})")
 
 
 def entropy(value: str) -> float:
@@ -84,11 +88,23 @@ def further_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tupl
     out: list[tuple[str, int, int, str]] = []
     found = [(kind, m.start(), m.end(), m[1]) for kind, hint, shape in SHAPES if hint in text for m in shape.finditer(text)]
     found += [("entropy", m.start(), m.end(), m[1]) for m in LONG.finditer(text) if mixed(m[1])]
-    taken = sorted((a, b) for _, a, b, _ in base)
+    # Places that are taken, as disjoint ranges in order.
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b, _ in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for kind, a, b, value in found:
-        if (kind == "pem" or looks_live(value)) and not any(c < b and a < d for c, d in taken):
+        if kind != "pem" and not looks_live(value):
+            continue
+        at = bisect_right(ends, a)  # the first range that ends behind a
+        if at == len(starts) or starts[at] >= b:
             out.append((kind, a, b, value))
-            taken.append((a, b))
+            starts.insert(at, a)
+            ends.insert(at, b)
     return out
 
 
@@ -97,7 +113,7 @@ def mixed(value: str) -> bool:
     return any(c.isdigit() for c in value) and any("a" <= c <= "z" for c in value) and any("A" <= c <= "Z" for c in value) and entropy(value) >= 4.0
 
 
-ROW = "row_key long, doc_id long, owner string, repo string, found array<struct<kind:string,a:int,b:int,hash:string,live:boolean>>"
+ROW = "row_key long, doc_id long, text_key long, owner string, repo string, found array<struct<kind:string,a:int,b:int,hash:string,live:boolean>>"
 
 
 def candidates(docs: DataFrame, owner: str, repo: str) -> DataFrame:
@@ -111,10 +127,11 @@ def candidates(docs: DataFrame, owner: str, repo: str) -> DataFrame:
             for text in b.column("text").to_pylist():
                 base = base_spans(text)
                 rows.append([{"kind": k, "a": s, "b": e, "hash": hashlib.sha256(v.encode()).hexdigest()[:32], "live": k == "pem" or looks_live(v)} for k, s, e, v in base + further_spans(text, base)])
-            yield pa.record_batch([pa.array(range(key, key + len(rows)), pa.int64()), b.column("doc_id"), b.column("owner"), b.column("repo"), pa.array(rows, kind)], names=["row_key", "doc_id", "owner", "repo", "found"])
+            yield pa.record_batch([pa.array(range(key, key + len(rows)), pa.int64()), b.column("doc_id"), b.column("text_key"), b.column("owner"), b.column("repo"), pa.array(rows, kind)], names=["row_key", "doc_id", "text_key", "owner", "repo", "found"])
             key += len(rows)
 
-    given = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    given = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"))
     return staged(given.mapInArrow(run, ROW), "secrets")
 
 
@@ -138,7 +155,7 @@ def verdicts(docs: DataFrame, owner: str, repo: str, max_owners: int = 2, max_re
     judged = span.join(copied, (span["s.hash"] == copied["copied"]) & (span["salt"] == copied["salt_of"]), "left")
     entry = F.struct(F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.kind").alias("kind"), (F.col("s.live") & F.col("copied").isNull()).alias("live"))
     by_row = judged.groupBy(F.col("row_key").alias("key")).agg(F.array_sort(F.collect_list(entry)).alias("spans"))
-    return found.select("row_key", "doc_id").join(by_row, F.col("row_key") == F.col("key"), "left").select("row_key", "doc_id", F.coalesce("spans", F.expr("array()").cast(by_row.schema["spans"].dataType)).alias("spans"))
+    return found.select("row_key", "doc_id", "text_key").join(by_row, F.col("row_key") == F.col("key"), "left").select("row_key", "doc_id", "text_key", F.coalesce("spans", F.expr("array()").cast(by_row.schema["spans"].dataType)).alias("spans"))
 
 
 def digest(judged: DataFrame) -> DataFrame:
@@ -163,15 +180,16 @@ def digest(judged: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, judged: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every live span replaced by ``mark``; other documents stay as they are, and none is dropped.
 
-    Texts are changed by ``doc_id``; where rows share one, each row's own spans lie inside its own text and are cut from it.
+    A row is known by its id and its text: rows that share an id, or have none, each lose the spans of their own text alone, and
+    equal texts have equal spans.
     """
-    live = judged.select(F.col("doc_id").alias("__key"), F.expr("filter(spans, s -> s.live)").alias("__live")).filter(F.size("__live") > 0)
-    live = live.groupBy("__key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__live")))).alias("__live"))
     text = F.coalesce(F.col("text"), F.lit(""))
+    live = judged.select(F.col("doc_id").alias("__key"), F.col("text_key").alias("__text"), F.expr("filter(spans, s -> s.live)").alias("__live")).filter(F.size("__live") > 0)
+    live = live.dropDuplicates(["__key", "__text"])
     # Pieces between the spans, folded from left to right: what is kept so far and where the next piece begins.
     start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
     fold = F.aggregate("__live", start, lambda acc, s: F.when(s["a"] < acc["at"], F.struct(acc["kept"].alias("kept"), F.greatest(acc["at"], s["b"]).alias("at"))).otherwise(F.struct(F.concat(acc["kept"], F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), F.lit(mark)).alias("kept"), s["b"].alias("at"))), lambda acc: F.concat(acc["kept"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.join(live, F.col("doc_id").eqNullSafe(F.col("__key")), "left")
+    joined = docs.join(live, (F.xxhash64(text) == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__key")), "left")
     changed = joined.withColumn("text", F.when(F.col("__live").isNull(), F.col("text")).otherwise(fold))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("__live").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
