@@ -50,6 +50,32 @@ def test_items_without_an_id_still_hit(spark):
     same(found, decontaminate.SQL, documents=docs.toArrow(), benchmark=items.toArrow())
 
 
+def test_rows_that_share_an_id_have_their_own_hits(spark):
+    one, two = " ".join(f"a{k}" for k in range(15)), " ".join(f"b{k}" for k in range(15))
+    rows = [(7, one + " x"), (7, "y " + two), (None, one), (None, "nothing of it"), (7, one + " x"), (None, None)]
+    found = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, one), (2, two)], "item_id long, text string"))
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in found.collect())
+    assert got == sorted([("7", 16, 15, 1, True)] * 3 + [("None", 15, 15, 1, True), ("None", 3, 0, 0, False), ("None", 0, 0, 0, False)])
+
+
+def test_the_test_side_in_blocks(spark, monkeypatch):
+    """Random texts of few words, so that everything meets everything; the test side is sent in many parts."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 5)
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(9)]
+    items = [(k % 8, " ".join(rng.choice(words, int(rng.integers(1, 20))))) for k in range(12)]
+    rows = []
+    for k in range(60):
+        own = list(rng.choice(words, int(rng.integers(0, 60))))
+        if k % 2:
+            own[len(own) // 2 : len(own) // 2] = items[k % 12][1].split()
+        rows.append((k, " ".join(own)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(docs, bench)
+    assert found.filter("n_near > 0").count() and found.filter("n_hit > 13").count()
+    same(found, decontaminate.SQL, documents=docs.toArrow(), benchmark=bench.toArrow())
+
+
 def test_every_window_of_an_anchor_is_tried_for_proximity(spark):
     item = [f"i{k}" for k in range(30)]
     common = " ".join(f"{w} " + "gap " * 30 for w in item if w != "i10")
