@@ -35,10 +35,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages, by the operator's rule, go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("__key")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__key")), "left_anti")
+    """Documents that hold benchmark passages, by the operator's rule, go; of rows that share an id, those whose own text does."""
+    found = decontaminate.contaminated_rows(docs, table(spark, sf_dir, "benchmark"))
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("__key"), F.col("text_key").alias("__text")).distinct()
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(bad, (text == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__key")), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
