@@ -2,14 +2,16 @@
 
 The kernel compares two words by the three-character subsequences that they share, gaps allowed and discounted, so that
 letters put in, left out or spaced apart cost similarity but do not hide a word. Gaps are bounded, hence a word has few
-subsequences and the kernel is a product of sparse vectors. Landmarks are words picked from the labelled training texts, the
+subsequences and the kernel is a product of sparse vectors. A word that is like a landmark is also looked at without its odd
+characters (one left out, a digit read as a letter), so that an inserted character costs it nothing. Landmarks are words picked from the labelled training texts, the
 telling ones of the toxic class (unlike each other) and the clean words nearest to them. A sentence is described by its
 best kernel value with each landmark, mapped by the inverse root of the landmarks' own kernel matrix (Nyström); a linear
 support vector machine with squared hinge loss is trained on labelled sentences: all sentences of clean documents, and those
 of toxic documents, which are picked anew in each round as the ones that the machine finds worst. A document's margin is that
 of its worst sentence; a logistic curve fitted to the training documents makes it a score.
 
-Training reads at most ``TRAIN_TOXIC`` + ``TRAIN_CLEAN`` labelled documents, chosen by a hash of their id, never held-out ones.
+Training reads at most ``TRAIN_TOXIC`` + ``TRAIN_CLEAN`` labelled documents, chosen by a hash of their id, never held-out ones, and
+of these at most ``TRAIN_BYTES`` of text: the bound of what goes to the driver. Landmarks have at most ``LANDMARK_CHARS`` characters.
 Scoring reads every whole text; languages, sources, labels and ids are no input of it.
 
 Defined cases: a null or empty text gets the score of a text without any telling word; repeated rows score alike; null labels
@@ -29,21 +31,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import table
 
 TRAIN_TOXIC, TRAIN_CLEAN = 2500, 4000  #: bounds of the training sample, in documents
+TRAIN_BYTES = 256 << 20  #: bound of their texts
+LANDMARK_CHARS = 40  #: longest word that can be a landmark
 CUT = 0.3  #: score from which a document is predicted toxic
 DECAY = 0.6  #: discount of each skipped character
 REACH = 5  #: farthest distance of a subsequence's last character from its first
 FLOOR = 0.5  #: kernel values below this count as none
 SCREEN = 0.3  #: a word with no more of its (squared) weight in the landmarks' subsequences counts as unlike all of them
+CLOSE, ALIKE = 0.4, 0.95  #: kernel values between which a word is looked at for odd characters
+SPARE, GAIN = 2, 0.05  #: how many, and the least that leaving one out must gain
 SURPRISE = 6.0  #: standard deviations above chance from which a word can be a landmark
 LANDMARKS, NEAR = 64, 8  #: toxic landmarks, and clean ones near them
 
 # The alphabet of the kernel; 63 stands for any other character, 0 for none.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789^$áàâäéèêëíìîïóòôöúùûüñçßæ"
 CODES = {c: k + 1 for k, c in enumerate(ALPHABET)}
+LETTERS, DIGITS = ALPHABET[:26], ALPHABET[26:36]
 EDGES = " \t\n\r.,;:!?\"'()[]{}<>*_#|&%$/\\-–—«»“”‘’…"
 SENTENCE = re.compile(r"[.!?]+(?=\s|\Z)|\n")
 INNER = re.compile(r"[\W_]+")
@@ -77,6 +85,15 @@ def forms(word: str) -> list[str]:
     return [x for x in dict.fromkeys((bare, plain)) if len(x) >= 2]
 
 
+def variants(word: str) -> list[str]:
+    """A word with any one character left out, and with any one digit read as any letter."""
+    out = [word[:k] + word[k + 1 :] for k in range(len(word))]
+    digits = [k for k, c in enumerate(word) if c in DIGITS]
+    if len(digits) < len(word):
+        out += [word[:k] + c + word[k + 1 :] for k in digits for c in LETTERS]
+    return [x for x in out if len(x) >= 2]
+
+
 def coded(words: list[str], width: int) -> np.ndarray:
     """Characters of the words between their edges, by the alphabet; 0 behind a word's end."""
     text = "".join([f"^{w}$".ljust(width, "\0") for w in words])
@@ -122,10 +139,12 @@ class Kernel:
     """Kernel values with fixed landmarks."""
 
     landmarks: list[str]
+    telling: int | None = None  #: how many of them, from the first, are of the toxic class (None: all)
     place: np.ndarray = field(init=False)  #: row of ``matrix`` of each subsequence; row 0 is empty
     matrix: np.ndarray = field(init=False)
     known: np.ndarray = field(init=False)  #: whether a subsequence is in any landmark
 
+
     def __post_init__(self) -> None:
         row, what, value = sparse(self.landmarks, max(map(len, self.landmarks)) + 2)
         names, inverse = np.unique(what, return_inverse=True)
@@ -135,7 +154,7 @@ class Kernel:
         self.matrix[inverse + 1, row] = value
         self.known = (self.place > 0).view(np.uint8)
 
-    def values(self, words: list[str]) -> list[np.ndarray | None]:
+    def values(self, words: list[str], floor: float = FLOOR) -> list[np.ndarray | None]:
         """Of each word the kernel values with all landmarks, those under the floor as 0; None where all are."""
         out: list[np.ndarray | None] = [None] * len(words)
         by_width: dict[int, list[int]] = {}
@@ -145,10 +164,38 @@ class Kernel:
         for width, group in by_width.items():
             step = max(1, 32768 // width)
             for first in range(0, len(group), step):
-                self._some(words, group[first : first + step], width, out)
+                self._some(words, group[first : first + step], width, floor, out)
         return out
 
-    def _some(self, words: list[str], group: list[int], width: int, out: list) -> None:
+    def tolerant(self, words: list[str]) -> list[np.ndarray | None]:
+        """:meth:`values`, where a word that is like a landmark is also seen without its odd characters.
+
+        Characters are left out one by one, or a digit read as a letter, each time the one that makes the word likest, ``SPARE``
+        times over; what comes out takes part where it is a landmark of the toxic class, or all but one.
+        """
+        def like(v: np.ndarray | None) -> float:
+            return float(v[: self.telling].max(initial=0)) if v is not None else 0.0
+
+        out = self.values(words, CLOSE)
+        now = [(k, w, top) for k, (w, v) in enumerate(zip(words, out)) if CLOSE <= (top := like(v)) < ALIKE]
+        for _ in range(SPARE):
+            forms = {w: variants(w) for _, w, _ in now}
+            flat = list(dict.fromkeys(x for many in forms.values() for x in many))
+            found = dict(zip(flat, self.values(flat, CLOSE)))
+            after = []
+            for k, w, top in now:
+                likest, best = max(((like(found[x]), x) for x in forms[w]), default=(0.0, ""))
+                if likest >= ALIKE:
+                    out[k] = np.maximum(out[k], found[best])
+                elif likest > top + GAIN:
+                    after.append((k, best, likest))
+            now = after
+        for v in out:
+            if v is not None:
+                v[v < FLOOR] = 0
+        return [v if v is not None and v.any() else None for v in out]
+
+    def _some(self, words: list[str], group: list[int], width: int, floor: float, out: list) -> None:
         some = [words[k] for k in group]
         length = np.fromiter(map(len, some), np.int64, len(some)) + 2
         hit, total = np.zeros(len(some)), np.zeros(len(some))
@@ -167,7 +214,7 @@ class Kernel:
             end = starts[k + 256] if k + 256 < len(starts) else len(row)
             first = starts[k]
             found[row[starts[k : k + 256]]] = np.add.reduceat(self.matrix[at[first:end]] * value[first:end, None], starts[k : k + 256] - first)
-        found[found < FLOOR] = 0
+        found[found < floor] = 0
         for k in np.flatnonzero(found.any(1)).tolist():
             out[group[close[k]]] = found[k]
 
@@ -199,7 +246,7 @@ class Scorer:
             new = list(words)
         shapes = [forms(w) for w in new]
         flat = list(dict.fromkeys(x for s in shapes for x in s))
-        found = dict(zip(flat, self.model.kernel.values(flat)))
+        found = dict(zip(flat, self.model.kernel.tolerant(flat)))
         for w, s in zip(new, shapes):
             best = [v for x in s if (v := found[x]) is not None]
             self.known[w] = (np.maximum(best[0], best[1]) if len(best) > 1 else best[0]) if best else None
@@ -233,8 +280,8 @@ class Scorer:
         return out
 
 
-def pick_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """Words that tell the toxic class, unlike each other, and the clean words nearest to them."""
+def pick_landmarks(texts: list[str], toxic: np.ndarray) -> tuple[list[str], int]:
+    """Words that tell the toxic class, unlike each other, and behind them (their number) the clean words nearest to them."""
     seen: tuple[Counter, Counter] = Counter(), Counter()
     for t, y in zip(texts, toxic):
         seen[int(y)].update({f for w in set(units(t.lower())) for f in forms(w)[-1:]})
@@ -245,10 +292,10 @@ def pick_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
         p = (a + b) / (n[0] + n[1])
         return (a / n[1] - b / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-12)
 
-    worth = {w: z for w, a in seen[1].items() if a >= 8 and len(w) <= 40 and (z := surprise(a, seen[0][w])) >= SURPRISE}
+    worth = {w: z for w, a in seen[1].items() if a >= 8 and len(w) <= LANDMARK_CHARS and (z := surprise(a, seen[0][w])) >= SURPRISE}
     ranked = sorted(worth, key=lambda w: (-worth[w], w))[:4000]
     if not ranked:
-        return []
+        return [], 0
     width = max(map(len, ranked)) + 2
     row, what, value = sparse(ranked, width)
     bounds = np.searchsorted(row, np.arange(len(ranked) + 1))
@@ -267,9 +314,9 @@ def pick_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
             break
     landmarks = [ranked[k] for k in chosen]
     kernel = Kernel(landmarks)
-    clean = [w for w, c in seen[0].most_common(60_000) if c >= 3 and len(w) <= 40 and w not in worth or seen[0][w] >= 2 * seen[1][w]]
+    clean = [w for w, c in sorted(seen[0].items()) if len(w) <= LANDMARK_CHARS and (c >= 3 and w not in worth or c >= 2 * seen[1][w])]
     close = [(seen[0][w] * float(v.max()), w) for w, v in zip(clean, kernel.values(clean)) if v is not None and w not in landmarks]
-    return landmarks + [w for _, w in sorted(close, key=lambda x: (-x[0], x[1]))[:NEAR]]
+    return landmarks + [w for _, w in sorted(close, key=lambda x: (-x[0], x[1]))[:NEAR]], len(landmarks)
 
 
 def train_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -306,10 +353,10 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None) -> Mode
     """The model of labelled texts; ``share``: of the toxic class where the texts come from, if they are no fair sample."""
     toxic = np.asarray(toxic, bool)
     share = float(toxic.mean()) if share is None and len(toxic) else (share or 0.0)
-    landmarks = pick_landmarks(texts, toxic) if toxic.any() and not toxic.all() else []
+    landmarks, telling = pick_landmarks(texts, toxic) if toxic.any() and not toxic.all() else ([], 0)
     if not landmarks:
         return Model(None, np.zeros(0), 0.0, 1.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), "none")
-    kernel = Kernel(landmarks)
+    kernel = Kernel(landmarks, telling)
     scorer = Scorer(Model(kernel, np.zeros(len(landmarks)), 0.0, 1.0, 0.0))
     values = [v for k in range(0, len(texts), 500) for v in scorer.sentence_values(texts[k : k + 500])]
     own = np.stack([v if v is not None else np.zeros(len(landmarks), np.float32) for v in kernel.values(landmarks)])
@@ -355,7 +402,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, cle
     some = [known.filter(F.col("toxic") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic_rows), known.filter(F.col("toxic") <= 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(clean_rows)]
     ids = some[0].union(some[1]).withColumnRenamed("doc_id", "k")
     # The bounds above are those of this broadcast and of what comes to the driver.
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("k")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("k")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over no more rows than the bounds
+    rows = sample.withColumn("upto", upto).filter(F.col("upto") <= TRAIN_BYTES).drop("upto").toArrow().sort_by("doc_id")
     return fit(rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), np.int64) > 0, n.get(1, 0) / max(1, sum(n.values())))
 
 
