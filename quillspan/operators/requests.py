@@ -6,9 +6,6 @@ each object's keys, and only then is the text read with the fixed schema.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,31 +21,31 @@ FIELDS = {
 }
 
 
+def bare_json(text: Column) -> Column:
+    """A JSON text without its strings; an unclosed string ends the text."""
+    return F.regexp_replace(text, r'(?s)"(?:[^"\\]|\\.)*+(?:"|\\?\z)', "")
+
+
+def json_nesting(text: Column) -> Column:
+    """``most``: the deepest nesting of brackets outside of strings; ``again``: whether a bracket opens once all were closed."""
+    brackets = F.regexp_replace(bare_json(text), r"[^\[\]{}]+", "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"), F.lit(False).alias("shut"), F.lit(False).alias("again"))
+
+    def step(acc: Column, c: Column) -> Column:
+        depth = acc["depth"] + F.when(c.isin("[", "{"), 1).when(c == "", 0).otherwise(-1)
+        return F.struct(depth.alias("depth"), F.greatest(acc["most"], depth).alias("most"), (acc["shut"] | ((depth <= 0) & (c != ""))).alias("shut"), (acc["again"] | (acc["shut"] & (c != ""))).alias("again"))
+
+    return F.when(text.isNotNull(), F.aggregate(F.split(brackets, ""), start, step))
+
+
 def json_depth(text: Column) -> Column:
-    """Deepest nesting of brackets outside of strings, counted over whole Arrow batches; an unclosed string ends the text."""
-
-    def one(value: str | None) -> int | None:
-        if value is None:
-            return None
-        depth = most = 0
-        quoted = escaped = False
-        for c in value:
-            if quoted:
-                quoted, escaped = (escaped or c != '"'), (not escaped and c == "\\")
-            elif c == '"':
-                quoted = True
-            elif c in "[{":
-                depth += 1
-                most = max(most, depth)
-            elif c in "]}":
-                depth -= 1
-        return most
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(one).astype("Int64")
-
-    return F.pandas_udf(run, "long", F.PandasUDFType.SCALAR_ITER)(text)
+    """Deepest nesting of brackets outside of strings."""
+    return json_nesting(text)["most"].cast("long")
+
+
+def trailing_json(text: Column) -> Column:
+    """Whether something but white space follows the first value of a text that begins with an object or an array."""
+    return json_nesting(text)["again"] | ~bare_json(text).rlike(r"[\]}][ \t\r\n]*\z")
 
 
 def unknown_keys(text: Column, kind: str) -> Column:
@@ -92,7 +89,7 @@ def parse(requests: DataFrame, limits: dict[str, int] | None = None) -> DataFram
     """``requests(batch_id, body)`` with ``problem`` (the first, in the order of evaluation) and the parsed ``request``."""
     n = LIMITS | (limits or {})
     body = F.col("body")
-    df = requests.select("batch_id", "body", json_depth(body).alias("depth"), F.expr("try_parse_json(body)").isNotNull().alias("well_formed"), F.from_json(body, REQUEST).alias("request"), strict_keys(body).alias("strict"))
+    df = requests.select("batch_id", "body", json_depth(body).alias("depth"), (F.expr("try_parse_json(body)").isNotNull() & ~trailing_json(body)).alias("well_formed"), F.from_json(body, REQUEST).alias("request"), strict_keys(body).alias("strict"))
     ops = F.col("request.operations")
     paths = F.flatten(F.transform(ops, lambda o: F.array(o["source"]["path"], o["destination"]["path"])))
     first = F.get(F.filter(F.transform(ops, operation_problem), lambda p: p.isNotNull()), F.lit(0))

@@ -19,6 +19,13 @@ def duplicate_paths(files: DataFrame) -> DataFrame:
     return files.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("existed")).alias("files")).filter("n > 1").select("path", "n", ((F.col("files") > 0) & (F.col("files") < F.col("n"))).alias("mixed"))
 
 
+def index_problems(required: DataFrame, files: DataFrame) -> DataFrame:
+    """Batches that name a path which the snapshot holds twice: ``batch_id, path, problem``."""
+    twice = duplicate_paths(files).withColumnRenamed("path", "twice")
+    asked = required.select("batch_id", "path").distinct().join(twice, F.col("path") == F.col("twice"))
+    return asked.select("batch_id", "path", F.when(F.col("mixed"), "EDIT_CONFLICT").otherwise("INTERNAL_ERROR").alias("problem"))
+
+
 def precondition_conflicts(required: DataFrame) -> DataFrame:
     """Requirements that differ from the one before them on the same path, in order of operation and role."""
     before = Window.partitionBy("batch_id", "path").orderBy("operation_index", "role")

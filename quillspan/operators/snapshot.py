@@ -45,6 +45,20 @@ def aliases(files: DataFrame) -> DataFrame:
     return known.withColumn("first_path", F.first("path").over(same)).filter(F.col("first_path") != F.col("path")).select("first_path", "path", "device", "inode")
 
 
+def acquisition_problems(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """What keeps a batch's files from being read: ``batch_id, step, path, problem``.
+
+    ``step`` 0: paths that are asked to exist and to be absent; 1, in path order: a file that is the same as an earlier one of the
+    batch by another path.
+    """
+    states = wanted.groupBy("batch_id", "path").agg(F.count_distinct(F.col("state") == "must_not_exist").alias("n"))
+    torn = states.filter("n > 1").select("batch_id", F.lit(0).alias("step"), "path", F.lit("PRECONDITION_FAILED").alias("problem"))
+    known = files.filter(F.col("existed") & F.col("device").isNotNull() & F.col("inode").isNotNull()).select(F.col("path").alias("known"), "device", "inode")
+    before = Window.partitionBy("batch_id", "device", "inode").orderBy("path")
+    same = states.join(known, F.col("path") == F.col("known")).withColumn("earlier", F.lag("path").over(before)).filter(F.col("earlier") != F.col("path"))
+    return torn.unionByName(same.select("batch_id", F.lit(1).alias("step"), "path", F.lit("FILE_ALIAS").alias("problem")))
+
+
 #: Limits of a snapshot, in the order in which they are looked at.
 LIMITS = {"identities": 1000, "bytes": 1 << 30, "lines": 5_000_000, "index_bytes": 256 << 20}
 

@@ -35,6 +35,12 @@ class Plan:
         asked = self.required.select(F.col("path").alias("asked")).distinct()
         return self.all_files.join(asked, F.col("path") == F.col("asked"), "left_semi")
 
+    @cached_property
+    def unread(self) -> DataFrame:
+        """What is wrong with the batches' files before any operation is looked at."""
+        first = snapshot.acquisition_problems(self.required, self.used_files).select("batch_id", F.lit("snapshot").alias("phase"), "path", F.col("step").alias("rank"), "problem")
+        return first.unionByName(resolve.index_problems(self.required, self.used_files).select("batch_id", F.lit("index").alias("phase"), "path", F.lit(0).alias("rank"), "problem"))
+
     @cached_property
     def files(self) -> DataFrame:
         return resolve.indexed(self.used_files, line_ends("bytes"))
@@ -54,7 +60,7 @@ class Plan:
     @cached_property
     def good(self) -> DataFrame:
         """Resolved operations of the batches without any problem so far."""
-        bad = self.conflicts.select("batch_id").union(self.resolved.filter("problem is not null").select("batch_id")).distinct()
+        bad = self.conflicts.select("batch_id").union(self.resolved.filter("problem is not null").select("batch_id")).union(self.unread.select("batch_id")).distinct()
         return staged(self.resolved.join(bad, "batch_id", "left_anti"), "good")
 
     @cached_property
@@ -75,11 +81,16 @@ class Plan:
 
     def problems(self) -> DataFrame:
         """The first problem of each batch that has one."""
+        torn = self.unread.filter("phase = 'snapshot'")
+        # A path that is asked for in two states stops everything; files are then read in path order.
+        read = errors.problems(torn, "snapshot", None, "concat(rank, path)")
+        index = errors.problems(self.unread.filter("phase = 'index'"), "index", None, "path")
         pre = errors.problems(resolve.precondition_conflicts(self.required), "precondition", "PRECONDITION_CONFLICT", "''", "operation_index * 2 + role")
         ops = errors.problems(self.resolved.filter("problem is not null"), "operation", None, "''", "operation_index")
-        outs = errors.problems(self.conflicts, "output", None, "path", "rank")
+        linked = compose.linked_outputs(self.outputs, self.used_files).select("batch_id", "path", F.lit(None).cast("long").alias("operation_index"), F.lit(2).alias("rank"), F.lit("HARD_LINK_NOT_SUPPORTED").alias("problem"))
+        outs = errors.problems(self.conflicts.unionByName(linked), "output", None, "path", "rank")
         used = errors.problems(accounting.limit_violations(self.usage()), "budget", "RESOURCE_LIMIT_EXCEEDED")
-        return errors.first_problem(pre, ops, outs, used)
+        return errors.first_problem(read, index, pre, ops, outs, used)
 
     def digests(self, domain: bytes = b"") -> DataFrame:
         asked = self.required.select("batch_id", F.col("path").alias("r_path")).distinct()

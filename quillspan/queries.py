@@ -64,10 +64,11 @@ def line_terminator_histogram(spark, sf_dir):
     return snapshot.terminator_histogram(L.line_table(T.files(spark, sf_dir, terminators=True)))
 
 
-@query(f"""WITH {MIXED} SELECT path, count(*) AS line_count, min(CASE WHEN line = 2 THEN line_start END) AS second_start, min(CASE WHEN line = 2 THEN line_end END) AS second_end FROM lt GROUP BY 1""")
+@query(f"""WITH {MIXED} SELECT path, n AS line_count, line, line_start, line_end FROM (SELECT *, count(*) OVER (PARTITION BY path) AS n FROM lt) WHERE line = CAST(path AS BIGINT) % n + 1""")
 def line_bounds(spark, sf_dir):
     f = T.files(spark, sf_dir, terminators=True).withColumn("ends", L.line_ends("bytes"))
-    return f.select("path", L.line_count("ends").alias("line_count"), L.line_start("ends", F.lit(2)).alias("second_start"), L.line_end("ends", F.lit(2)).alias("second_end"))
+    f = f.withColumn("line_count", L.line_count("ends")).withColumn("line", F.col("path").cast("long") % F.col("line_count") + 1)
+    return f.select("path", "line_count", "line", L.line_start("ends", F.col("line")).alias("line_start"), L.line_end("ends", F.col("line")).alias("line_end"))
 
 
 @query(f"""WITH {MIXED}, x AS (SELECT path, doc_id, encode(text) AS b, strlen(text) AS n FROM w), y AS (SELECT path, n, doc_id * 37 % (n + 1) AS p, doc_id * 91 % (n + 1) AS q, b FROM x), z AS (SELECT path, least(p, q) AS s, greatest(p, q) AS e, hex(b[least(p, q) + 1 : greatest(p, q)]) AS h FROM y),
@@ -92,10 +93,11 @@ def metrics_fold(spark, sf_dir):
 
 
 @query(f"""WITH {FILES} SELECT p.k AS request_id, CAST(p.j - 1 AS INTEGER) AS position, p.path, w.path IS NOT NULL AS exists, w.sha AS sha256, w.n AS byte_length, CASE WHEN w.path IS NOT NULL THEN CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) OR text = '' THEN 0 ELSE 1 END AS BIGINT) END AS line_count
-FROM (SELECT o_custkey AS k, unnest([1, 2, 3]) AS j, lpad(CAST(unnest([o_orderkey % 1500, o_orderkey % 1500, o_custkey % 1500]) AS VARCHAR), 8, '0') AS path FROM (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1)) p LEFT JOIN w ON w.path = p.path""")
+FROM (SELECT o_custkey AS k, unnest([1, 2, 3]) AS j, lpad(CAST(unnest([o_orderkey % (SELECT count(*) + 500 FROM documents), o_orderkey % (SELECT count(*) + 500 FROM documents), o_custkey % (SELECT count(*) + 500 FROM documents)]) AS VARCHAR), 8, '0') AS path FROM (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1)) p LEFT JOIN w ON w.path = p.path""")
 def inspect_files(spark, sf_dir):
-    asked = T.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("k"))
-    a, b = T.path_of(F.col("k") % 1500), T.path_of(F.col("o_custkey") % 1500)
+    n = F.broadcast(T.table(spark, sf_dir, "documents").agg((F.count(F.lit(1)) + 500).alias("n")))  # 500 of the paths do not exist
+    asked = T.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("k")).crossJoin(n)
+    a, b = T.path_of(F.col("k") % F.col("n")), T.path_of(F.col("o_custkey") % F.col("n"))
     return snapshot.inspect(asked.select(F.col("o_custkey").alias("request_id"), F.array(a, a, b).alias("paths")), T.files(spark, sf_dir)).drop("identity")
 
 
@@ -202,6 +204,19 @@ def first_problems(spark, sf_dir):
     return _plan(spark, sf_dir).problems().select("batch_id", "key", "problem")
 
 
+@query(f"""{UP_TO_O}, ino AS (SELECT path, doc_id - CASE WHEN doc_id % 5 = 1 THEN 1 ELSE 0 END AS inode, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS links FROM w), ask AS (SELECT batch_id, source_path AS path FROM o UNION SELECT batch_id, destination_path FROM o),
+al AS (SELECT batch_id, min(path) AS path FROM (SELECT ask.batch_id, ask.path, row_number() OVER (PARTITION BY ask.batch_id, inode ORDER BY ask.path) AS k FROM ask JOIN ino ON ino.path = ask.path) WHERE k > 1 GROUP BY 1),
+later AS (SELECT batch_id, path, 0 AS rank, 'OVERLAPPING_DELETIONS' AS problem FROM ov UNION ALL SELECT batch_id, path, 1, 'INSERTION_IN_DELETION' FROM ins UNION ALL SELECT out.batch_id, out.path, 2, 'HARD_LINK_NOT_SUPPORTED' FROM out JOIN ino ON ino.path = out.path WHERE links > 1 AND change_kind <> 'unchanged'),
+firsts AS (SELECT batch_id, path, problem, row_number() OVER (PARTITION BY batch_id ORDER BY path, rank) AS k FROM later)
+SELECT batch_id, '1' || path AS "key", 'FILE_ALIAS' AS problem FROM al UNION ALL SELECT batch_id, path, problem FROM firsts WHERE k = 1 AND batch_id NOT IN (SELECT batch_id FROM al)""")
+def problems_by_phase(spark, sf_dir):
+    """Files of which some are one file by two paths, and some have two links."""
+    shared = F.col("inode_of") - F.when(F.col("inode_of") % 5 == 1, 1).otherwise(0)
+    f = T.files(spark, sf_dir).withColumn("inode_of", F.col("path").cast("long"))
+    f = f.withColumns({"inode": shared.cast("decimal(20,0)"), "link_count": F.when(F.col("inode_of") % 7 == 0, 2).otherwise(1).cast("decimal(20,0)")}).drop("inode_of")
+    return plan(T.operations(spark, sf_dir), f).problems().select("batch_id", "key", "problem")
+
+
 @query()
 def plan_digest(spark, sf_dir):
     """Deterministic record digests; no SQL has CBOR, golden vectors are in the tests."""
@@ -220,7 +235,7 @@ def review_ops(spark, sf_dir):
     return review.review_operations(p.resolved, p.files)
 
 
-@query(f"""{UP_TO_O} SELECT batch_id, path, CAST(CASE WHEN bh = '' THEN 0 ELSE len(list_filter(range(0, length(bh) // 2), lambda i: bh[2 * i + 1 : 2 * i + 2] = '0A')) + CASE WHEN ends_with(bh, '0A') THEN 0 ELSE 1 END END AS BIGINT) AS before_logical_line_count, CAST(CASE WHEN h = '' THEN 0 ELSE len(list_filter(range(0, length(h) // 2), lambda i: h[2 * i + 1 : 2 * i + 2] = '0A')) + CASE WHEN ends_with(h, '0A') THEN 0 ELSE 1 END END AS BIGINT) AS after_logical_line_count FROM outs""")
+@query(f"""{UP_TO_O}, tx AS (SELECT batch_id, path, decode(unhex(bh)) AS a, decode(unhex(h)) AS b FROM outs) SELECT batch_id, path, CAST(length(a) - length(replace(a, chr(10), '')) + CASE WHEN a = '' OR ends_with(a, chr(10)) THEN 0 ELSE 1 END AS BIGINT) AS before_logical_line_count, CAST(length(b) - length(replace(b, chr(10), '')) + CASE WHEN b = '' OR ends_with(b, chr(10)) THEN 0 ELSE 1 END AS BIGINT) AS after_logical_line_count FROM tx""")
 def review_outputs(spark, sf_dir):
     p = _plan(spark, sf_dir)
     return review.review_outputs(p.outputs, p.recipe, p.files)
@@ -263,24 +278,6 @@ def projected_disk(spark, sf_dir):
 
 # --- Positions and symbols ----------------------------------------------------------------------------------------------
 
-SPOTS = f"""{FILES}, {LINES}, sp AS (SELECT l_orderkey * 10 + l_linenumber AS query_id, lpad(CAST(l_orderkey % (SELECT count(*) FROM documents) AS VARCHAR), 8, '0') AS path, l_partkey AS pk FROM lineitem WHERE l_linenumber = 1)"""
-
-
-def _spots(spark, sf_dir):
-    n_docs = F.broadcast(T.table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_docs")))
-    li = T.table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").crossJoin(n_docs)
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("query_id"), T.path_of(F.col("l_orderkey") % F.col("n_docs")).alias("path"), F.col("l_partkey").alias("pk"))
-
-
-@query(f"""WITH {SPOTS}, f AS (SELECT query_id, l.path, l.line, l.line_start, decode(encode(w.text)[l.line_start + 1 : l.line_end - CASE terminator WHEN 'LF' THEN 1 ELSE 0 END]) AS t, pk FROM sp JOIN w ON w.path = sp.path JOIN l ON l.path = sp.path AND l.line = 1), g AS (SELECT *, pk % (length(t) + 2) + 1 AS c FROM f) SELECT query_id, path, CAST(c AS BIGINT) AS scalar_column, CASE WHEN c <= length(t) + 1 THEN CAST(line_start + strlen(t[1 : c - 1]) AS BIGINT) END AS byte_offset FROM g""")
-def scalar_columns(spark, sf_dir):
-    first = L.line_table(T.files(spark, sf_dir)).filter("line = 1").select(F.col("path").alias("f_path"), "line_start", "line_end", "terminator")
-    j = _spots(spark, sf_dir).join(first, F.col("path") == F.col("f_path")).join(T.files(spark, sf_dir).select(F.col("path").alias("b_path"), "bytes"), F.col("path") == F.col("b_path"))
-    t = L.cut("bytes", F.col("line_start"), F.col("line_end") - F.when(F.col("terminator") == "LF", 1).otherwise(0)).cast("string")
-    j = j.withColumn("t", t).withColumn("scalar_column", F.col("pk") % (F.length("t") + 2) + 1)
-    return j.select("query_id", "path", "scalar_column", P.column_to_byte(F.col("t"), F.col("line_start"), F.col("scalar_column")).alias("byte_offset"))
-
-
 @query()
 def utf16_positions(spark, sf_dir):
     """UTF-16 positions of every spot's document, there and back; unit tests hold them against Python's own codecs."""
@@ -296,15 +293,6 @@ def utf16_positions(spark, sf_dir):
     return P.position_to_byte(ask, lines)
 
 
-@query(f"""WITH {SPOTS} SELECT query_id, sp.path, l.line_start AS start, l.line_end AS "end" FROM sp JOIN l ON l.path = sp.path AND l.line = 1""")
-def extent_lines(spark, sf_dir):
-    """A range inside a document's first line that leaves only blanks out grows to the line."""
-    first = L.line_table(T.files(spark, sf_dir)).filter("line = 1").select(F.col("path").alias("f_path"), "line_start", "line_end", "terminator")
-    j = _spots(spark, sf_dir).join(first, F.col("path") == F.col("f_path")).join(T.files(spark, sf_dir).select(F.col("path").alias("b_path"), "bytes"), F.col("path") == F.col("b_path"))
-    j = j.withColumn("x", L.declaration_extent("bytes", F.col("line_start"), F.col("line_end") - F.when(F.col("terminator") == "LF", 1).otherwise(0)))
-    return j.select("query_id", "path", "x.start", "x.end")
-
-
 def _tree(spark, sf_dir):
     """Regions, nations, suppliers and customers as symbols of one text: ranges by pre-order numbers."""
     region, nation = T.table(spark, sf_dir, "region"), T.table(spark, sf_dir, "nation")
@@ -378,4 +366,4 @@ def ambiguity(spark, sf_dir):
     return symbols.gate(symbols.by_position(ask, _tree(spark, sf_dir), smallest=False), ask, unique=True).drop("candidates")
 
 
-from . import log_queries  # noqa: E402, F401  (adds its own names)
+from . import log_queries, scalar_queries  # noqa: E402, F401  (they add their own names)

@@ -175,3 +175,10 @@ def test_progress_of_a_target(spark):
     states = spark.createDataFrame(rows, f"transaction_id string, sequence long, global_state string, targets array<{journal.TARGET}>")
     got = {r.transaction_id: r.problem for r in journal.transition_problems(states, journal.edges(spark)).collect()}
     assert got == {"swapped": "candidate_state_regressed", "early": "rollback_progress_outside_rollback", "frozen": "commit_state_regressed", "entering": "commit_state_regressed", "undone": "rollback_state_changed_after_restore"}
+
+
+def test_nesting_of_json(spark):
+    rows = {'{"a":"[[[["}': (1, False), '{"a":[{"b":"\\"]"}]}': (3, False), '{} ': (1, False), "{}}": (1, True), "{}x": (1, True), "[1][2]": (1, True), '{"a\\\\":[]}\n': (2, False), '{"open': (1, True)}
+    df = spark.createDataFrame([(k,) for k in rows], "t string")
+    got = {r.t: (r.d, r.x) for r in df.select("t", requests.json_depth(F.col("t")).alias("d"), requests.trailing_json(F.col("t")).alias("x")).collect()}
+    assert got == rows

@@ -78,6 +78,15 @@ def test_first_problem_of_a_batch(spark):
     assert {r.batch_id: r.problem for r in p.problems().collect()} == {"late": "OVERLAPPING_DELETIONS", "gone": "SELECTOR_OUT_OF_RANGE"}
 
 
+def test_problems_before_any_operation(spark):
+    files = {"a": b"abcdef", "b": b"xyz", "c": b"ccc"}
+    rows = [op("alias", 0, "copy", "a", 0, 99, "b", 0, files), op("torn", 0, "copy", "a", 0, 1, "new", 0, files), op("torn", 1, "copy", "a", 0, 1, "new", 0, files | {"new": b""}), op("linked", 0, "copy", "a", 0, 1, "c", 0, files), op("source", 0, "copy", "c", 0, 1, "a", 0, files), op("twice", 0, "copy", "d", 0, 9, "a", 0, files | {"d": b"1"})]
+    known = [("a", True, bytearray(b"abcdef"), sha(b"abcdef"), D(1), D(5), D(1), D(0), D(1)), ("b", True, bytearray(b"xyz"), sha(b"xyz"), D(1), D(5), D(1), D(0), D(1)), ("c", True, bytearray(b"ccc"), sha(b"ccc"), D(1), D(6), D(1), D(0), D(2)), ("d", True, bytearray(b"1"), sha(b"1"), D(1), D(7), D(1), D(0), D(1)), ("d", False, None, None, None, None, D(1), D(0), None)]
+    p = plan(spark.createDataFrame(rows, OPERATIONS), spark.createDataFrame(known, FILES))
+    got = {r.batch_id: r.problem for r in p.problems().collect()}
+    assert got == {"alias": "FILE_ALIAS", "torn": "PRECONDITION_FAILED", "linked": "HARD_LINK_NOT_SUPPORTED", "twice": "EDIT_CONFLICT"}
+
+
 def test_cbor_integers_of_every_width():
     for value, encoded in ((0, "00"), (23, "17"), (24, "1818"), (255, "18ff"), (256, "190100"), (65536, "1a00010000"), (1 << 32, "1b0000000100000000"), ((1 << 64) - 1, "1bffffffffffffffff")):
         assert planhash.cbor(value).hex() == encoded
