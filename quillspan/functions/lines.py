@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 LINE = r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+"
 TERMINATOR = r"\r\n|\r|\n"
+RUN = 256
 
 
 def _col(c: Column | str) -> Column:
@@ -28,22 +28,38 @@ def line_pieces(data: Column | str) -> Column:
     return F.regexp_extract_all(latin1(data), F.lit(LINE), F.lit(0))
 
 
+def running_sums(numbers: Column) -> Column:
+    """The running sums of an array of bigint.
+
+    An array cannot grow in place, so that a plain fold copies it at every element; here only runs of ``RUN`` elements, and then
+    the sums of those runs, are folded.
+    """
+
+    def fold(values: Column, first: Column) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("sums"), first.alias("at"))
+        return F.aggregate(values, start, lambda acc, n: F.struct(F.concat(acc["sums"], F.array(acc["at"] + n)).alias("sums"), (acc["at"] + n).alias("at")), lambda acc: acc["sums"])
+
+    zero = F.lit(0).cast("long")
+    count = F.ceil(F.size(numbers) / RUN).cast("int")
+    runs = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(numbers, k * RUN + 1, RUN))).otherwise(F.array().cast("array<array<bigint>>"))
+    ends = fold(F.transform(runs, lambda run: F.aggregate(run, zero, lambda a, n: a + n)), zero)
+    starts = F.concat(F.array(zero), F.slice(ends, F.lit(1), F.greatest(count - 1, F.lit(0))))
+    return F.flatten(F.zip_with(runs, F.slice(starts, F.lit(1), count), fold))
+
+
 def line_ends(data: Column | str) -> Column:
-    """Exclusive end of every line, ascending. Copies its result at every line: for files of many lines use :func:`line_table`."""
-    start = F.struct(F.array().cast("array<bigint>").alias("ends"), F.lit(0).cast("long").alias("at"))
-    return F.aggregate(line_pieces(data), start, lambda acc, p: F.struct(F.concat(acc["ends"], F.array(acc["at"] + F.length(p))).alias("ends"), (acc["at"] + F.length(p)).alias("at")), lambda acc: acc["ends"])
+    """Exclusive end of every line, ascending."""
+    return running_sums(F.transform(line_pieces(data), lambda p: F.length(p).cast("long")))
 
 
 def line_table(files: DataFrame, key: str = "path", data: str = "bytes") -> DataFrame:
     """``key, line`` (from 1), ``line_start, line_end`` (bytes, end exclusive), ``terminator`` (LF, CRLF, CR, NONE).
 
-    One exchange on the key; a file's running sum streams through its own partition.
+    Offsets are summed in the file's own row, so nothing is exchanged.
     """
-    each = files.select(key, F.posexplode(line_pieces(data)).alias("k", "piece"))
-    each = each.select(key, (F.col("k") + 1).cast("long").alias("line"), F.length("piece").cast("long").alias("n"), terminator_label("piece").alias("terminator"))
-    upto = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum("n").over(upto)
-    return each.select(key, "line", (end - F.col("n")).alias("line_start"), end.alias("line_end"), "terminator")
+    labels = F.transform(line_pieces(data), lambda p: F.struct(F.length(p).cast("long").alias("n"), terminator_label(p).alias("terminator")))
+    each = files.select(key, labels.alias("labels")).select(key, F.posexplode(F.zip_with("labels", running_sums(F.col("labels.n")), lambda x, end: F.struct(x["n"].alias("n"), x["terminator"].alias("terminator"), end.alias("end")))).alias("k", "x"))
+    return each.select(key, (F.col("k") + 1).cast("long").alias("line"), (F.col("x.end") - F.col("x.n")).alias("line_start"), F.col("x.end").alias("line_end"), F.col("x.terminator").alias("terminator"))
 
 
 def terminator_label(piece: Column | str) -> Column:

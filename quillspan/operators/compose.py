@@ -62,26 +62,28 @@ def segments(events: DataFrame, resolved: DataFrame, lengths: DataFrame) -> Data
     return every.select(*KEY, (F.row_number().over(order) - 1).cast("long").alias("seg"), F.when(F.col("rank") == 0, "payload").otherwise("original").alias("seg_class"), "operation_index", "source_path", "start", "end", "payload_sha256", F.col("place").alias("offset"))
 
 
-def outputs(recipe: DataFrame, events: DataFrame, files: DataFrame) -> DataFrame:
-    """Every output with its bytes' length and digest before and after, and how it changed.
+def composed(recipe: DataFrame, events: DataFrame, files: DataFrame) -> DataFrame:
+    """Every output with its bytes ``before`` (null for a new file) and ``after``, how it changed, and the digest before.
 
-    ``files(path, existed, bytes, sha256, byte_length, link_count?)``. Slices are joined by source path only here, and put
-    together in order.
+    ``files(path, existed, bytes, sha256, byte_length, link_count?)``.
     """
-    src = files.select(F.col("path").alias("s_path"), F.col("bytes").alias("s_bytes"))
-    parts = recipe.join(src, F.col("source_path") == F.col("s_path"), "left").select(*KEY, "seg", cut("s_bytes", F.col("start"), F.col("end")).alias("part"))
-    made = parts.groupBy(*KEY).agg(F.expr("listagg(part) within group (order by seg)").alias("made"))
+    made = rendered(recipe, files).withColumnRenamed("bytes", "made")
     touched = events.select(*KEY).distinct()
     before = files.select(F.col("path").alias("b_path"), F.col("existed"), F.col("bytes").alias("b_bytes"), F.col("sha256").alias("before_sha256"), F.col("byte_length").alias("before_length"))
     joined = touched.join(made, list(KEY), "left").join(before, F.col("path") == F.col("b_path"), "left")
     after = F.coalesce("made", F.unhex(F.lit("")))
     existed = F.coalesce("existed", F.lit(False))
     change = F.when(~existed, "created").when(after == F.col("b_bytes"), "unchanged").when(F.length(after) == 0, "emptied").otherwise("modified")
-    return joined.select(*KEY, change.alias("change_kind"), F.when(existed, F.col("before_length")).cast("long").alias("before_length"), F.when(existed, F.col("before_sha256")).alias("before_sha256"), F.length(after).cast("long").alias("after_length"), digest(after).alias("after_sha256"))
+    return joined.select(*KEY, change.alias("change_kind"), F.when(existed, F.col("b_bytes")).alias("before"), after.alias("after"), F.when(existed, F.col("before_length")).cast("long").alias("before_length"), F.when(existed, F.col("before_sha256")).alias("before_sha256"))
+
+
+def outputs(recipe: DataFrame, events: DataFrame, files: DataFrame) -> DataFrame:
+    """Every output with its bytes' length and digest before and after, and how it changed."""
+    return composed(recipe, events, files).select(*KEY, "change_kind", "before_length", "before_sha256", F.length("after").cast("long").alias("after_length"), digest("after").alias("after_sha256"))
 
 
 def rendered(recipe: DataFrame, files: DataFrame) -> DataFrame:
-    """The bytes of every output of a recipe."""
+    """The bytes of every output of a recipe. Slices are joined by source path only here, and put together in order."""
     src = files.select(F.col("path").alias("s_path"), F.col("bytes").alias("s_bytes"))
     parts = recipe.join(src, F.col("source_path") == F.col("s_path"), "left").select(*KEY, "seg", cut("s_bytes", F.col("start"), F.col("end")).alias("part"))
     return parts.groupBy(*KEY).agg(F.expr("listagg(part) within group (order by seg)").alias("bytes"))

@@ -76,6 +76,11 @@ class Plan:
     def outputs(self) -> DataFrame:
         return compose.outputs(self.recipe, self.events, self.files)
 
+    @cached_property
+    def sides(self) -> DataFrame:
+        """Every output with its bytes before and after, put together once."""
+        return compose.composed(self.recipe, self.events, self.files)
+
     def usage(self) -> DataFrame:
         return accounting.usage(self.resolved, self.outputs, self.recipe)
 

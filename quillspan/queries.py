@@ -247,10 +247,7 @@ def insertion_groups(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    p = _plan(spark, sf_dir)
-    made = compose.rendered(p.recipe, p.files).withColumnRenamed("bytes", "after")
-    before = p.files.select(F.col("path").alias("b_path"), F.col("bytes").alias("before"))
-    return p.outputs.select("batch_id", "path", "change_kind").join(made, ["batch_id", "path"], "left").join(before, F.col("path") == F.col("b_path")).drop("b_path")
+    return _plan(spark, sf_dir).sides.select("batch_id", "path", "change_kind", "before", "after")
 
 
 @query(f"""{UP_TO_O}, s AS (SELECT batch_id, path, string_split(decode(unhex(bh)), chr(10)) AS a0, string_split(decode(unhex(h)), chr(10)) AS b0 FROM outs), t AS (SELECT batch_id, path, list_filter(list_transform(range(1, len(a0) + 1), lambda i: a0[i] || CASE WHEN i < len(a0) THEN chr(10) ELSE '' END), lambda x: x <> '') AS a, list_filter(list_transform(range(1, len(b0) + 1), lambda i: b0[i] || CASE WHEN i < len(b0) THEN chr(10) ELSE '' END), lambda x: x <> '') AS b FROM s),

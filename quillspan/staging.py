@@ -1,22 +1,33 @@
-"""Cut lineage by writing a frame into the folder that driver and executors share."""
+"""Cut lineage by writing a frame into the folder that driver and executors share.
+
+What is written stays there: a lost executor's work is done again from it. Clear the folder when the application has ended.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back; where that is unset, below a folder of our own."""
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Where that is unset, a folder of our own, but in local mode alone: on a cluster each
+    machine would write to its own."""
     global _own_dir
+    if configured := spark.conf.get("spark.checkpoint.dir", None):
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _own_dir = _own_dir or tempfile.mkdtemp(prefix="quillspan-")
+    return _own_dir
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _own_dir = _own_dir or tempfile.mkdtemp(prefix="quillspan-")
-    path = f"{folder.rstrip('/')}/quillspan/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillspan/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -67,3 +67,25 @@ def test_extent(spark):
     df = spark.createDataFrame([r[:4] for r in rows], "k int, bytes binary, a long, b long")
     got = {r.k: (r.x.start, r.x.end) for r in df.select("k", L.declaration_extent("bytes", F.col("a"), F.col("b")).alias("x")).collect()}
     assert got == {r[0]: r[4:] for r in rows}
+
+
+def test_ends_of_many_lines(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = {str(n): "".join("x" * rng.randint(0, 5) + rng.choice(["\n", "\r\n", "\r"]) for _ in range(n)) + rng.choice(["", "y"]) for n in (0, 1, 255, 256, 257, 1500)}
+    files = spark.createDataFrame([(k, bytearray(t.encode())) for k, t in texts.items()], "path string, bytes binary")
+    rows = {r.path: list(r.ends) for r in files.select("path", L.line_ends("bytes").alias("ends")).collect()}
+    table = {}
+    for r in L.line_table(files).orderBy("path", "line").collect():
+        table.setdefault(r.path, []).append((r.line_start, r.line_end))
+    for k, t in texts.items():
+        expected, at = [], 0
+        while at < len(t):
+            end = at
+            while end < len(t) and t[end] not in "\r\n":
+                end += 1
+            end += 2 if t[end : end + 2] == "\r\n" else 1 if end < len(t) else 0
+            expected.append((at, end))
+            at = end
+        assert rows[k] == [e for _, e in expected] and table.get(k, []) == expected
