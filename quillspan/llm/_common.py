@@ -3,38 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..staging import shared_dir, staged  # noqa: F401  (for the operators)
 
 #: Rows of an Arrow batch handed to Python; bounds a worker's memory when texts are long.
 ARROW_ROWS = 1000
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary folder of our own."""
-    global _own_dir
-    if configured := spark.conf.get("spark.checkpoint.dir", None):
-        return configured.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="quillspan-")
-    return _own_dir
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it as Parquet into the shared folder and read that back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspan/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
