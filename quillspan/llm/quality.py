@@ -117,7 +117,7 @@ l1 AS (SELECT k, x FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 dl AS (SELECT k, count(*) - count(DISTINCT x) AS n FROM l1 GROUP BY 1),
 nl AS (SELECT l1.k, coalesce(source, chr(0)) AS host, regexp_replace(regexp_replace(lower(trim(x, ' ')), '[0-9]+', '0', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g') AS y FROM l1 JOIN d ON d.k = l1.k),
 nw AS (SELECT k, host, y, len(string_split(y, ' ')) AS n FROM nl),
-f AS (SELECT host, y FROM nw WHERE n >= 4 GROUP BY 1, 2 HAVING count(DISTINCT k) > 20),
+f AS (SELECT host, y FROM nw GROUP BY 1, 2 HAVING count(DISTINCT k) > 20),
 gone AS (SELECT k, sum(n) AS n FROM nw JOIN f ON nw.host = f.host AND nw.y = f.y GROUP BY 1),
 o AS (
   SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
