@@ -24,6 +24,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -80,6 +81,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     piece: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, dropped, inside the article
+    opened: Counter = Counter()  # elements of the stack, so that no tag has to look through it
     at, end = 0, len(page)
 
     def close() -> None:
@@ -112,23 +114,26 @@ def blocks_of(page: str) -> list[Block]:
                 piece.append(" ")
             if not closing:
                 continue
-            if not any(s[0] == tag for s in stack):
+            if not opened[tag]:
                 continue
         if tag not in INLINE:
             close()
         if tag in VOID:
             continue
         if closing:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            while opened[tag]:
+                gone = stack.pop()[0]
+                opened[gone] -= 1
+                if gone == tag:
+                    break
             continue
         if tag in CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()  # an open paragraph ends where a block begins
+            opened[stack.pop()[0]] -= 1  # an open paragraph ends where a block begins
         dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if tag in INLINE and not (dropped or is_noise(tag, attributes, inside)):
             continue  # an inline element matters only where its text goes
         stack.append((tag, dropped or is_noise(tag, attributes, inside), inside or tag in MAIN and not dropped))
+        opened[tag] += 1
     close()
     return out
 

@@ -176,6 +176,25 @@ def test_pages_without_an_article_lose_what_they_share(spark):
     assert got[8] == ("", 0) and got[9] == ("alone", 5)
 
 
+def test_deep_and_unclosed_markup_is_read_in_linear_time():
+    import time
+
+    began = time.process_time()
+    page = "<div>" * 40_000 + "</b></i></section>" * 40_000 + "text" + "</div>" * 10
+    assert html_text.blocks_of(page) == [("text", False)]
+    assert time.process_time() - began < 20
+
+
+def test_odd_page_tables(spark):
+    page = "<body><p>menu</p><article><p>own words of this page</p></article></body>"
+    rows = [(1, "http://h/a", page), (1, "http://h/a", page), (None, None, None), (2, "", ""), (3, "http://h/b", "<p>" + "long words " * 30_000), (4, "not a url", page)]
+    df = spark.createDataFrame([(*r, "k", "h", "p", [1], "t") for r in rows], "page_id long, url string, html string, key string, host string, path string, places array<int>, text string")
+    got = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in html_text.extract(df).collect())
+    own = "own words of this page"
+    assert [g[2] for g in got] == [own, own, "", ("long words " * 30_000).strip(), own, ""] and all(g[3] == len(g[2]) for g in got)
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_common_lines_is_longest():
     rng = random.Random(2)
     for _ in range(200):
