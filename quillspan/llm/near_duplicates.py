@@ -5,7 +5,9 @@ Documents are sets of five-word shingles (a text of fewer words is one shingle);
 is one representative with a multiplicity, and only representatives are compared.
 
 1. *Candidates*: MinHash bands put representatives into buckets. Each bucket links its members to its least member, and the
-   connected components of these links are the candidate groups: every pair that shares a bucket is inside one.
+   connected components of these links are the candidate groups: every pair that shares a bucket is inside one. A large group
+   whose buckets hold far fewer pairs than itself (a chain of texts each like the next) is taken apart into its buckets again;
+   there a pair counts in the first bucket that it shares.
 2. *Pruning*: a group is cut into blocks by hash, and every pair of blocks is one unit of work (a document goes to as many
    units as its group has blocks; no pair is ever a row). Inside a unit MinHash values are compared a batch at a time, and
    a pair is dropped once the posterior probability (uniform prior) that its similarity reaches the threshold falls below
@@ -44,6 +46,8 @@ STEP = 32  #: MinHash values compared before the posterior is looked at again
 TOLERANCE = 1e-6
 BLOCK_DOCS = 256
 BLOCK_SHINGLES = 200_000
+APART = 1024  #: members from which a candidate group may be taken apart into its buckets
+SALTS = 16  #: tasks over which the rows of one key are spread where they meet one row of that key
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 #: Bytes that separate words become spaces, A-Z become lower case; bytes of other letters stay.
@@ -142,6 +146,12 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text")).withColumn("text_key", F.xxhash64("text"))
 
 
+def met(many: DataFrame, key: str, one: DataFrame, its_key: str, spread: str, how: str = "inner") -> DataFrame:
+    """``many`` joined to ``one`` row a key; the rows of each key are spread over ``SALTS`` tasks by ``spread``, however many they are."""
+    salted = one.withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, (F.col(key) == F.col(its_key)) & (F.col("salt") == F.col("salt_of")), how).drop("salt", "salt_of")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (its least node) of the nodes of ``edges(a, b)``, by alternating large and small stars.
 
@@ -152,11 +162,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = staged(now, "links")
     before = None
     while True:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        small = large.join(least, F.col("a") == F.col("k"))
+        # Large star: what hangs on b hangs on the least neighbour of b. The one that all hang on in the end has no lesser one.
+        least = now.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
+        large = met(now, "b", least, "k", "a", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        least = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
+        small = met(large, "a", least, "k", "b")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         now = staged(small, "links")
         sum_of = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -169,11 +179,30 @@ def components(edges: DataFrame) -> DataFrame:
 def candidate_groups(reps: DataFrame) -> DataFrame:
     """``node, component`` of the representatives that share a bucket with another, directly or through others."""
     each = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = each.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("bucket"), "leader")
-    links = each.join(buckets, F.col("key") == F.col("bucket")).filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    links = met(each, "key", buckets(reps), "bucket", "rep").filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     return components(links)
 
 
+def buckets(reps: DataFrame) -> DataFrame:
+    """``bucket, leader, n_bucket`` of the buckets with more than one member."""
+    each = reps.select("rep", F.explode("bands").alias("key"))
+    return each.groupBy(F.col("key").alias("bucket")).agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n_bucket")).filter("n_bucket > 1")
+
+
+def units_of(reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """The candidates with the ``unit`` and ``band`` that each is compared in: its group (band -1), or each of its buckets."""
+    wanted = reps.select("rep", "copies", "rep_doc", "rep_text", "n_shingles", "bands").join(groups, F.col("rep") == F.col("node")).drop("node")
+    sizes = groups.groupBy(F.col("component").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    known = buckets(reps)
+    inside = known.join(groups, F.col("leader") == F.col("node")).groupBy(F.col("component").alias("in")).agg(F.sum(F.col("n_bucket") * (F.col("n_bucket") - 1)).alias("pairs"))
+    apart = sizes.join(inside, F.col("of") == F.col("in")).filter((F.col("n") > APART) & (4 * F.col("pairs") < F.col("n") * (F.col("n") - 1))).select("of", F.lit(True).alias("apart"))
+    marked = met(wanted, "component", apart, "of", "rep", "left")
+    whole = marked.filter(F.col("apart").isNull()).select("rep", "copies", "rep_doc", "rep_text", "n_shingles", F.col("component").alias("unit"), F.lit(-1).alias("band"))
+    taken = marked.filter("apart").select("rep", "copies", "rep_doc", "rep_text", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    taken = met(taken, "key", known, "bucket", "rep").select("rep", "copies", "rep_doc", "rep_text", "n_shingles", F.col("key").alias("unit"), "band")
+    return whole.unionByName(taken)
+
+
 def linked_pairs(sets: list[np.ndarray], sigs: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs (left[k], right[k]), those whose sets are similar enough."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -208,9 +237,13 @@ def linked_pairs(sets: list[np.ndarray], sigs: np.ndarray, left: np.ndarray, rig
     return left[keep], right[keep]
 
 
-def compare(reps: list[int], copies: list[int], sides: list[int], sets: list[np.ndarray], sigs: np.ndarray, crossed: bool) -> Iterator[tuple[int, int, int]]:
-    """(rep, links, root) of each document of one unit; ``crossed``: only pairs between the two sides count."""
+def compare(reps: list[int], copies: list[int], sides: list[int], sets: list[np.ndarray], sigs: np.ndarray, crossed: bool, band: int = -1) -> Iterator[tuple[int, int, int]]:
+    """(rep, links, root) of each document of one unit; ``crossed``: only pairs between the two sides count.
+
+    ``band``: that of the bucket which the unit is; pairs that share a bucket of an earlier band count there.
+    """
     n, weight = len(reps), np.array(copies, np.int64)
+    keys = np.array([band_keys(s)[:band] for s in sigs], np.int64).reshape(n, band) if band > 0 else np.zeros((n, 0), np.int64)
     side = np.array(sides)
     links = np.zeros(n, np.int64)
     root = list(range(n))
@@ -225,7 +258,11 @@ def compare(reps: list[int], copies: list[int], sides: list[int], sets: list[np.
         rows = np.arange(first, min(n, first + 128))
         left, right = (x.ravel() for x in np.meshgrid(rows, np.arange(n), indexing="ij"))
         wanted = (left < right) & (side[left] != side[right]) if crossed else left < right
-        left, right = linked_pairs(sets, sigs, left[wanted], right[wanted])
+        left, right = left[wanted], right[wanted]
+        if band > 0:
+            fresh = ~(keys[left] == keys[right]).any(1)
+            left, right = left[fresh], right[fresh]
+        left, right = linked_pairs(sets, sigs, left, right)
         links += np.bincount(left, weight[right], n).astype(np.int64) + np.bincount(right, weight[left], n).astype(np.int64)
         for a, b in zip(left.tolist(), right.tolist()):
             a, b = top(a), top(b)
@@ -242,8 +279,8 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> tuple[DataF
         shingler = Shingler()
         for b in batches:
             sets = [shingler(t) for t in b.column("text").to_pylist()]
-            columns = [b.column(c) for c in ("component", "blocks", "block", "rep", "copies")]
-            yield pa.record_batch([*columns, pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([signature(x).tobytes() for x in sets], pa.binary())], names=["component", "blocks", "block", "rep", "copies", "shingles", "sig"])
+            columns = [b.column(c) for c in ("unit", "band", "blocks", "block", "rep", "copies")]
+            yield pa.record_batch([*columns, pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([signature(x).tobytes() for x in sets], pa.binary())], names=["unit", "band", "blocks", "block", "rep", "copies", "shingles", "sig"])
 
     def units(batches) -> Iterator[pa.RecordBatch]:
         unit: list[tuple] = []
@@ -255,18 +292,18 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> tuple[DataF
             rows = [found[k] for k in sorted(found)]
             sigs = np.frombuffer(b"".join(x[4] for x in rows), np.uint32).reshape(-1, HASHES)
             sets = [np.frombuffer(x[3], np.uint64) for x in rows]
-            for r in compare([x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows], sets, sigs, key[1] != key[2]):
-                out.append((*r, key[3]))
+            for r in compare([x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows], sets, sigs, key[2] != key[3], key[1]):
+                out.append((*r, key[4] if key[1] < 0 else 2))
 
         def give() -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["rep", "links", "root", "blocks"])
 
         for b in batches:
-            for component, i, j, blocks, rep, copies, block, shingles, sig in zip(*(b.column(c).to_pylist() for c in ("component", "i", "j", "blocks", "rep", "copies", "block", "shingles", "sig"))):
-                if (component, i, j, blocks) != key:
+            for name, band, i, j, blocks, rep, copies, block, shingles, sig in zip(*(b.column(c).to_pylist() for c in ("unit", "band", "i", "j", "blocks", "rep", "copies", "block", "shingles", "sig"))):
+                if (name, band, i, j, blocks) != key:
                     if unit:
                         close()
-                    key, unit = (component, i, j, blocks), []
+                    key, unit = (name, band, i, j, blocks), []
                 unit.append((rep, copies, block, shingles, sig))
             if out:
                 yield give()
@@ -276,17 +313,17 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> tuple[DataF
         if out:
             yield give()
 
-    wanted = reps.select("rep", "copies", "rep_doc", "rep_text", "n_shingles").join(groups, F.col("rep") == F.col("node"))
-    sizes = wanted.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total")).select(F.col("component").alias("c"), F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = wanted.join(sizes, F.col("component") == F.col("c")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = staged(placed.select("component", "blocks", "block", "rep", "copies", "rep_doc", "rep_text"), "candidates")
+    wanted = staged(units_of(reps, groups), "units")
+    sizes = wanted.groupBy(F.col("unit").alias("u"), F.col("band").alias("of_band")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total")).select(F.xxhash64("u", "of_band").alias("c"), F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = met(wanted.withColumn("name", F.xxhash64("unit", "band")), "name", sizes, "c", "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = staged(placed.select("unit", "band", "blocks", "block", "rep", "copies", "rep_doc", "rep_text"), "candidates")
     text = with_key(docs)
     # The candidates grow with the corpus: texts meet them by a shuffle at every size, never by a broadcast.
-    given = text.join(placed.hint("merge"), (F.col("text_key") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep_doc"))).select("component", "blocks", "block", "rep", "copies", "text")
-    payload = given.mapInArrow(describe, "component long, blocks int, block int, rep long, copies long, shingles binary, sig binary")
+    given = text.join(placed.hint("merge"), (F.col("text_key") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep_doc"))).select("unit", "band", "blocks", "block", "rep", "copies", "text")
+    payload = given.mapInArrow(describe, "unit long, band int, blocks int, block int, rep long, copies long, shingles binary, sig binary")
     dealt = payload.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-    ordered = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
+    ordered = dealt.repartition("unit", "band", "i", "j").sortWithinPartitions("unit", "band", "i", "j", "rep")
     done = staged(ordered.mapInArrow(units, "rep long, links long, root long, blocks long"), "verified")
     links = done.groupBy("rep").agg(F.sum("links").alias("links"))
     # A group of one block has its classes already; those of several are joined over their units.

@@ -103,6 +103,7 @@ def test_short_lines_are_boilerplate_too(spark):
     menu = "\n".join(f"Menu entry {'abcdefghijklmnopqrst'[k]}" for k in range(20))
     own = " ".join(f"own{j}" for j in range(60))
     df = spark.createDataFrame([(k, menu, "h") for k in range(30)] + [(50, own + "\nMenu entry a", "h"), (51, menu, "other")], "doc_id long, text string, source string")
+    same(quality.judge(df).drop("words_left"), quality.SQL, documents=df.toArrow())
     got = {r.doc_id: (r.words_left, r.kept) for r in quality.judge(df).collect()}
     assert all(got[k] == (0, False) for k in range(30)) and got[50] == (60, True) and got[51] == (60, True)
 
@@ -151,6 +152,39 @@ def test_a_group_of_several_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in near_duplicates.join_near(df).collect()) == brute(rows)
 
 
+def test_a_chain_is_taken_apart_into_its_buckets(spark, monkeypatch):
+    """Each text is like the next ones and unlike those far off; the same answer whichever way the group is compared."""
+    rows = [(k, " ".join(f"w{j}" for j in range(8 * k, 8 * k + 100))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows)
+    assert {n for *_, n in expected} == {1, 2}
+    apart = []
+    plain = near_duplicates.units_of
+    monkeypatch.setattr(near_duplicates, "units_of", lambda *a: apart.append(plain(*a).filter("band >= 0").count()) or plain(*a))
+    for least, docs_of_a_block in ((1024, 256), (10, 256), (10, 3)):
+        monkeypatch.setattr(near_duplicates, "APART", least)
+        monkeypatch.setattr(near_duplicates, "BLOCK_DOCS", docs_of_a_block)
+        assert sorted((r.doc_id, r.class_id, r.n_links) for r in near_duplicates.join_near(df).collect()) == expected
+    assert apart[0] == 0 and min(apart[1:]) > 400
+
+
+def test_components_against_a_search(spark):
+    rng = np.random.default_rng(12)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2)) if a != b] + [(k, 400) for k in range(401, 480)] + [(500 + k, 501 + k) for k in range(40)]
+    root = {}
+
+    def top(k):
+        while root.setdefault(k, k) != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in near_duplicates.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: top(k) for k in list(root)}
+
+
 def test_near_duplicates_odd_rows(odd, docs):
     got = sorted((str(r.doc_id), r.n_links) for r in near_duplicates.join_near(odd).collect())
     assert len(got) == 9 and [g for g in got if g[0] == "4"] == [("4", 1)] * 2
@@ -186,6 +220,61 @@ def test_insults_with_gaps_and_marks(model):
     assert min(bad) >= toxicity.CUT > max(good)
 
 
+def test_the_kernel_against_its_definition():
+    """Shared subsequences of three characters, edges included, discounted by the characters that they skip."""
+
+    def features(word):
+        w = f"^{word}$"
+        out = defaultdict(float)
+        for i, j, k in combinations(range(len(w)), 3):
+            if k - i <= toxicity.REACH:
+                out[w[i], w[j], w[k]] += toxicity.DECAY ** (k - i - 2)
+        return out
+
+    def kernel(a, b):
+        x, y = features(a), features(b)
+        return sum(v * y[t] for t, v in x.items()) / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    words = ["idiot", "stupid", "moron", "a1b", "naïveté", "onon", "réêou", "worthless"]
+    ours = toxicity.Kernel(words)
+    for word in words + ["idi0t", "stxuxpid", "mo-ron", "wort", "le"]:
+        expected = np.array([kernel(word, w) for w in words])
+        got = ours.values([word], 1e-6)[0]
+        # The screen may pass over a word that has little in common with all of them.
+        assert np.abs((np.zeros(len(words)) if got is None else got) - expected).max() < 1e-4 or (got is None and expected.max() < 0.6)
+        assert (ours.values([word])[0] is None) == (expected.max() < toxicity.FLOOR)
+
+
+def test_one_inserted_character_hides_no_insult(model):
+    rng = np.random.default_rng(9)
+    scorer = toxicity.Scorer(model)
+    clean = "cbano cdire cfolu cgemi clusta"
+    told = [w for w, x in zip(model.kernel.landmarks, model.weights) if x > 0 and scorer.scores([f"{clean} {w}"])[0] >= toxicity.CUT]
+    assert set(told) >= {"idiot", "stupid", "moron", "worthless"}
+    put, swapped = [], []
+    for w in told * 10:
+        at, c = int(rng.integers(1, len(w))), "abcdefghijklmnopqrstuvwxyz-.*"[int(rng.integers(0, 29))]
+        put.append(f"{clean} {w[:at]}{c}{w[at:]}")
+        swapped.append(f"{clean} {w[:at]}{rng.integers(0, 10)}{w[at + 1 :]}")
+    assert np.mean(np.array(scorer.scores(put)) >= toxicity.CUT) >= 0.9
+    assert np.mean(np.array(scorer.scores(swapped)) >= toxicity.CUT) >= 0.9
+    assert max(scorer.scores([clean, "the stride of a motor, an idea, worth it", "studio idol moroccan"])) < toxicity.CUT
+
+
+def test_held_out_documents(spark):
+    data = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id").toPandas()
+    hit = (scored.predicted == 1) & (scored.toxic == 1)
+    assert len(scored) > 900 and hit.sum() / (scored.toxic == 1).sum() >= 0.8 and hit.sum() / (scored.predicted == 1).sum() >= 0.7
+
+
+def test_toxicity_of_an_empty_table(spark, docs, model):
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    none = toxicity.train(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert none.kernel is None and toxicity.score(docs.limit(2), none).count() == 2
+
+
 def test_toxicity_rows(spark, odd, model):
     rows = toxicity.score(odd, model).collect()
     assert len(rows) == 9 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= toxicity.CUT) for r in rows)
