@@ -1,5 +1,6 @@
 """Operators 2, 3, 8 and 10 and the pipeline."""
 
+import base64
 from collections import defaultdict
 from itertools import combinations
 
@@ -300,3 +301,66 @@ def test_pipeline_keeps_columns_and_clean_documents(spark, docs):
         n = now.count()
         assert 0.8 * docs.count() <= n <= last
         last = n
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Planted toxic, copied, contaminated and secret-bearing documents, nulls and repeated ids, stage by stage."""
+    import hashlib
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from quillspan.llm import secrets
+    from quillspan.llm._common import staged
+
+    rng = np.random.default_rng(21)
+    vocabulary = [f"{a}{b}" for a in ("bal", "cor", "din", "fer", "gal", "hom") for b in ("ano", "ire", "olu", "emi", "usta", "ent", "ari")]
+    plain = lambda n: " ".join(rng.choice(vocabulary, n))
+    rows, labels = [], []
+    for k in range(300):  # the labelled part
+        toxic = k % 4 == 0
+        labels.append((k, int(toxic)))
+        rows.append((k, plain(25) + (" " + ("idiot", "moron", "stupid")[k // 4 % 3] if toxic else "") + " " + plain(15)))
+    item = plain(40)
+    first = plain(80)
+    value = "Zk9fQ2xw7Rt1Lm4Vb8Nc"
+    rows += [(1000, first), (1001, first), (1002, first + " tail"), (1003, "x " + first), (1010, plain(30) + " " + item + " " + plain(20)), (1011, item.upper()), (1020, f"{plain(40)} token = {value} {plain(5)}"), (1021, plain(60) + " idXiot"), (1030, None), (1031, ""), (None, plain(50)), (1000, plain(70))]
+    folder = str(tmp_path)
+    docs = spark.createDataFrame([(k, t, ["en", "de"][n % 2], f"s{n % 7}", len(t or "")) for n, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    told = lambda df: sorted(((str(r.doc_id), r.text or "") for r in df.select("doc_id", "text").collect()))
+    stages = dict(corpus_pipeline.STAGES)
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+
+    model = toxicity.train(now, spark.read.parquet(f"{folder}/labels.parquet"))
+    scorer = toxicity.Scorer(model)
+    expected = [x for x in told(now) if scorer.scores([x[1]])[0] < toxicity.CUT]
+    now = staged(stages["toxicity"](spark, now, folder), "test")
+    assert told(now) == expected and "1021" not in {k for k, _ in expected}
+    assert {k for k, _ in expected} >= {str(k) for k in range(300) if k % 4} and not {k for k, _ in expected} & {str(k) for k in range(0, 300, 4)}
+
+    given = [(None if k == "None" else int(k), t) for k, t in told(now)]
+    by_class = brute(sorted((10**9 if k is None else k, t) for k, t in given))
+    now = staged(stages["near_duplicates"](spark, now, folder), "test")
+    gone = set(told_before := [(str(k), t) for k, t in given]) - set(told(now))
+    assert {k for k, _ in gone} == {str(k) for k, c, n in by_class if n and k != c} == {"1001", "1002", "1003"} and len(told_before) == len(told(now)) + 3
+
+    before = told(now)
+    now = staged(stages["decontamination"](spark, now, folder), "test")
+    assert set(before) - set(told(now)) == {x for x in before if item in x[1].lower()} and len(before) == len(told(now)) + 2
+
+    before = told(now)
+    now = staged(stages["secrets"](spark, now, folder), "test")
+    expected = []
+    for k, t in before:
+        for _, a, b, v in sorted((s for s in secrets.base_spans(t) if secrets.looks_live(s[3])), key=lambda s: -s[1]):
+            t = t[:a] + "[SECRET]" + t[b:]
+        expected.append((k, t))
+    assert told(now) == sorted(expected) and sum("[SECRET]" in t for _, t in expected) == 1
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = sorted((str(r.doc_id), r.n_tokens, r.decoded_sha256) for r in stages["byte_bpe"](spark, now, folder).collect())
+    assert rows == sorted((k, len(library.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()) for k, t in told(now))
