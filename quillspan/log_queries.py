@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from . import schemas
 from .functions.scalars import digest
 from .named import query
-from .operators import journal, recovery
+from .operators import journal, recovery, reports
 from .sources import sinks
 from .sources import tables as T
 
@@ -249,6 +249,36 @@ def plan_recheck(spark, sf_dir):
     return sinks.same_plan(first, again)
 
 
+@query("""WITH e AS (SELECT c_nationkey AS w, CAST(c_custkey AS VARCHAR) AS t FROM customer WHERE c_custkey % 3 <> 0 AND c_nationkey % 5 <> 1) SELECT CAST(n_nationkey AS VARCHAR) AS workspace, CASE WHEN n_nationkey % 4 = 0 THEN 'OBSERVATION_MAY_BE_STALE' END AS warning, CASE WHEN n_nationkey % 4 <> 0 AND n > 0 THEN 'TRANSACTION_RECOVERY_REQUIRED' END AS problem, CASE WHEN n_nationkey % 4 <> 0 THEN ids END AS transaction_ids
+FROM nation LEFT JOIN (SELECT w, count(*) AS n, string_agg(t, ',' ORDER BY t) AS ids FROM e GROUP BY 1) ON w = n_nationkey""")
+def diagnostic_gates(spark, sf_dir):
+    """A workspace a nation, a transaction a customer; every third one, and those of some nations, is done but for its cleanup."""
+    workspaces = T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("workspace"), (F.col("n_nationkey") % 4 != 0).alias("locked"))
+    done = (F.col("c_custkey") % 3 == 0) | (F.col("c_nationkey") % 5 == 1)
+    entries = T.table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("workspace"), F.col("c_custkey").cast("string").alias("transaction_id"), F.when(done, "cleanup_only").otherwise("active").alias("entry"))
+    return reports.diagnostic_gate(workspaces, entries).withColumn("transaction_ids", F.array_join("transaction_ids", ","))
+
+
+@query("""WITH x AS (SELECT c_custkey AS k FROM customer) SELECT CAST(k AS VARCHAR) AS name, CASE WHEN k % 3 = 2 OR k % 4 = 3 OR k % 5 = 4 THEN NULL ELSE ['utf-16', 'utf-8', 'utf-16', 'utf-32'][k % 5 + 1] END AS position_encoding, CASE WHEN k % 3 = 2 THEN 'LSP_CAPABILITY_UNAVAILABLE' WHEN k % 4 = 3 THEN 'LSP_DOCUMENT_SYNC_UNAVAILABLE' WHEN k % 5 = 4 THEN 'UNSUPPORTED_TEXT_ENCODING' END AS problem, 'n' || k AS server_name, CAST(NULL AS VARCHAR) AS server_version FROM x""")
+def capabilities(spark, sf_dir):
+    k = F.col("c_custkey")
+    symbols = F.when(k % 3 == 0, "true").when(k % 3 == 1, '{"label":"x"}').otherwise("false")
+    sync = F.when(k % 4 == 0, "1").when(k % 4 == 1, "2").when(k % 4 == 2, '{"openClose":true,"change":2}').otherwise('{"openClose":false,"change":2}')
+    encoding = F.when(k % 5 == 0, "").when(k % 5 == 1, ',"positionEncoding":"utf-8"').when(k % 5 == 2, ',"positionEncoding":"utf-16"').when(k % 5 == 3, ',"positionEncoding":"utf-32"').otherwise(',"positionEncoding":"utf-7"')
+    result = F.concat(F.lit('{"capabilities":{"documentSymbolProvider":'), symbols, F.lit(',"textDocumentSync":'), sync, encoding, F.lit('},"serverInfo":{"name":"n'), k.cast("string"), F.lit('"}}'))
+    return reports.negotiate(T.table(spark, sf_dir, "customer").select(k.cast("string").alias("name"), result.alias("result")))
+
+
+@query("""SELECT s_suppkey AS query_id, CASE s_suppkey % 7 WHEN 0 THEN 'mine' WHEN 1 THEN 'user-a' WHEN 2 THEN 'builtin-b' WHEN 4 THEN 'user-a' WHEN 5 THEN 'builtin-c' END AS program, CASE s_suppkey % 7 WHEN 3 THEN 'UNKNOWN_SERVER_ID' WHEN 6 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'AMBIGUOUS_EXTENSION' ELSE 'LSP_SERVER_NOT_CONFIGURED' END END AS problem FROM supplier""")
+def server_resolution(spark, sf_dir):
+    k = F.col("s_suppkey") % 7
+    none = F.lit(None).cast("string")
+    asked = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.when(k == 0, "mine").alias("program"), F.when(k == 1, "a").when(k == 2, "b").when(k == 3, "zz").otherwise(none).alias("id"), F.when(k == 4, ".RS").when(k == 5, "go").when(k == 6, F.when(F.col("s_suppkey") % 2 == 0, "py").otherwise("nope")).otherwise("rs").alias("extension"))
+    user = spark.createDataFrame([("a", "rs", "user-a"), ("d", "py", "user-d"), ("e", "py", "user-e")], "id string, extension string, program string")
+    builtin = spark.createDataFrame([("a", "rs", "builtin-a"), ("b", "rs", "builtin-b"), ("c", "go", "builtin-c"), ("d", "py", "builtin-d")], "id string, extension string, program string")
+    return reports.resolve_server(asked, user, builtin)
+
+
 # --- Registries ---------------------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from .functions import lines as L
 from .functions import positions as P
 from .functions import scalars as S
 from .named import ORACLE_SQL, QUERIES, query  # noqa: F401
-from .operators import accounting, compose, resolve, review, snapshot, symbols
+from .operators import accounting, compose, reports, resolve, review, snapshot, symbols
 from .plans.plan import plan
 from .sources import tables as T
 
@@ -226,6 +226,17 @@ def plan_digest(spark, sf_dir):
     return _plan(spark, sf_dir).digests()
 
 
+@query(f"""{UP_TO_O}, ops AS (SELECT batch_id, string_agg(operation_index || ':' || CASE WHEN effect = 'changed' THEN payload_sha256 ELSE '-' END, ',' ORDER BY operation_index) AS operations FROM r GROUP BY 1),
+ou AS (SELECT batch_id, string_agg(path || ':' || CASE change_kind WHEN 'modified' THEN 'modified_existing' WHEN 'emptied' THEN 'emptied_existing' WHEN 'created' THEN 'created_new' ELSE change_kind END, ',' ORDER BY path) AS outputs, count(*) FILTER (WHERE change_kind <> 'unchanged') AS n_changed FROM out GROUP BY 1)
+SELECT ops.batch_id, operations, coalesce(outputs, '') AS outputs, CAST(coalesce(n_changed, 0) AS INTEGER) AS n_changed FROM ops LEFT JOIN ou ON ou.batch_id = ops.batch_id""")
+def commit_report(spark, sf_dir):
+    p = _plan(spark, sf_dir)
+    found = reports.commit_report(p.resolved, p.outputs)
+    ops = F.array_join(F.transform("operations", lambda o: F.concat_ws(":", o["operation_index"].cast("string"), F.coalesce(o["inserted_payload_sha256"], F.lit("-")))), ",")
+    outs = F.array_join(F.transform("outputs", lambda o: F.concat_ws(":", o["path"], o["change_kind"])), ",")
+    return found.select("batch_id", ops.alias("operations"), F.coalesce(outs, F.lit("")).alias("outputs"), F.coalesce(F.size("files_changed"), F.lit(0)).alias("n_changed"))
+
+
 # --- Review -------------------------------------------------------------------------------------------------------------
 
 
