@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +17,35 @@ from ..staging import shared_dir, staged  # noqa: F401  (for the operators)
 #: Rows of an Arrow batch handed to Python; bounds a worker's memory when texts are long.
 ARROW_ROWS = 1000
 
+_held: dict = {}
+
+
+def keep(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from one task to the next: the last operator's alone.
+
+    Workers are used again by the stages of a pipeline; what an earlier operator remembered is given back first.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass
+        _held[key] = make()
+    return _held[key]
+
+
+def kept(make: Callable) -> Callable:
+    """A function of hashable arguments whose last result is kept by :func:`keep`."""
+
+    @wraps(make)
+    def get(*args):
+        return keep((make.__module__, make.__name__, *args), lambda: make(*args))
+
+    return get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

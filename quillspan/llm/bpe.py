@@ -15,14 +15,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import table, texts
+from ._common import kept, table, texts
 from .chunks import PATTERN, ChunkEncoder
 
 NONE = np.int64(2**62)
@@ -180,11 +179,11 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
+@kept
 def load(path: str, pattern: str) -> tuple[ByteBpe, Callable[[list[str]], list[bytes]]]:
     bpe = ByteBpe.from_file(path, pattern)
     # Other patterns may join what a chunk's end keeps apart: whole texts then.
-    return bpe, ChunkEncoder(bpe.encode_many) if pattern == PATTERN else bpe.encode_many
+    return bpe, ChunkEncoder(bpe.encode_many, limit=600_000) if pattern == PATTERN else bpe.encode_many
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

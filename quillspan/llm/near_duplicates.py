@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import staged, table
+from ._common import keep, staged, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -126,7 +126,7 @@ def described(docs: DataFrame) -> DataFrame:
     """Every row: its key, the key of its text, the digest of its shingles, their number, and its bucket keys."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        shingler, key = Shingler(), TaskContext.get().partitionId() << 33
+        shingler, key = keep(("shingler",), Shingler), TaskContext.get().partitionId() << 33
         for b in batches:
             copy, size, bands = [], [], []
             for k, text in enumerate(b.column("text").to_pylist()):
@@ -147,9 +147,12 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def met(many: DataFrame, key: str, one: DataFrame, its_key: str, spread: str, how: str = "inner") -> DataFrame:
-    """``many`` joined to ``one`` row a key; the rows of each key are spread over ``SALTS`` tasks by ``spread``, however many they are."""
+    """``many`` joined to ``one`` row a key; the rows of each key are spread over ``SALTS`` tasks by ``spread``, however many they are.
+
+    Both sides grow with the corpus and meet by a shuffle at every size; broadcasts of one small round after another would pile up.
+    """
     salted = one.withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, (F.col(key) == F.col(its_key)) & (F.col("salt") == F.col("salt_of")), how).drop("salt", "salt_of")
+    return many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), (F.col(key) == F.col(its_key)) & (F.col("salt") == F.col("salt_of")), how).drop("salt", "salt_of")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -276,7 +279,7 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> tuple[DataF
     """``rep, links`` of the candidates, and ``rep, label`` of their classes."""
 
     def describe(batches) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = keep(("shingler",), Shingler)
         for b in batches:
             sets = [shingler(t) for t in b.column("text").to_pylist()]
             columns = [b.column(c) for c in ("unit", "band", "blocks", "block", "rep", "copies")]

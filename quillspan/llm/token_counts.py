@@ -20,7 +20,6 @@ import struct
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, texts
+from ._common import kept, table, texts
 
 BLOCK_ROWS = 3000  #: documents of a block
 BLOCK_CHARS = 24_000_000  #: a block is closed sooner when its texts are long
@@ -85,7 +84,7 @@ class WordVocabulary:
         return Counter(text.split()), 0
 
 
-@lru_cache(maxsize=2)
+@kept
 def load(path: str) -> WordVocabulary:
     return WordVocabulary(path)
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import table
+from ._common import keep, table
 
 TRAIN_TOXIC, TRAIN_CLEAN = 2500, 4000  #: bounds of the training sample, in documents
 TRAIN_BYTES = 256 << 20  #: bound of their texts
@@ -408,15 +408,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, cle
     return fit(rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), np.int64) > 0, n.get(1, 0) / max(1, sum(n.values())))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer_of(model: Model) -> Scorer:
     """One scorer a worker process and model: what it remembers outlives a task."""
-    if model.key not in _scorers:
-        _scorers.clear()
-        _scorers[model.key] = Scorer(model)
-    return _scorers[model.key]
+    return keep(("scorer", model.key), lambda: Scorer(model))
 
 
 def score_column(model: Model):

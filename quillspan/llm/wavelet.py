@@ -23,7 +23,6 @@ import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import staged, table, texts
+from ._common import kept, staged, table, texts
 from .chunks import PATTERN, ChunkEncoder
 
 MAGIC = b"QWM2"
@@ -202,7 +201,7 @@ def in_pieces(t) -> bool:
     return plain and told["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
 
 
-@lru_cache(maxsize=2)
+@kept
 def load(path: str) -> tuple[object, Callable[[list[str]], list[bytes]], list[str]]:
     """The tokenizer, what encodes whole texts by it, and its added tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
