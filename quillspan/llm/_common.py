@@ -20,6 +20,15 @@ ARROW_ROWS = 1000
 _held: dict = {}
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def keep(key: tuple, make: Callable[[], object]) -> object:
     """What a Python worker keeps from one task to the next: the last operator's alone.
 
@@ -27,11 +36,7 @@ def keep(key: tuple, make: Callable[[], object]) -> object:
     """
     if key not in _held:
         _held.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass
+        release()
         _held[key] = make()
     return _held[key]
 

@@ -11,7 +11,8 @@ of toxic documents, which are picked anew in each round as the ones that the mac
 of its worst sentence; a logistic curve fitted to the training documents makes it a score.
 
 Training reads at most ``TRAIN_TOXIC`` + ``TRAIN_CLEAN`` labelled documents, chosen by a hash of their id, never held-out ones, and
-of these at most ``TRAIN_BYTES`` of text: the bound of what goes to the driver. Landmarks have at most ``LANDMARK_CHARS`` characters.
+of these at most ``TRAIN_BYTES`` of text: the bound of what goes to the driver. Landmarks have at most ``LANDMARK_CHARS`` characters, and
+their clean neighbours are sought among ``CLEAN_WORDS`` words. These bound the fit alone.
 Scoring reads every whole text; languages, sources, labels and ids are no input of it.
 
 Defined cases: a null or empty text gets the score of a text without any telling word; repeated rows score alike; null labels
@@ -33,10 +34,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import keep, table
+from ._common import keep, release, table
 
 TRAIN_TOXIC, TRAIN_CLEAN = 2500, 4000  #: bounds of the training sample, in documents
 TRAIN_BYTES = 256 << 20  #: bound of their texts
+CLEAN_WORDS = 60_000  #: most frequent clean words among which those near to a landmark are looked for
 LANDMARK_CHARS = 40  #: longest word that can be a landmark
 CUT = 0.3  #: score from which a document is predicted toxic
 DECAY = 0.6  #: discount of each skipped character
@@ -314,7 +316,7 @@ def pick_landmarks(texts: list[str], toxic: np.ndarray) -> tuple[list[str], int]
             break
     landmarks = [ranked[k] for k in chosen]
     kernel = Kernel(landmarks)
-    clean = [w for w, c in sorted(seen[0].items()) if len(w) <= LANDMARK_CHARS and (c >= 3 and w not in worth or c >= 2 * seen[1][w])]
+    clean = [w for w, c in sorted(seen[0].items(), key=lambda x: (-x[1], x[0]))[:CLEAN_WORDS] if len(w) <= LANDMARK_CHARS and (c >= 3 and w not in worth or c >= 2 * seen[1][w])]
     close = [(seen[0][w] * float(v.max()), w) for w, v in zip(clean, kernel.values(clean)) if v is not None and w not in landmarks]
     return landmarks + [w for _, w in sorted(close, key=lambda x: (-x[0], x[1]))[:NEAR]], len(landmarks)
 
@@ -405,7 +407,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, cle
     sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("k")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
     upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over no more rows than the bounds
     rows = sample.withColumn("upto", upto).filter(F.col("upto") <= TRAIN_BYTES).drop("upto").toArrow().sort_by("doc_id")
-    return fit(rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), np.int64) > 0, n.get(1, 0) / max(1, sum(n.values())))
+    texts, toxic = rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), np.int64) > 0
+    del rows
+    model = fit(texts, toxic, n.get(1, 0) / max(1, sum(n.values())))
+    del texts
+    release()  # what the fit needed is not held through the stages that follow on this driver
+    return model
 
 
 def scorer_of(model: Model) -> Scorer:
