@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, near_duplicates, pii, quality, secrets, token_counts, toxicity, wavelet
+from . import bpe, decontaminate, html_text, infill, near_duplicates, pii, quality, secrets, token_counts, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
@@ -20,7 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.query,
     "op9_byte_bpe": bpe.query,
     "op10_toxicity": toxicity.query,
+    "op11_infill": infill.query,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL, "op8_quality": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL, "op8_quality": quality.SQL, "op11_infill": infill.SQL}
