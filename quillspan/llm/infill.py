@@ -63,8 +63,8 @@ class Checkpoints:
         self.data = data
         self.units, self.bytes, self.chars = array("q", [0]), array("q", [0]), array("q", [0])
         at = chars = units = 0
-        for m in _stride.finditer(data):
-            chars, units, at = chars + code_points(data[at : m.end()]), units + EVERY, m.end()
+        while m := _stride.match(data, at):  # never searched for: behind the last full stride there is none
+            chars, units, at = chars + code_points(m[0]), units + EVERY, m.end()
             self.units.append(units), self.bytes.append(at), self.chars.append(chars)
         tail = data[at:]
         self.end = Place(units + len(_unit.findall(tail)), len(data), chars + code_points(tail))
