@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, divergence, html_text, infill, near_duplicates, pii, quality, secrets, token_counts, toxicity, wavelet
+from . import bpe, decontaminate, divergence, html_text, infill, near_duplicates, pii, quality, repeats, secrets, token_counts, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
@@ -22,7 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": toxicity.query,
     "op11_infill": infill.query,
     "op12_source_divergence": divergence.query,
+    "op13_substring_dedup": repeats.query,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL, "op8_quality": quality.SQL, "op11_infill": infill.SQL, "op12_source_divergence": divergence.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL, "op8_quality": quality.SQL, "op11_infill": infill.SQL, "op12_source_divergence": divergence.SQL, "op13_substring_dedup": repeats.SQL}
