@@ -1,12 +1,15 @@
 """Cut lineage by writing a frame into the folder that driver and executors share.
 
-What is written stays there: a lost executor's work is done again from it. Clear the folder when the application has ended.
+What is written stays there, since a lost executor's work is done again from it, until the :func:`scope` around it ends; without one,
+until the application has ended and the folder is cleared.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,4 +33,23 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspan/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _scopes[-1:]:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was staged inside; put the writing of a result into it, not the making of its frame alone."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in map(hadoop.Path, made):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
