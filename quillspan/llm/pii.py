@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -104,23 +105,27 @@ LOOKS = frozenset(PLAIN)
 class Tape:
     """Text with the source range of every character, and which characters are rewritten."""
 
-    def __init__(self, text: str, starts: list[int], ends: list[int], changed: list[bool]):
+    def __init__(self, text: str, starts: array, ends: array, changed: bytearray):
         self.text, self.starts, self.ends, self.changed = text, starts, ends, changed
 
     @classmethod
     def of(cls, text: str, start: int, end: int) -> Tape:
-        return cls(text[start:end], list(range(start, end)), list(range(start + 1, end + 1)), [False] * (end - start))
+        return cls(text[start:end], array("q", range(start, end)), array("q", range(start + 1, end + 1)), bytearray(end - start))
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Tape:
         """Replace ranges (in order, apart); what is put in stands for the whole range."""
-        parts, starts, ends, changed, at = [], [], [], [], 0
+        parts, starts, ends, changed, at = [], array("q"), array("q"), bytearray(), 0
         for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
             parts += [self.text[at:a], new]
-            starts += self.starts[at:a] + [self.starts[a]] * len(new) if new else self.starts[at:a]
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new) if new else self.ends[at:a]
-            changed += self.changed[at:a] + [True] * len(new)
+            starts += self.starts[at:a]
+            ends += self.ends[at:a]
+            changed += self.changed[at:a]
+            if new:
+                starts += array("q", [self.starts[a]]) * len(new)
+                ends += array("q", [self.ends[b - 1]]) * len(new)
+                changed += b"\1" * len(new)
             if not new and b > a and changed:
-                changed[-1] = True  # something invisible went after this character
+                changed[-1] = 1  # something invisible went after this character
             at = b
         return Tape("".join(parts), starts, ends, changed)
 
@@ -142,7 +147,8 @@ DOT = rf"(?:{STRONG_DOT}|\.|\x20\.\x20)"
 LABEL = r"[a-z0-9](?:[a-z0-9]|-(?!dot-|at-))*"
 HOST = re.compile(rf"{LABEL}(?:{DOT}{LABEL})*{DOT}(?:{ENDINGS})(?![a-z0-9@-])", re.I | re.A)
 ANY_HOST = re.compile(rf"{LABEL}(?:(?:{BRACKET_DOT}|\.){LABEL})*{BRACKET_DOT}[a-z]{{2,63}}(?![a-z0-9@-])", re.I | re.A)
-WHO = re.compile(rf"(?<![a-z0-9._%+-])[a-z0-9._%+-]+(?:{STRONG_DOT}[a-z0-9_%+-]+)*\Z", re.I | re.A)
+#: A local part read from its end: pieces apart by dots that are no characters of a piece, the farthest one with plain dots too.
+OHW = re.compile(r"(?:[a-z0-9_%+-]++(?:\s*[\])}>]\s*(?:tod|tknup|otnup|tniop|\.)\s*[\[({<]\s*|\s+(?:tod|tknup|otnup|tniop)\s+))*[a-z0-9._%+-]++", re.I | re.A)
 DOTS = re.compile(DOT, re.I | re.A)
 STRONG_DOTS = re.compile(STRONG_DOT, re.I | re.A)
 NUMERAL_DOTS = re.compile(rf"(?<=[0-9]){STRONG_DOT}(?=[0-9])", re.I | re.A)
@@ -183,14 +189,14 @@ def at_marks(text: str, low: str) -> list[tuple[int, int, str, re.Match]]:
     return sorted(out, key=lambda x: (x[0], -x[1]))
 
 
-def local_part(text: str, low: int, end: int) -> tuple[int, re.Match] | None:
-    """Where the text searched begins, and the local part that ends at ``end``; more text is taken while it may go on."""
+def local_part(text: str, low: int, end: int) -> tuple[int, str] | None:
+    """Start and text of the local part that ends at ``end``; more text is taken while it may go on."""
     size = 400
     while True:
         left = max(low, end - size)
-        who = WHO.search(text[left:end])
-        if not who or left == low or who.start() > size // 2:
-            return (left, who) if who else None
+        who = OHW.match(text[left:end][::-1])
+        if not who or left == low or who.end() < size // 2:
+            return (end - who.end(), text[end - who.end() : end]) if who else None
         size *= 2
 
 
@@ -208,13 +214,13 @@ def separators(tape: Tape, marks: list[tuple[int, int, str, re.Match]]) -> Tape
     for a, b, core, host in marks:
         if a < done or not (found := local_part(text, done, a)):
             continue
-        left, who = found
+        begun, who = found
         dots = [(b + d.start(), b + d.end(), ".") for d in DOTS.finditer(host.group())]
-        inner = [(left + who.start() + d.start(), left + who.start() + d.end(), ".") for d in STRONG_DOTS.finditer(who.group())]
+        inner = [(begun + d.start(), begun + d.end(), ".") for d in STRONG_DOTS.finditer(who)]
         if not inner and all(d[1] - d[0] == 1 for d in dots):
             if b - a == 1 and core == "@":
                 continue  # no disguise
-            if core in ("at", "arroba", "arobase") and not re.search(r"[0-9._+-]", who.group()):
+            if core in ("at", "arroba", "arobase") and not re.search(r"[0-9._+-]", who):
                 continue  # "look at example.com" is prose
         edits += [*inner, (a, b, "@"), *(d for d in dots if d[1] - d[0] > 1)]
         done = host.end()
@@ -234,7 +240,7 @@ UNIT = "|".join(sorted([*WORDS, *SIGNS, *TIMES], key=len, reverse=True))
 RUN = re.compile(rf"(?<!\w)\+?(?:(?:{UNIT}|[0-9]+)(?:[\s,;()./+-]+|(?!\w)|(?<=[0-9])(?![0-9]))){{4,}}", re.I)
 UNITS = re.compile(rf"(?<!\w)(?:{UNIT})(?!\w)", re.I)
 GAP = re.compile(r"[\s,;]+")
-NEXT = re.compile(rf"[\W_]{{1,3}}(?:{UNIT}|[0-9])(?![^\W_])")
+NEXT = re.compile(rf"[\W_]++(?:{UNIT}|[0-9]+)(?![^\W_])")
 
 
 def digit_words(low: str) -> bool:

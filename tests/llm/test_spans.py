@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 
 import pytest
@@ -231,3 +232,27 @@ def test_template_lines_inside_an_article_go_and_passages_stay(spark):
     stories = [" ".join(f"s{k}w{j}" for j in range(20)) + ("</div><div>Released under the MIT License." if k in (2, 3) else "") for k in range(8)]
     got = {r.page_id: r.text for r in html_text.extract(template_pages(spark, stories, "<article><p>Tell your friends about this story</p>{}</article>")).collect()}
     assert got == {k: s.replace("</div><div>", "\n") for k, s in enumerate(stories)}
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["x" + "-dot-x" * 10_000 + "! (at) example (dot) com", "x" + "_dot_x" * 160_000 + " (at) example (dot) com", "x" + " (dot) x" * 120_000 + "! (at) example (dot) com", "one" + " " * 1_000_000 + "x", "one " * 250_000, "a." * 500_000 + " at b", "1 . " * 250_000, "a at b dot " * 90_000],
+)
+def test_long_texts_of_half_disguises_take_linear_time(text):
+    began = time.perf_counter()
+    pii.find(text)
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("plus   one    two three    four five     six seven eight nine zero", "phone", "plus   one    two three    four five     six seven eight nine zero"),
+        ("a-dot-b_dot_c at example dot com", "email", "a-dot-b_dot_c at example dot com"),
+        ("x1 dot b.c dot d at example dot com", "email", "b.c dot d at example dot com"),
+        ("! (dot) anna (at) example (dot) org", "email", "anna (at) example (dot) org"),
+    ],
+)
+def test_any_space_between_digit_words_and_local_parts_read_from_their_end(text, kind, found):
+    spans = pii.find(text)[1]
+    assert (kind, text.index(found), text.index(found) + len(found)) in spans
