@@ -3,7 +3,8 @@
 The kernel compares two words by the three-character subsequences that they share, gaps allowed and discounted, so that
 letters put in, left out or spaced apart cost similarity but do not hide a word. Gaps are bounded, hence a word has few
 subsequences and the kernel is a product of sparse vectors. A word that is like a landmark is also looked at without its odd
-characters (one left out, a digit read as a letter), so that an inserted character costs it nothing. Landmarks are words picked from the labelled training texts, the
+characters (one left out, a digit read as a letter), so that an inserted character costs it nothing; this look goes over pieces of
+``PIECE`` characters that overlap by half (most words are one piece), so that its work grows as the word does. Landmarks are words picked from the labelled training texts, the
 telling ones of the toxic class (unlike each other) and the clean words nearest to them. A sentence is described by its
 best kernel value with each landmark, mapped by the inverse root of the landmarks' own kernel matrix (Nyström); a linear
 support vector machine with squared hinge loss is trained on labelled sentences: all sentences of clean documents, and those
@@ -11,35 +12,40 @@ of toxic documents, which are picked anew in each round as the ones that the mac
 of its worst sentence; a logistic curve fitted to the training documents makes it a score.
 
 Training reads at most ``TRAIN_TOXIC`` + ``TRAIN_CLEAN`` labelled documents, chosen by a hash of their id, never held-out ones, and
-of these at most ``TRAIN_BYTES`` of text: the bound of what goes to the driver. Landmarks have at most ``LANDMARK_CHARS`` characters, and
-their clean neighbours are sought among ``CLEAN_WORDS`` words. These bound the fit alone.
+of these at most ``TRAIN_BYTES`` of text: the bound of the one task that fits the model; the driver gets the model alone. Landmarks have
+at most ``LANDMARK_CHARS`` characters and are chosen among the ``TELLING`` most telling words, their clean neighbours among ``CLEAN_WORDS``
+words. These bound the fit alone.
 Scoring reads every whole text; languages, sources, labels and ids are no input of it.
 
-Defined cases: a null or empty text gets the score of a text without any telling word; repeated rows score alike; null labels
-are not used; without a label of both classes every score is the share of the toxic class (0 without labels); other columns
+Defined cases: a null or empty text gets the score of a text without any telling word; repeated rows score alike; of training rows
+that share an id the least text is used; null labels are not used; without a label of both classes every score is the share of the toxic class (0 without labels); other columns
 are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import keep, release, table
+from ._common import keep, release, staged, table
 
 TRAIN_TOXIC, TRAIN_CLEAN = 2500, 4000  #: bounds of the training sample, in documents
 TRAIN_BYTES = 256 << 20  #: bound of their texts
 CLEAN_WORDS = 60_000  #: most frequent clean words among which those near to a landmark are looked for
+TELLING = 4000  #: most telling words among which landmarks are chosen
 LANDMARK_CHARS = 40  #: longest word that can be a landmark
+PIECE = 64  #: characters of a word that are looked at together for odd ones; more than a landmark and its spare characters
 CUT = 0.3  #: score from which a document is predicted toxic
 DECAY = 0.6  #: discount of each skipped character
 REACH = 5  #: farthest distance of a subsequence's last character from its first
@@ -96,6 +102,13 @@ def variants(word: str) -> list[str]:
     return [x for x in out if len(x) >= 2]
 
 
+def pieces(word: str) -> list[str]:
+    """A word of up to ``PIECE`` characters itself; of a longer one pieces that overlap by half."""
+    if len(word) <= PIECE:
+        return [word]
+    return [word[k : k + PIECE] for k in range(0, len(word) - PIECE // 2, PIECE // 2)]
+
+
 def coded(words: list[str], width: int) -> np.ndarray:
     """Characters of the words between their edges, by the alphabet; 0 behind a word's end."""
     text = "".join([f"^{w}$".ljust(width, "\0") for w in words])
@@ -170,11 +183,27 @@ class Kernel:
         return out
 
     def tolerant(self, words: list[str]) -> list[np.ndarray | None]:
-        """:meth:`values`, where a word that is like a landmark is also seen without its odd characters.
+        """:meth:`values`, where a word, or a piece of a long one, that is like a landmark is also seen without its odd characters."""
+        cut = [pieces(w) for w in words]
+        flat = list(dict.fromkeys(p for some in cut for p in some))
+        seen = dict(zip(flat, self._tolerant(flat)))
+        long = [w for w in words if len(w) > PIECE]
+        whole = dict(zip(long, self.values(long)))
+        out = []
+        for w, some in zip(words, cut):
+            found = [v for v in (seen[p] for p in dict.fromkeys(some)) if v is not None]
+            if len(w) > PIECE and whole[w] is not None:
+                found.append(whole[w])
+            out.append((np.max(found, axis=0) if len(found) > 1 else found[0]) if found else None)
+        return out
+
+    def _tolerant(self, words: list[str]) -> list[np.ndarray | None]:
+        """:meth:`tolerant` of words of one piece.
 
         Characters are left out one by one, or a digit read as a letter, each time the one that makes the word likest, ``SPARE``
         times over; what comes out takes part where it is a landmark of the toxic class, or all but one.
         """
+
         def like(v: np.ndarray | None) -> float:
             return float(v[: self.telling].max(initial=0)) if v is not None else 0.0
 
@@ -295,7 +324,7 @@ def pick_landmarks(texts: list[str], toxic: np.ndarray) -> tuple[list[str], int]
         return (a / n[1] - b / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-12)
 
     worth = {w: z for w, a in seen[1].items() if a >= 8 and len(w) <= LANDMARK_CHARS and (z := surprise(a, seen[0][w])) >= SURPRISE}
-    ranked = sorted(worth, key=lambda w: (-worth[w], w))[:4000]
+    ranked = sorted(worth, key=lambda w: (-worth[w], w))[:TELLING]
     if not ranked:
         return [], 0
     width = max(map(len, ranked)) + 2
@@ -404,15 +433,24 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, cle
     some = [known.filter(F.col("toxic") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic_rows), known.filter(F.col("toxic") <= 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(clean_rows)]
     ids = some[0].union(some[1]).withColumnRenamed("doc_id", "k")
     # The bounds above are those of this broadcast and of what comes to the driver.
-    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("k")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
+    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("k")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over no more rows than the bounds
-    rows = sample.withColumn("upto", upto).filter(F.col("upto") <= TRAIN_BYTES).drop("upto").toArrow().sort_by("doc_id")
-    texts, toxic = rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), np.int64) > 0
-    del rows
-    model = fit(texts, toxic, n.get(1, 0) / max(1, sum(n.values())))
-    del texts
-    release()  # what the fit needed is not held through the stages that follow on this driver
-    return model
+    bounded = staged(sample.withColumn("upto", upto).filter(F.col("upto") <= TRAIN_BYTES).select("doc_id", "text", "toxic"), "sample")
+    share = n.get(1, 0) / max(1, sum(n.values()))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), SAMPLE).sort_by("doc_id")
+        model = fit(rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), np.int64) > 0, share)
+        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        del rows, model
+        release()  # the worker is used again
+
+    # One task for the bounded sample, away from the driver; it is read from its files, never shuffled into one place.
+    fitted = bounded.coalesce(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else fit([], np.zeros(0, bool), share)
+
+
+SAMPLE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])
 
 
 def scorer_of(model: Model) -> Scorer:
@@ -421,14 +459,13 @@ def scorer_of(model: Model) -> Scorer:
 
 
 def score_column(model: Model):
-    import pandas as pd
-
+    @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = scorer_of(model)
         for texts in batches:
             yield pd.Series(scorer.scores(["" if t is None else t for t in texts]), dtype="float64")
 
-    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
+    return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
