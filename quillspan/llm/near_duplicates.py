@@ -5,9 +5,9 @@ Documents are sets of five-word shingles (a text of fewer words is one shingle);
 is one representative with a multiplicity, and only representatives are compared.
 
 1. *Candidates*: MinHash bands put representatives into buckets. Each bucket links its members to its least member, and the
-   connected components of these links are the candidate groups: every pair that shares a bucket is inside one. A large group
-   whose buckets hold far fewer pairs than itself (a chain of texts each like the next) is taken apart into its buckets again;
-   there a pair counts in the first bucket that it shares.
+   connected components of these links are the candidate groups: every pair that shares a bucket is inside one, and those pairs are
+   the candidates at every size. A large group whose buckets hold far fewer pairs than itself (a chain of texts each like the
+   next) is dealt out by its buckets instead; there a pair counts in the first bucket that it shares.
 2. *Pruning*: a group is cut into blocks by hash, and every pair of blocks is one unit of work (a document goes to as many
    units as its group has blocks; no pair is ever a row). Inside a unit MinHash values are compared a batch at a time, and
    a pair is dropped once the posterior probability (uniform prior) that its similarity reaches the threshold falls below
@@ -243,10 +243,11 @@ def linked_pairs(sets: list[np.ndarray], sigs: np.ndarray, left: np.ndarray, rig
 def compare(reps: list[int], copies: list[int], sides: list[int], sets: list[np.ndarray], sigs: np.ndarray, crossed: bool, band: int = -1) -> Iterator[tuple[int, int, int]]:
     """(rep, links, root) of each document of one unit; ``crossed``: only pairs between the two sides count.
 
-    ``band``: that of the bucket which the unit is; pairs that share a bucket of an earlier band count there.
+    ``band``: that of the bucket which the unit is; pairs that share a bucket of an earlier band count there. Below 0 the unit is a
+    group, where pairs that share no bucket are passed over.
     """
     n, weight = len(reps), np.array(copies, np.int64)
-    keys = np.array([band_keys(s)[:band] for s in sigs], np.int64).reshape(n, band) if band > 0 else np.zeros((n, 0), np.int64)
+    keys = np.array([band_keys(s) for s in sigs], np.int64).reshape(n, BANDS)
     side = np.array(sides)
     links = np.zeros(n, np.int64)
     root = list(range(n))
@@ -262,9 +263,9 @@ def compare(reps: list[int], copies: list[int], sides: list[int], sets: list[np.
         left, right = (x.ravel() for x in np.meshgrid(rows, np.arange(n), indexing="ij"))
         wanted = (left < right) & (side[left] != side[right]) if crossed else left < right
         left, right = left[wanted], right[wanted]
-        if band > 0:
-            fresh = ~(keys[left] == keys[right]).any(1)
-            left, right = left[fresh], right[fresh]
+        # The same pairs in a whole group and in its buckets: those that share a bucket, each once.
+        wanted = (keys[left] == keys[right]).any(1) if band < 0 else ~(keys[left, :band] == keys[right, :band]).any(1)
+        left, right = left[wanted], right[wanted]
         left, right = linked_pairs(sets, sigs, left, right)
         links += np.bincount(left, weight[right], n).astype(np.int64) + np.bincount(right, weight[left], n).astype(np.int64)
         for a, b in zip(left.tolist(), right.tolist()):
@@ -338,18 +339,25 @@ def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> tuple[DataF
 def join_near(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``class_id`` (least ``doc_id`` of its class), ``n_links`` (other rows that are
     similar enough), ``copy_id`` and ``n_copies`` (rows with the same shingles)."""
+    return classes(docs).select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """:func:`join_near`, and ``text_key`` and ``class_text`` (that of the class's first row): with ids that repeat, a row is told by
+    both."""
     rows = described(docs)
-    best = F.min(F.struct("doc_id", "row_key", "text_key", "n_shingles", "bands"))
+    best = F.min(F.struct("doc_id", "text_key", "row_key", "n_shingles", "bands"))
     reps = rows.groupBy("copy").agg(best.alias("x"), F.count(F.lit(1)).alias("copies"))
     reps = staged(reps.select("copy", F.col("x.row_key").alias("rep"), F.col("x.doc_id").alias("rep_doc"), F.col("x.text_key").alias("rep_text"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.bands").alias("bands"), "copies"), "representatives")
     links, labels = verified(docs, reps, candidate_groups(reps))
     labels = labels.select(F.col("r"), "label")
-    known = reps.select("copy", "rep", "rep_doc", "copies")
+    known = reps.select("copy", "rep", "rep_doc", "rep_text", "copies")
     joined = known.join(labels, F.col("rep") == F.col("r"), "left").drop("r").withColumn("label", F.coalesce("label", "rep"))
-    names = joined.groupBy(F.col("label").alias("l")).agg(F.min("rep_doc").alias("class_id"))
-    joined = joined.join(names, F.col("label") == F.col("l")).join(links.withColumnRenamed("rep", "k"), F.col("rep") == F.col("k"), "left")
-    joined = joined.select(F.col("copy").alias("c"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("rep_doc").alias("copy_id"), F.col("copies").alias("n_copies"))
-    return rows.select("doc_id", "copy").join(joined, F.col("copy") == F.col("c")).select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
+    names = joined.groupBy(F.col("label").alias("l")).agg(F.min(F.struct("rep_doc", "rep_text")).alias("first"))
+    joined = met(joined, "label", names, "l", "rep").join(links.withColumnRenamed("rep", "k"), F.col("rep") == F.col("k"), "left")
+    joined = joined.select(F.col("copy").alias("c"), F.col("first.rep_doc").alias("class_id"), F.col("first.rep_text").alias("class_text"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("rep_doc").alias("copy_id"), F.col("copies").alias("n_copies"))
+    each = met(rows.select("row_key", "doc_id", "text_key", "copy"), "copy", joined, "c", "row_key")
+    return each.select("doc_id", "text_key", "class_id", "class_text", "n_links", "copy_id", "n_copies")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
