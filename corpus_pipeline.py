@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import bpe, decontaminate, near_duplicates, secrets, toxicity
-from quillspan.llm._common import shared_dir, table
+from quillspan.llm._common import shared_dir, staged, table
+from quillspan.staging import scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +25,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays."""
+    """Of each class of near duplicates the document with the least id stays, of those that share it the one of one text.
+
+    Documents are told by id and text; of rows that are equal in both, one stays.
+    """
     table(spark, sf_dir, "documents")  # sets the session up for Arrow batches
-    found = near_duplicates.join_near(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__key")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__key")), "left_semi")
-    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
-    # Repeated rows share their id, so the id alone would keep them all.
-    return out if ids["n"] == ids["ids"] else out.dropDuplicates(["doc_id", "text"])
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_text"))
+    kept = near_duplicates.classes(docs).filter(first).groupBy(F.col("doc_id").alias("__key"), F.col("text_key").alias("__text")).agg(F.count(F.lit(1)).alias("__rows"))
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    kept = staged(kept, "kept")
+    out = docs.join(kept.drop("__rows"), (text == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__key")), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if kept.filter("__rows > 1").limit(1).count() else out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +72,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
+    """All stages, each written to the shared folder and read again; what a stage wrote besides goes when it has ended."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/quillspan/pipeline-{name}-{uuid.uuid4().hex}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        with scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

@@ -1,6 +1,7 @@
 """Operators 2, 3, 8 and 10 and the pipeline."""
 
 import base64
+import time
 from collections import defaultdict
 from itertools import combinations
 
@@ -192,6 +193,16 @@ def test_near_duplicates_odd_rows(odd, docs):
     assert near_duplicates.join_near(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_told_by_their_text(spark):
+    """Only the first row of a class stays, though its id is that of other rows."""
+    a = " ".join(f"w{k}" for k in range(120))
+    rows = [(1, a), (2, "b " * 80), (2, a + " tail"), (2, a + " tail"), (3, None), (3, None), (3, ""), (None, a), (4, "b " * 80)]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.keep_one_of_each(spark, df, DATA)
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.filter("text > ''").collect()) == [(0, a)] + [(2, "b " * 80)]
+    assert kept.filter("doc_id = 3").count() == 2 and kept.columns == df.columns
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     least = near_duplicates.least_matches()
     assert list(least) == list(range(32, 193, 32)) and all(a < b for a, b in zip(least.values(), list(least.values())[1:]))
@@ -262,6 +273,21 @@ def test_one_inserted_character_hides_no_insult(model):
     assert max(scorer.scores([clean, "the stride of a motor, an idea, worth it", "studio idol moroccan"])) < toxicity.CUT
 
 
+@pytest.mark.parametrize("word", ["idiot" * 200_000, "stupid-" * 140_000, "".join(f"{k % 7}id{'abc'[k % 3]}iot" for k in range(120_000)), "x" * 1_000_000])
+def test_long_words_take_linear_time(model, word):
+    began = time.perf_counter()
+    toxicity.Scorer(model).scores([word])
+    assert time.perf_counter() - began < 40
+
+
+def test_pieces_cover_a_word():
+    for n in (1, 64, 65, 96, 97, 200):
+        word = "".join(chr(256 + k) for k in range(n))
+        some = toxicity.pieces(word)
+        assert {c for p in some for c in p} == set(word) and all(len(p) <= toxicity.PIECE for p in some)
+        assert all(any(word[k : k + 32] in p for p in some) for k in range(max(1, n - 31)))
+
+
 def test_held_out_documents(spark):
     data = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
