@@ -48,33 +48,26 @@ PIECE = 1 << 20  #: bytes of a text that are split at a time
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def term_counter(data: bytes) -> Counter:
-    """How often every term stands in a text; a long one is split piece by piece, between words."""
-    plain = data.translate(BYTES)
-    if len(plain) <= PIECE:
-        return Counter(plain.split())
-    found: Counter = Counter()
-    at = 0
+def terms_of(data: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text, in UTF-8; a long one is split piece by piece, between words."""
+    plain, at = data.translate(BYTES), 0
     while at < len(plain):
-        end = plain.find(b" ", at + PIECE)
+        end = plain.find(b" ", at + PIECE) if len(plain) > at + PIECE else -1
         end = len(plain) if end < 0 else end
-        found.update(plain[at:end].split())
+        yield plain[at:end].split()
         at = end
-    return found
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n`` (occurrences), ``df`` (documents), one row or more each; a null term for every group that occurs."""
     names = ["lang", "source", "term", "n", "df"]
-    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
-    def rows(counts: dict[tuple, list[int]]) -> Iterator[pa.RecordBatch]:
-        keys, values = list(counts), list(counts.values())
-        for k in range(0, len(keys), 50_000):
-            part = keys[k : k + 50_000]
-            columns = [*zip(*part), *zip(*values[k : k + 50_000])]
-            columns[2] = [None if x is None else x.decode("utf-8", "replace") for x in columns[2]]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+    def rows(lang: str, source: str, n: Counter, df: Counter) -> Iterator[pa.RecordBatch]:
+        terms = [None, *n]
+        for k in range(0, len(terms), 50_000):
+            some = terms[k : k + 50_000]
+            counts = [pa.array([c.get(t, 0) for t in some], pa.int64()) for c in (n, df)]
+            yield pa.record_batch([pa.repeat(lang, len(some)), pa.repeat(source, len(some)), pa.array(some, pa.binary()), *counts], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -82,16 +75,17 @@ def counted(docs: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, df) in total.items():
-                yield from rows({(lang, source, None): [0, 0]} | {(lang, source, t): [c, df[t]] for t, c in n.items()})
+                yield from rows(lang, source, n, df)
             total.clear()
 
         for b in batches:
             for lang, source, data in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("data")):
                 n, df = total.setdefault((lang, source), (Counter(), Counter()))
-                before = len(n)
-                found = term_counter(data.as_py())
-                n.update(found)
-                df.update(found.keys())
+                before, own = len(n), set()
+                for terms in terms_of(data.as_py()):
+                    n.update(terms)
+                    own.update(terms)
+                df.update(own)
                 held += len(n) - before
                 if held > DISTINCT:
                     yield from flush()
@@ -100,7 +94,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
     blank = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
     given = docs.select(*blank, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    found = given.mapInArrow(run, "lang string, source string, term string, n long, df long")
+    found = given.mapInArrow(run, "lang string, source string, term binary, n long, df long").withColumn("term", F.col("term").cast("string"))
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
