@@ -42,6 +42,7 @@ SPAN = 50  #: words of a window
 NODE = 12  #: words of a k-mer that can be a node
 PIECE = 1 << 20  #: bytes whose words are hashed at a time
 WORDS = 1 << 18  #: words whose windows are looked at at a time
+SALTS = 64  #: tasks over which the edges of one node are spread
 LAST_ID = (1 << 63) - 1  #: stands for a null id
 
 #: Odd multipliers of the rolling hashes: of bytes in a word, of words in a node, of words in an edge or window (two).
@@ -254,7 +255,10 @@ def marks(found: DataFrame, edges: DataFrame) -> DataFrame:
     """``owner, body, marks``: of each document the paths that it holds (``copy``) or is the source of (``source``), as ranges of words,
     and the edges whose windows have to be looked at one by one (``open``), as ranges of windows."""
     many = edges.groupBy("node").agg((F.min("edge") < F.max("edge")).alias("branching")).filter("branching")
-    known = edges.select("node", "edge", *SOURCE).join(paths(edges), ["node", "edge"], "left").join(many, "node", "left").filter("words is not null or branching")
+    # A node may have very many edges: they are spread over salts where they meet its one row.
+    many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = edges.select("node", "edge", *SOURCE, F.pmod(F.xxhash64("edge"), F.lit(SALTS)).cast("int").alias("salt"))
+    known = salted.join(many, ["node", "salt"], "left").drop("salt").join(paths(edges), ["node", "edge"], "left").filter("words is not null or branching")
     whole = F.struct(F.col("lo"), (F.col("lo") + F.col("words")).alias("hi"), *SOURCE)
     source = (F.col("owner") == F.col("s_owner")) & (F.col("body") == F.col("s_body")) & (F.col("lo") == F.col("s_lo"))
 
