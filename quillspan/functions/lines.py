@@ -6,12 +6,14 @@ terminator) or a lone CR; an unterminated rest is a line; an empty file has none
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINE = r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+"
 TERMINATOR = r"\r\n|\r|\n"
-RUN = 256
+RUN = 64
 
 
 def _col(c: Column | str) -> Column:
@@ -28,23 +30,32 @@ def line_pieces(data: Column | str) -> Column:
     return F.regexp_extract_all(latin1(data), F.lit(LINE), F.lit(0))
 
 
-def running_sums(numbers: Column) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(numbers: Column, levels: int = 4) -> Column:
     """The running sums of an array of bigint.
 
-    An array cannot grow in place, so that a plain fold copies it at every element; here only runs of ``RUN`` elements, and then
-    the sums of those runs, are folded.
+    An array cannot grow in place, so that a plain fold copies it at every element; here only runs of ``RUN`` elements are folded. The
+    sums of the runs are summed up in the same way, ``levels`` deep: arrays of ``RUN`` to the power of ``levels`` in linear work.
     """
+    zero = F.lit(0).cast("long")
 
     def fold(values: Column, first: Column) -> Column:
         start = F.struct(F.array().cast("array<bigint>").alias("sums"), first.alias("at"))
         return F.aggregate(values, start, lambda acc, n: F.struct(F.concat(acc["sums"], F.array(acc["at"] + n)).alias("sums"), (acc["at"] + n).alias("at")), lambda acc: acc["sums"])
 
-    zero = F.lit(0).cast("long")
-    count = F.ceil(F.size(numbers) / RUN).cast("int")
-    runs = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(numbers, k * RUN + 1, RUN))).otherwise(F.array().cast("array<array<bigint>>"))
-    ends = fold(F.transform(runs, lambda run: F.aggregate(run, zero, lambda a, n: a + n)), zero)
-    starts = F.concat(F.array(zero), F.slice(ends, F.lit(1), F.greatest(count - 1, F.lit(0))))
-    return F.flatten(F.zip_with(runs, F.slice(starts, F.lit(1), count), fold))
+    def cut(values: Column) -> Column:
+        count = F.ceil(F.size(values) / RUN).cast("int")
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(values, k * RUN + 1, RUN))).otherwise(F.array().cast("array<array<bigint>>"))
+
+    def over(runs: Column) -> Column:
+        ends = running_sums(F.transform(runs, lambda run: F.aggregate(run, zero, lambda a, n: a + n)), levels - 1)
+        return F.flatten(F.zip_with(runs, F.slice(F.concat(F.array(zero), ends), F.lit(1), F.size(runs)), fold))
+
+    return let(numbers, lambda n: fold(n, zero)) if levels == 1 else let(numbers, lambda n: let(cut(n), over))
 
 
 def line_ends(data: Column | str) -> Column:

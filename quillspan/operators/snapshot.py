@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.lines import TERMINATOR, latin1, line_pieces
 from ..functions.scalars import digest, identity_hash
+from .scan import running
 
 
 def from_binary_files(df: DataFrame) -> DataFrame:
@@ -29,13 +30,19 @@ def requirements(operations: DataFrame) -> DataFrame:
     return operations.select("batch_id", "operation_index", F.inline(both))
 
 
-def acquire(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """One row for each (batch, path) wanted: its file or its absence, ``conflicting`` wishes, and the rank of the files that exist."""
+def acquire(wanted: DataFrame, files: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """One row for each (batch, path) wanted, without bytes: ``existed``, ``conflicting`` wishes, ``file_id`` (the rank of the files that exist),
+    running use, the limit ``exceeded``, and whether the path is still ``read``: nothing is behind a batch's first excess or conflict."""
     states = wanted.groupBy("batch_id", "path").agg((F.count_distinct(F.when(F.col("state") == "must_not_exist", 0).otherwise(1)) > 1).alias("conflicting"))
-    known = files.withColumnRenamed("path", "file_path")
-    joined = states.join(known, F.col("path") == F.col("file_path"), "left").drop("file_path").withColumn("existed", F.coalesce("existed", F.lit(False)))
-    by_path = Window.partitionBy("batch_id", "existed").orderBy("path")
-    return joined.withColumn("file_id", F.when(F.col("existed"), F.row_number().over(by_path) - 1).cast("long"))
+    known = files.filter("existed").select(F.col("path").alias("file_path"), "bytes")
+    joined = states.join(known, F.col("path") == F.col("file_path"), "left")
+    sizes = running_usage(joined.withColumn("__group", F.col("batch_id")), "__group", limits).withColumnRenamed("__group", "batch_id")
+    ranks = running(joined.select("batch_id", "path", "conflicting", F.col("file_path").isNotNull().alias("existed")), ["batch_id"], ["path"], {"files": F.col("existed").cast("int")})
+    every = ranks.join(sizes, ["batch_id", "path"])
+    stop = every.groupBy("batch_id").agg(F.max("conflicting").alias("torn"), F.min(F.when(F.col("exceeded").isNotNull(), F.col("path"))).alias("stop"))
+    out = every.join(stop, "batch_id")
+    read = ~F.col("torn") & (F.col("stop").isNull() | (F.col("path") < F.col("stop")))
+    return out.select("batch_id", "path", "existed", "conflicting", F.when(F.col("existed"), F.col("files") - 1).alias("file_id"), "identities", "bytes", "lines", "index_bytes", "exceeded", read.alias("read"))
 
 
 def aliases(files: DataFrame) -> DataFrame:
@@ -59,19 +66,24 @@ def acquisition_problems(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return torn.unionByName(same.select("batch_id", F.lit(1).alias("step"), "path", F.lit("FILE_ALIAS").alias("problem")))
 
 
-#: Limits of a snapshot, in the order in which they are looked at.
-LIMITS = {"identities": 1000, "bytes": 1 << 30, "lines": 5_000_000, "index_bytes": 256 << 20}
+#: Limits of a snapshot, in the order in which they are looked at; ``file_bytes`` is that of one file.
+LIMITS = {"identities": 1000, "file_bytes": 1 << 28, "bytes": 1 << 30, "lines": 5_000_000, "index_bytes": 256 << 20}
 
 
 def running_usage(files: DataFrame, group: str, limits: dict[str, int] | None = None) -> DataFrame:
-    """Running use in path order inside each group, and the first limit that a file exceeds (null where none)."""
+    """Running use in path order inside each group, and the first limit that a file exceeds (null where none).
+
+    ``files(path, bytes)``; a null is an absent path, which counts as an identity. A group may be of any size: see :mod:`.scan`. A file that is over
+    its own limit and over what its group has left is told of the one that reading it meets first, the lesser.
+    """
     limits = LIMITS | (limits or {})
-    n = F.size(line_pieces("bytes")).cast("long")
-    upto = Window.partitionBy(group).orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = files.select(group, "path", F.length("bytes").cast("long").alias("n"), n.alias("l"))
-    used = each.select(group, "path", F.count(F.lit(1)).over(upto).alias("identities"), F.sum("n").over(upto).alias("bytes"), F.sum("l").over(upto).alias("lines"), (8 * F.sum("l").over(upto)).alias("index_bytes"))
-    over = F.coalesce(*(F.when(F.col(c) > limit, c) for c, limit in limits.items()))
-    return used.withColumn("exceeded", over)
+    each = files.select(group, "path", F.length("bytes").cast("long").alias("n"), F.size(line_pieces("bytes")).cast("long").alias("l"))
+    used = running(each, [group], ["path"], {"identities": F.lit(1), "bytes": F.col("n"), "lines": F.when(F.col("n").isNotNull(), F.col("l"))})
+    used = used.withColumn("index_bytes", 8 * F.col("lines"))
+    left = limits["bytes"] - (F.col("bytes") - F.coalesce("n", F.lit(0)))
+    own = F.when((F.col("n") > limits["file_bytes"]) & (F.lit(limits["file_bytes"]) <= left), "file_bytes")
+    over = F.coalesce(*(own if c == "file_bytes" else F.when(F.col(c) > limit, c) for c, limit in limits.items()))
+    return used.select(group, "path", "identities", "bytes", "lines", "index_bytes", over.alias("exceeded"))
 
 
 def first_excess(usage: DataFrame, group: str) -> DataFrame:

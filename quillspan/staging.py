@@ -28,11 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+#: Left on, a column of variants is written by types guessed from its rows, and whole numbers come back as decimals.
+GUESSED_TYPES = "spark.sql.variant.inferShreddingSchema"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspan/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(GUESSED_TYPES, None)
+    variants = any("variant" in kind for _, kind in df.dtypes)
+    try:
+        if variants:
+            spark.conf.set(GUESSED_TYPES, "false")
+        df.write.parquet(path)
+    finally:
+        if variants:
+            spark.conf.unset(GUESSED_TYPES) if before is None else spark.conf.set(GUESSED_TYPES, before)
     for made in _scopes[-1:]:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
