@@ -217,12 +217,31 @@ def problems_by_phase(spark, sf_dir):
     return plan(T.operations(spark, sf_dir), f).problems().select("batch_id", "key", "problem")
 
 
-@query()
-def plan_digest(spark, sf_dir):
-    """Deterministic record digests; no SQL has CBOR, golden vectors are in the tests."""
-    from .shipping import ship
+def _head(major: int, n: str) -> str:
+    """SQL for a CBOR head in hex."""
+    m = major * 32
+    return f"CASE WHEN {n} < 24 THEN printf('%02x', {m} + {n}) WHEN {n} < 256 THEN printf('%02x%02x', {m + 24}, {n}) WHEN {n} < 65536 THEN printf('%02x%04x', {m + 25}, {n}) WHEN {n} < 4294967296 THEN printf('%02x%08x', {m + 26}, {n}) ELSE printf('%02x%016x', {m + 27}, {n}) END"
 
-    ship(spark)
+
+def _text(s: str) -> str:
+    return f"{_head(3, f'strlen({s})')} || lower(hex(encode({s})))"
+
+
+def _sha(s: str) -> str:
+    return f"'5820' || substr({s}, 8)"
+
+
+@query(f"""{UP_TO_O}, ip AS (SELECT batch_id, source_path AS path FROM o UNION SELECT batch_id, destination_path FROM o),
+pl AS (SELECT batch_id, path, row_number() OVER (PARTITION BY batch_id ORDER BY path) - 1 AS k FROM ip),
+i1 AS (SELECT batch_id, {_head(4, "count(*)")} || string_agg('82' || {_text("ip.path")} || '87010100' || '01' || {_head(0, "(doc_id % 900)")} || {_head(0, "n")} || {_sha("sha")}, '' ORDER BY ip.path) AS x FROM ip JOIN w ON w.path = ip.path GROUP BY 1),
+p1 AS (SELECT batch_id, {_head(4, "count(*)")} || string_agg('8d' || {_head(0, "operation_index")} || CASE kind WHEN 'move' THEN '01' ELSE '02' END || {_text("source_path")} || '8301' || {_head(0, "l1")} || {_head(0, "l2")} || '8201' || {_sha("source_sha")} || {_head(0, "source_start")} || {_head(0, "source_end")} || {_sha("payload_sha256")} || {_text("destination_path")}
+  || CASE anchor WHEN 'file_start' THEN '8101' WHEN 'file_end' THEN '8102' WHEN 'before_line' THEN '8203' || {_head(0, "al")} WHEN 'after_line' THEN '8204' || {_head(0, "al")} ELSE '820500' END || '8201' || {_sha("destination_sha")} || {_head(0, "destination_offset")} || CASE effect WHEN 'changed' THEN '01' ELSE '02' END, '' ORDER BY operation_index) AS x FROM r GROUP BY 1),
+s1 AS (SELECT seg.batch_id, seg.path, {_head(4, "count(*)")} || string_agg(CASE WHEN rk = 1 THEN '8401' || {_head(0, "pl.k")} || {_head(0, "s")} || {_head(0, "e")} ELSE '8602' || {_head(0, "seg.operation_index")} || {_head(0, "pl.k")} || {_head(0, "s")} || {_head(0, "e")} || {_sha("r.payload_sha256")} END, '' ORDER BY seg.k) AS x
+  FROM seg JOIN pl ON pl.batch_id = seg.batch_id AND pl.path = seg.source_path LEFT JOIN r ON r.batch_id = seg.batch_id AND r.operation_index = seg.operation_index GROUP BY 1, 2),
+u1 AS (SELECT out.batch_id, {_head(4, "count(*)")} || string_agg('86' || {_text("out.path")} || {_sha("before_sha256")} || {_sha("after_sha256")} || {_head(0, "after_length")} || CASE change_kind WHEN 'unchanged' THEN '01' WHEN 'modified' THEN '02' ELSE '04' END || coalesce(s1.x, '80'), '' ORDER BY out.path) AS x FROM out LEFT JOIN s1 ON s1.batch_id = out.batch_id AND s1.path = out.path GROUP BY 1)
+SELECT p1.batch_id, 'sha256:' || sha256(unhex('860101820000' || i1.x || p1.x || coalesce(u1.x, '80'))) AS plan_sha256 FROM p1 JOIN i1 ON i1.batch_id = p1.batch_id LEFT JOIN u1 ON u1.batch_id = p1.batch_id""")
+def plan_digest(spark, sf_dir):
+    """Digests of the plans' records; a record of every variant and width is in the tests."""
     return _plan(spark, sf_dir).digests()
 
 
