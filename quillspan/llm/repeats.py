@@ -216,7 +216,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """The occurrences of nodes that two documents at least hold."""
     both = nodes(docs).groupBy("node").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).filter("a < b").select("node")
-    return occurrences(docs).join(both, "node", "left_semi")
+    # Written down, the few repeated nodes meet the edges in a join of two exchanges, whose large partitions Spark splits.
+    return occurrences(docs).join(staged(both, "nodes"), "node", "left_semi")
 
 
 SOURCE = ("s_owner", "s_body", "s_lo")
@@ -343,7 +344,7 @@ def removable(open_docs: DataFrame) -> DataFrame:
     copies = checked.filter("kind = 'copy'").join(sources, [*SOURCE, "f1", "f2"], "left_semi").select("owner", "body", "lo", "hi")
     windows = open_windows(open_docs)
     first = windows.groupBy("w1", "w2").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).filter("a < b")
-    again = windows.join(first, ["w1", "w2"]).filter("owner > a").select("owner", "body", "lo", (F.col("lo") + SPAN).alias("hi"))
+    again = windows.join(staged(first, "windows"), ["w1", "w2"]).filter("owner > a").select("owner", "body", "lo", (F.col("lo") + SPAN).alias("hi"))
     return copies.unionByName(again).groupBy("owner", "body").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
