@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lines import cut, fold_metrics, line_content, line_pieces, metrics, metrics_lines, terminator_label
-from ..functions.scalars import head_sample, is_binary, json_cost, tail_sample
+from ..functions.scalars import is_binary
 
 KEY = ("batch_id", "path")
 BINARY_SIDE = 8 << 20  #: larger sides are not compared as text
-DIFF_BYTES = 4 << 20
-DIFF_WORK = 10_000_000
 
 
 def review_operations(resolved: DataFrame, files: DataFrame) -> DataFrame:
@@ -79,27 +77,26 @@ def prefix_suffix_diff(sides: DataFrame) -> DataFrame:
     return df.select(*keys, F.col("prefix").cast("long").alias("prefix"), F.col("suffix").cast("long").alias("suffix"), header.alias("header"), "removed", "added")
 
 
-def within_budget(diffs: DataFrame, limit: int = DIFF_BYTES) -> DataFrame:
-    """Whole outputs in path order for as long as their text, raw and as JSON, stays inside the limit; ``shown`` tells which."""
-    text = F.concat(F.col("header"), F.lit("\n"), F.array_join(F.concat("removed", "added"), "\n"), F.lit("\n"))
-    upto = Window.partitionBy("batch_id").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = diffs.withColumn("text", text).withColumn("raw_bytes", F.sum(F.octet_length("text")).over(upto)).withColumn("json_bytes", F.sum(json_cost("text")).over(upto))
-    return sized.withColumn("shown", (F.col("raw_bytes") <= limit) & (F.col("json_bytes") <= limit)).select("batch_id", "path", "text", "raw_bytes", "json_bytes", "shown")
+def numbered(made: DataFrame) -> DataFrame:
+    """Outputs with ``output_index``, their place in path order in their batch."""
+    return made.withColumn("output_index", (F.row_number().over(Window.partitionBy("batch_id").orderBy("path")) - 1).cast("long"))
 
 
-def response_budget(rest_bytes, most: int = 16 << 20, diff: int = DIFF_BYTES):
-    """Bytes that a diff may take beside the rest of a response."""
-    return F.greatest(F.lit(0), F.least(F.lit(diff), F.lit(most) - rest_bytes))
+def human_report(ops: DataFrame, made: DataFrame, diffs: DataFrame) -> DataFrame:
+    """``batch_id, text``: a line an operation, a line an output, the diff, and a line a warning.
 
-
-def binary_summary(sides: DataFrame) -> DataFrame:
-    """Lengths and the first and last bytes of both sides, base64."""
-    return sides.select("batch_id", "path", "change_kind", F.length("before").cast("long").alias("before_length"), F.length("after").cast("long").alias("after_length"), head_sample("before").alias("before_head"), tail_sample("before").alias("before_tail"), head_sample("after").alias("after_head"), tail_sample("after").alias("after_tail"))
-
-
-def human_report(ops: DataFrame, made: DataFrame) -> DataFrame:
-    """``batch_id, text``: a line an operation, then a line an output."""
-    lines = ops.select("batch_id", F.lit(0).alias("part"), F.lpad(F.col("operation_index").cast("string"), 12, "0").alias("key"), F.format_string("op %d: %s %s[%d,%d) -> %s@%d (%s)", "operation_index", "kind", "source_path", "source_start", "source_end", "destination_path", "destination_offset", "effect").alias("line"))
-    outs = made.select("batch_id", F.lit(1).alias("part"), F.col("path").alias("key"), F.format_string("%s: %s (%d bytes)", "path", "change_kind", "after_length").alias("line"))
-    every = lines.unionByName(outs)
-    return every.groupBy("batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "key", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    ``ops``: resolved operations; ``diffs(batch_id, mode, text, reason)``: as a preview has them.
+    """
+    from .preview import CHANGES, TRUNCATED, shown
+
+    name = F.element_at(F.create_map(*(F.lit(x) for kv in CHANGES.items() for x in kv)), F.col("change_kind"))
+    null = F.lit("null")
+    lines = ops.select("batch_id", F.lit(1).alias("part"), F.lpad(F.col("operation_index").cast("string"), 12, "0").alias("key"), F.format_string("- [%d] %s %s[%d..%d) -> %s@%d effect=%s selected_payload_sha256=%s\n", "operation_index", "kind", shown(F.col("source_path")), "source_start", "source_end", shown(F.col("destination_path")), "destination_offset", "effect", "payload_sha256").alias("line"))
+    outs = made.select("batch_id", F.lit(3).alias("part"), F.col("path").alias("key"), F.format_string("- %s change=%s before_length=%s before_sha256=%s after_length=%d after_sha256=%s\n", shown(F.col("path")), name, F.coalesce(F.col("before_length").cast("string"), null), F.coalesce("before_sha256", null), "after_length", "after_sha256").alias("line"))
+    text = F.when(F.col("mode") == "omitted", "omitted\n").when((F.col("mode") == "unchanged") | (F.col("text") == ""), "(no byte changes)\n").when(F.col("mode") == "text", F.col("text")).otherwise(F.concat("mode", F.lit(" summary\n")))
+    shown_diff = diffs.select("batch_id", F.lit(5).alias("part"), F.lit("").alias("key"), text.alias("line"))
+    told = diffs.filter("reason is not null").select("batch_id", F.lit(7).alias("part"), F.lit("").alias("key"), F.lit("- %s: %s\n" % TRUNCATED).alias("line"))
+    titles = diffs.select("batch_id", F.inline(F.array(*(F.struct(F.lit(k).alias("part"), F.lit("").alias("key"), F.lit(t).alias("line")) for k, t in ((0, "resolved_operations:\n"), (2, "outputs:\n"), (4, "diff:\n"), (6, "warnings:\n"))))))
+    known = diffs.select("batch_id")
+    every = titles.unionByName(lines.join(known, "batch_id", "left_semi")).unionByName(outs.join(known, "batch_id", "left_semi")).unionByName(shown_diff).unionByName(told)
+    return every.groupBy("batch_id").agg(F.expr("listagg(line) within group (order by part, key)").alias("text"))

@@ -393,4 +393,4 @@ def ambiguity(spark, sf_dir):
     return symbols.gate(symbols.by_position(ask, _tree(spark, sf_dir), smallest=False), ask, unique=True).drop("candidates")
 
 
-from . import log_queries, scalar_queries, symbol_queries  # noqa: E402, F401  (they add their own names)
+from . import log_queries, preview_queries, scalar_queries, symbol_queries  # noqa: E402, F401  (they add their own names)
