@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import commit_rank, is_artifact_name, is_digest, is_transaction_id, path_problem
+from .scan import running
 
 MAX_STATES = 512
 MAX_TARGETS = 1000
@@ -284,5 +285,7 @@ def blocking(entries: DataFrame) -> DataFrame:
 
 def status(entries: DataFrame, known: DataFrame) -> DataFrame:
     """The listing: every entry with what may be done, and its place in id order."""
-    joined = entries.join(F.broadcast(known), entries["last_state"] == known["global_state"], "left")
-    return joined.select("transaction_id", "entry", "last_state", "actions", "visibility", F.row_number().over(Window.partitionBy("entry").orderBy("transaction_id")).alias("place"))
+    joined = entries.join(F.broadcast(known), entries["last_state"] == known["global_state"], "left")  # six states
+    # Kinds of entry are few and grow with the logs: places are running counts, not a window over a kind.
+    listed = running(joined.select("transaction_id", "entry", "last_state", "actions", "visibility"), ["entry"], ["transaction_id"], {"place": F.lit(1)})
+    return listed.withColumn("place", F.col("place").cast("int"))

@@ -370,11 +370,14 @@ def name_lookup(spark, sf_dir):
     return symbols.by_name(ask, _tree(spark, sf_dir)).select("query_id", "path", "name", "kind", "start")
 
 
-ASK = """q AS (SELECT s_suppkey AS query_id, printf('region-%02d', s_suppkey % 5) AS path, s_suppkey * 7 % 40 + 1 AS off FROM supplier)"""
+ASK = """q AS (SELECT s_suppkey AS query_id, path, s_suppkey * 7919 % n + 1 AS off FROM supplier JOIN (SELECT path, count(*) AS n FROM tr GROUP BY 1) z ON path = printf('region-%02d', s_suppkey % 5))"""
 
 
 def _ask(spark, sf_dir):
-    return T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.format_string("region-%02d", F.col("s_suppkey") % 5).alias("path"), (F.col("s_suppkey") * 7 % 40 + 1).alias("offset"), F.lit(1 << 40).alias("length"))
+    """Every supplier asks somewhere in its region's whole range."""
+    sizes = _tree(spark, sf_dir).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    asked = T.table(spark, sf_dir, "supplier").withColumn("path", F.format_string("region-%02d", F.col("s_suppkey") % 5)).join(sizes, "path")
+    return asked.select(F.col("s_suppkey").alias("query_id"), "path", (F.col("s_suppkey") * 7919 % F.col("n") + 1).alias("offset"), F.lit(1 << 40).alias("length"))
 
 
 @query(f"""WITH {TREE}, {ASK}, m AS (SELECT query_id, tr.path, name, start, stop, rank() OVER (PARTITION BY query_id ORDER BY stop - start) AS r FROM q JOIN tr ON q.path = tr.path AND start <= off AND off < stop) SELECT query_id, path, name, start, stop AS "end" FROM m WHERE r = 1""")
