@@ -23,11 +23,12 @@ import pickle
 import re
 import zlib
 from array import array
-from bisect import bisect_left, bisect_right
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,7 @@ SEVERAL = 3  #: distinct neighbours that must share a block of an article before
 SAMPLE = 50  #: places sampled for each part of the order
 BROADCAST_ROWS = 100_000  #: pages with template text up to which what goes is sent to every executor; beyond, pages are shuffled
 SKETCH = 16  #: hashes kept of a block's words
+CELLS = 1 << 27  #: cells of a table of lengths that is kept, a bit each
 
 Block = tuple[str, bool]  #: text, and whether it stands inside the page's article
 
@@ -138,28 +140,52 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
-    """A longest common subsequence of two lists of lines, as the places in each (by Hunt and Szymanski's method)."""
-    where: dict[str, list[int]] = {}
+def _rows(a: list, b: list) -> Iterator[int]:
+    """For each beginning of ``a`` a row of bits over ``b``: 0 where one more element of ``b`` makes the longest common subsequence longer."""
+    masks: dict = {}
     for j, line in enumerate(b):
-        where.setdefault(line, []).append(j)
-    tails: list[int] = []
-    links: list[tuple | None] = []
-    for i, line in enumerate(a):
-        for j in reversed(where.get(line, ())):
-            k = bisect_left(tails, j)
-            link = (i, j, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                links.append(link)
-            else:
-                tails[k], links[k] = j, link
-    link = links[-1] if links else None
+        masks[line] = masks.get(line, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    yield row
+    for line in a:
+        both = row & masks.get(line, 0)
+        row = (row + both | row - both) & full
+        yield row
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Lengths of longest common subsequences of ``a`` and each beginning of ``b``."""
+    row = deque(_rows(a, b), maxlen=1)[0]
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_lines(a: list, b: list) -> tuple[list[int], list[int]]:
+    """A longest common subsequence of two lists of lines, as the places in each.
+
+    Rows of the table of lengths are bits of whole numbers, 64 cells an instruction, and equal lines are never paired up. A table of more than
+    ``CELLS`` cells is not kept: the longer list is halved where the two halves' lengths are greatest together.
+    """
+    if not a or not b:
+        return [], []
+    if len(a) * len(b) > CELLS and len(a) > 1:
+        half = len(a) // 2
+        at = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        left, right = common_lines(a[:half], b[:at]), common_lines(a[half:], b[at:])
+        return left[0] + [half + k for k in right[0]], left[1] + [at + k for k in right[1]]
+    rows = list(_rows(a, b))
+    i, j = len(a), len(b)
     left, right = [], []
-    while link:
-        left.append(link[0])
-        right.append(link[1])
-        link = link[2]
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+                left.append(i)
+                right.append(j)
     return left[::-1], right[::-1]
 
 

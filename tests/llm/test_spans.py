@@ -208,6 +208,25 @@ def test_common_lines_is_longest():
         assert len(left) == best[-1][-1] and [a[i] for i in left] == [b[j] for j in right]
 
 
+@pytest.mark.parametrize("cells", [1 << 27, 400])
+def test_long_pages_of_alternating_lines(monkeypatch, cells):
+    monkeypatch.setattr(html_text, "CELLS", cells)
+    rng = random.Random(9)
+    for _ in range(40):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(20, 60))] for _ in range(2))
+        best = [0] * (len(b) + 1)
+        for x in a:
+            above = list(best)
+            for j, y in enumerate(b):
+                best[j + 1] = above[j] + 1 if x == y else max(above[j + 1], best[j])
+        left, right = html_text.common_lines(a, b)
+        assert len(left) == best[-1] and [a[i] for i in left] == [b[j] for j in right] and left == sorted(set(left)) and right == sorted(set(right))
+    if cells > 400:
+        began = time.perf_counter()
+        left, _ = html_text.common_lines(["x", "y"] * 10_000, ["y", "x"] * 10_000)
+        assert len(left) == 19_999 and time.perf_counter() - began < 20
+
+
 def template_pages(spark, stories, wrap="{}"):
     menu = "".join(f"<div>Template line {k} of a long untagged menu on every page</div>" for k in range(8))
     rows = [(k, f"http://h.org/a/{k:05}", f"<body>{menu}{wrap.format(f'<div>{s}</div>')}</body>") for k, s in enumerate(stories)]
