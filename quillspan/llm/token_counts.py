@@ -5,7 +5,9 @@ block that hold it and how often. Rows are dealt by pre-token once; from that on
 (each distinct pre-token, whose pieces the tokenizer counts once) and the frequencies it is joined to. The products are
 summed per document: first inside each task into one array a block, then once more by block.
 
-A pre-token that every document holds still has one row a block, not one a document, so no key is hot.
+A pre-token has one row a block that holds it, not one a document. Where a block finds it in a large share of its documents, the row goes to
+one of ``SALTS`` partitions of that pre-token by the block's number, so that the words which all documents hold are dealt over many tasks; each of
+these partitions counts the pieces of those few words for itself.
 
 Defined cases: a null or empty text has no tokens and no bytes; strings that spell an added token count one each, as the
 library does by default; repeated rows are counted each on its own; other columns are ignored; an empty table gives no rows.
@@ -33,6 +35,8 @@ from ._common import kept, table, texts
 BLOCK_ROWS = 3000  #: documents of a block
 BLOCK_CHARS = 24_000_000  #: a block is closed sooner when its texts are long
 DIRECTORY = "\0block:"  #: marks the row that carries a block's own documents; no pre-token mixes such characters
+SALTS = 16  #: partitions of a pre-token that a large share of documents hold
+FREQUENT, LEAST_ROWS = 8, 64  #: such a share: one document of so many, in a block of so many documents
 HELD_SUMS = 4_000_000  #: sums that a task holds before it hands them on
 
 
@@ -90,7 +94,7 @@ def load(path: str) -> WordVocabulary:
 
 
 def postings(docs: DataFrame, path: str) -> DataFrame:
-    """``block``, ``token`` and packed (row of the block, frequency) pairs; and each block's directory of documents."""
+    """``block``, ``token``, ``salt`` and packed (row of the block, frequency) pairs; and each block's directory of documents."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         v = load(path)
@@ -118,12 +122,15 @@ def postings(docs: DataFrame, path: str) -> DataFrame:
             data = pair.tobytes()
             offsets = np.concatenate([[0], ends]).tolist()
             payload = [data[a:b] for a, b in zip(offsets, offsets[1:])]
+            own = 1 + (block ^ block >> 32) % SALTS
+            salts = [own if len(rows) >= LEAST_ROWS and len(p) // 8 * FREQUENT >= len(rows) else 0 for p in payload]
             names = list(token_of)
             names.append(f"{DIRECTORY}{block}")
+            salts.append(0)
             payload.append(b"".join(struct.pack("<qqqq", doc is not None, doc or 0, size, special) for doc, size, special in rows))
             if len(v.chunks) > 150_000:
                 v.chunks.clear()
-            return pa.record_batch([pa.array([block] * len(names), pa.int64()), pa.array(names, pa.string()), pa.array(payload, pa.binary())], names=["block", "token", "pairs"])
+            return pa.record_batch([pa.array([block] * len(names), pa.int64()), pa.array(names, pa.string()), pa.array(salts, pa.int32()), pa.array(payload, pa.binary())], names=["block", "token", "salt", "pairs"])
 
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -139,7 +146,7 @@ def postings(docs: DataFrame, path: str) -> DataFrame:
         if rows:
             yield close()
 
-    return texts(docs).mapInArrow(run, "block long, token string, pairs binary")
+    return texts(docs).mapInArrow(run, "block long, token string, salt int, pairs binary")
 
 
 CONTROLS = re.compile("[\x1c-\x1f]")
@@ -155,17 +162,17 @@ def exact_counts(v: WordVocabulary, text: str) -> tuple[Counter, int]:
 
 
 def vocabulary(dealt: DataFrame, path: str) -> DataFrame:
-    """Every distinct pre-token with its number of pieces, each counted once."""
+    """Every distinct pre-token with its number of pieces, each counted once in its partition."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         v = load(path)
         for b in batches:
             names = b.column("token").to_pylist()
-            yield pa.record_batch([pa.array(names, pa.string()), pa.array([0 if t.startswith(DIRECTORY) else v.pieces(t) for t in names], pa.int64())], names=["known_token", "pieces"])
+            yield pa.record_batch([pa.array(names, pa.string()), b.column("salt"), pa.array([0 if t.startswith(DIRECTORY) else v.pieces(t) for t in names], pa.int64())], names=["known_token", "known_salt", "pieces"])
 
     # The aggregates read every column, so that this and the join below share one exchange.
-    distinct = dealt.groupBy("token").agg(F.count("block").alias("blocks"), F.sum(F.octet_length("pairs")).alias("size"))
-    return distinct.mapInArrow(run, "known_token string, pieces long")
+    distinct = dealt.groupBy("token", "salt").agg(F.count("block").alias("blocks"), F.sum(F.octet_length("pairs")).alias("size"))
+    return distinct.mapInArrow(run, "known_token string, known_salt int, pieces long")
 
 
 def partial_sums(joined: DataFrame) -> DataFrame:
@@ -228,9 +235,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         return pd.DataFrame({"doc_id": ids, "n_bytes": lead[:, 2], "n_tokens": n, "over_limit": n > limit})
 
     # The filter drops nothing; stated here, the join need not add it on one side and so split the shared exchange.
-    dealt = postings(docs, path).filter(F.col("token").isNotNull()).repartition("token")
+    dealt = postings(docs, path).filter(F.col("token").isNotNull() & F.col("salt").isNotNull()).repartition("token", "salt")
     known = vocabulary(dealt, path)
-    joined = dealt.join(known, dealt["token"] == known["known_token"])
+    joined = dealt.join(known, (dealt["token"] == known["known_token"]) & (dealt["salt"] == known["known_salt"]))
     return partial_sums(joined).groupBy("block").applyInPandas(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
