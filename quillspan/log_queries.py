@@ -200,7 +200,7 @@ def envelope_round_trip(spark, sf_dir):
 # --- Recovery -----------------------------------------------------------------------------------------------------------
 
 
-SEEN = {"global_state": STATES, "original_existed": [True, False], "commit_kind": COMMITS, "rollback_kind": ROLLBACKS, "parent_matches": [True, False], "target": PLACES, "candidate": PLACES, "backup": PLACES}
+SEEN = {"global_state": STATES, "original_existed": [True, False], "commit_kind": COMMITS, "rollback_kind": ROLLBACKS, "parent_matches": [True, True, True, False], "target": ["original", *PLACES], "candidate": ["candidate", *PLACES], "backup": ["absent", *PLACES]}
 OBSERVED = f"""ob AS (SELECT *, substr(target, 1, 1) || substr(candidate, 1, 1) || substr(backup, 1, 1) AS w FROM ({_drawn_sql(SEEN)})),
 k AS (SELECT *, CASE WHEN NOT parent_matches OR 'unexpected' IN (target, candidate, backup) THEN 'unexpected_location_or_parent'
   WHEN global_state = 'preparing' THEN CASE WHEN w NOT IN (CASE WHEN original_existed THEN 'oaa' ELSE 'aaa' END, CASE WHEN original_existed THEN 'oca' ELSE 'aca' END) THEN 'preparing_observation_invalid' END
