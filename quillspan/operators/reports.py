@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,30 +34,39 @@ def negotiate(results: DataFrame) -> DataFrame:
     """``results(name, result)``, JSON of initialize results: ``position_encoding`` (UTF-16 where none is told), the server's name and version,
     or why the server cannot be used: symbols, then document sync, then encoding."""
 
-    def at(path: str):
-        return F.get_json_object("result", f"$.capabilities.{path}")
+    tree = F.try_parse_json("result")
 
-    symbols, sync, encoding = at("documentSymbolProvider"), at("textDocumentSync"), at("positionEncoding")
-    kinds = [str(SYNC_FULL), str(SYNC_INCREMENTAL)]
-    synced = sync.isin(*kinds) | ((at("textDocumentSync.openClose") == "true") & at("textDocumentSync.change").isin(*kinds))
+    def kind(path: str) -> Column:
+        """The JSON type of a part, null where there is none."""
+        return F.schema_of_variant(F.try_variant_get(tree, f"$.{path}", "variant"))
+
+    def typed(path: str, name: str, target: str) -> Column:
+        """A part of that type and no other: the text "true" is no true."""
+        return F.when(kind(path) == name, F.try_variant_get(tree, f"$.{path}", target))
+
+    symbols, sync, encoding = (f"capabilities.{x}" for x in ("documentSymbolProvider", "textDocumentSync", "positionEncoding"))
+    shown = typed(symbols, "BOOLEAN", "boolean") | kind(symbols).startswith("OBJECT")
+    kinds = (SYNC_FULL, SYNC_INCREMENTAL)
+    synced = F.coalesce(typed(sync, "BIGINT", "int").isin(*kinds), F.lit(False)) | (typed(f"{sync}.openClose", "BOOLEAN", "boolean") & typed(f"{sync}.change", "BIGINT", "int").isin(*kinds))
+    chosen = typed(encoding, "STRING", "string")
+    told = kind(encoding).isNotNull() & (kind(encoding) != "VOID")
     problem = (
-        F.when(~F.coalesce((symbols == "true") | symbols.startswith("{"), F.lit(False)), "LSP_CAPABILITY_UNAVAILABLE")
+        F.when(~F.coalesce(kind(symbols).startswith("OBJECT") | shown, F.lit(False)), "LSP_CAPABILITY_UNAVAILABLE")
         .when(~F.coalesce(synced, F.lit(False)), "LSP_DOCUMENT_SYNC_UNAVAILABLE")
-        .when(encoding.isNotNull() & ~encoding.isin(*ENCODINGS), "UNSUPPORTED_TEXT_ENCODING")
+        .when(F.coalesce(told, F.lit(False)) & ~F.coalesce(chosen.isin(*ENCODINGS), F.lit(False)), "UNSUPPORTED_TEXT_ENCODING")
     )
     good = problem.isNull()
-    return results.select("name", F.when(good, F.coalesce(encoding, F.lit("utf-16"))).alias("position_encoding"), F.get_json_object("result", "$.serverInfo.name").alias("server_name"), F.get_json_object("result", "$.serverInfo.version").alias("server_version"), problem.alias("problem"))
+    return results.select("name", F.when(good, F.coalesce(chosen, F.lit("utf-16"))).alias("position_encoding"), typed("serverInfo.name", "STRING", "string").alias("server_name"), typed("serverInfo.version", "STRING", "string").alias("server_version"), problem.alias("problem"))
 
 
 def resolve_server(asked: DataFrame, user: DataFrame, builtin: DataFrame) -> DataFrame:
     """``asked(query_id, program, id, extension)`` against ``user`` and ``builtin`` descriptors ``(id, extension, program)``: a stated program first, then
     a stated id (the user's, then built in), then the extension (the user's, then built in); two of one kind are ambiguous."""
     every = user.withColumn("rank", F.lit(1)).unionByName(builtin.withColumn("rank", F.lit(2))).select(F.col("id").alias("s_id"), F.lower("extension").alias("s_extension"), F.col("program").alias("s_program"), "rank")
-    by_id = F.col("id").isNotNull() & (F.col("id") == F.col("s_id"))
-    by_extension = F.col("id").isNull() & (F.lower(F.regexp_replace("extension", r"\A\.", "")) == F.col("s_extension"))
     open_ = asked.filter(F.col("program").isNull())
-    # Descriptors are a small fixed table: one row a configured language.
-    found = open_.join(F.broadcast(every), by_id | by_extension)
+    extension = F.lower(F.regexp_replace("extension", r"\A\.", ""))
+    # A stated id decides alone; each way is a join on equality.
+    found = open_.filter(F.col("id").isNotNull()).join(every, F.col("id") == F.col("s_id")).unionByName(open_.filter(F.col("id").isNull()).join(every, extension == F.col("s_extension")))
     best = found.withColumn("best", F.min("rank").over(Window.partitionBy("query_id"))).filter(F.col("rank") == F.col("best")).groupBy(F.col("query_id").alias("q")).agg(F.count_distinct("s_id").alias("n"), F.min(F.struct("s_id", "s_program")).alias("s"))
     joined = asked.join(best, F.col("query_id") == F.col("q"), "left")
     problem = F.when(F.col("program").isNotNull(), F.lit(None)).when(F.col("n").isNull(), F.when(F.col("id").isNotNull(), "UNKNOWN_SERVER_ID").otherwise("LSP_SERVER_NOT_CONFIGURED")).when(F.col("n") > 1, "AMBIGUOUS_EXTENSION")
