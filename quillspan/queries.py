@@ -305,12 +305,14 @@ def projected_disk(spark, sf_dir):
 
 # --- Positions and symbols ----------------------------------------------------------------------------------------------
 
-@query()
+@query(r"""WITH ed AS (SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS path, string_split(text, chr(10)) AS ls FROM documents), el AS (SELECT path, unnest(range(0, len(ls))) AS line, unnest(ls) AS content FROM ed),
+es AS (SELECT *, CAST(sum(strlen(content) + 1) OVER (PARTITION BY path ORDER BY line) AS BIGINT) - strlen(content) - 1 AS line_start, count(*) OVER (PARTITION BY path) AS n FROM el), dn AS (SELECT count(*) AS n FROM documents),
+q AS (SELECT l_orderkey * 10 + l_linenumber AS query_id, lpad(CAST(l_orderkey % dn.n AS VARCHAR), 8, '0') AS path, l_partkey AS k FROM lineitem, dn), a AS (SELECT query_id, q.path, k % len(ls) AS line, k % 40 AS ch FROM q JOIN ed ON ed.path = q.path),
+f AS (SELECT a.*, line_start, content, list_transform(range(1, least(length(content), 41) + 1), lambda i: CASE WHEN unicode(substr(content, i, 1)) > 65535 THEN 2 ELSE 1 END) AS us, length(content) + length(regexp_replace(content, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS units FROM a JOIN es ON es.path = a.path AND es.line = a.line),
+g AS (SELECT *, list_transform(range(0, len(us) + 1), lambda i: coalesce(list_sum(us[1 : i]), 0)) AS cum FROM f)
+SELECT query_id, path, CAST(line AS BIGINT) AS line, CAST(ch AS BIGINT) AS "character", 'utf-16' AS encoding, CAST(CASE WHEN ch >= units THEN line_start + strlen(content) WHEN list_contains(cum, ch) THEN line_start + strlen(substr(content, 1, list_position(cum, ch) - 1)) END AS BIGINT) AS "offset", CASE WHEN ch < units AND NOT list_contains(cum, ch) THEN 'SPLIT_CHARACTER' END AS problem FROM g""")
 def utf16_positions(spark, sf_dir):
-    """UTF-16 positions of every spot's document, there and back; unit tests hold them against Python's own codecs."""
-    from .shipping import ship
-
-    ship(spark)
+    """UTF-16 positions on any line of every row's document; unit tests hold them against Python's own codecs too."""
     lines = P.editor_lines(T.files(spark, sf_dir))
     n_lines = lines.groupBy(F.col("path").alias("n_path")).agg(F.max("line").alias("n_lines"))
     n_docs = F.broadcast(T.table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_docs")))
