@@ -18,7 +18,7 @@ def commit_report(resolved: DataFrame, outputs: DataFrame, modes: DataFrame | No
 
     A batch's operations and outputs are bounded by the request's own limits.
     """
-    entry = F.struct("operation_index", "source_path", "source_start", "source_end", "destination_path", "destination_offset", "effect", F.col("payload_sha256").alias("selected_payload_sha256"), F.when(F.col("effect") == "changed", F.col("payload_sha256")).alias("inserted_payload_sha256"))
+    entry = F.struct("operation_index", "kind", "source_path", "source_start", "source_end", "destination_path", "destination_offset", "effect", F.col("payload_sha256").alias("selected_payload_sha256"), F.when(F.col("effect") == "changed", F.col("payload_sha256")).alias("inserted_payload_sha256"))
     ops = resolved.filter(F.col("problem").isNull()).groupBy("batch_id").agg(F.array_sort(F.collect_list(entry)).alias("operations"))
     spelled = F.create_map(*(F.lit(x) for pair in CHANGES.items() for x in pair))
     made = F.struct("path", spelled[F.col("change_kind")].alias("change_kind"), "before_length", "before_sha256", "after_length", "after_sha256")
@@ -30,6 +30,43 @@ def commit_report(resolved: DataFrame, outputs: DataFrame, modes: DataFrame | No
     return joined.join(kept, F.col("batch_id") == F.col("m_batch"), "left").drop("m_batch")
 
 
+WARNING = "struct<code:string,message:string,context:map<string,string>>"
+
+
+def commit_responses(p, workspace: str, transactions: DataFrame, modes: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
+    """``batch_id, response``: the whole report of a commit as a JSON line, its parts in the report's own order.
+
+    ``p``: a plan; ``transactions(batch_id, transaction_id)``: of the batches that were committed, the others changed nothing; ``warnings(batch_id, k,
+    code, message, context)``: in order of ``k``.
+    """
+    report = commit_report(p.good, p.outputs, modes).join(p.digests(), "batch_id").join(transactions, "batch_id", "left")
+    none = F.array().cast(f"array<{WARNING}>")
+    if warnings is None:
+        report = report.withColumn("warnings", none)
+    else:
+        told = warnings.groupBy("batch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.struct("code", "message", "context").cast(WARNING).alias("w")))), lambda x: x["w"]).alias("warnings"))
+        report = report.join(told, "batch_id", "left").withColumn("warnings", F.coalesce("warnings", none))
+    null = F.lit(None).cast("string")
+    outputs = dict(report.dtypes)["outputs"]
+    body = F.struct(
+        F.lit(1).alias("protocol_version"),
+        F.lit(1).alias("plan_hash_version"),
+        "plan_sha256",
+        F.lit(workspace).alias("workspace_identity_hash"),
+        F.col("operations").alias("resolved_operations"),
+        F.coalesce("outputs", F.array().cast(outputs)).alias("outputs"),
+        F.struct(F.lit("omitted").alias("kind"), null.alias("text"), null.alias("summary")).alias("diff"),
+        "warnings",
+        "transaction_id",
+        F.when(F.col("transaction_id").isNull(), "no_op").otherwise("committed").alias("transaction_state"),
+        F.coalesce("files_changed", F.array().cast("array<string>")).alias("files_changed"),
+        F.coalesce("preserved_modes", F.create_map().cast("map<string,int>")).alias("preserved_permission_modes"),
+        F.lit("complete").alias("recoverability_status"),
+        F.lit("recoverable_not_atomic").alias("visibility"),
+    )
+    return report.select("batch_id", F.concat(F.to_json(body, {"ignoreNullFields": "false"}), F.lit("\n")).alias("response"))
+
+
 def negotiate(results: DataFrame) -> DataFrame:
     """``results(name, result)``, JSON of initialize results: ``position_encoding`` (UTF-16 where none is told), the server's name and version,
     or why the server cannot be used: symbols, then document sync, then encoding."""

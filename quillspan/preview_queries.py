@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .named import query
-from .operators import journal, manifest, preview
+from .operators import journal, manifest, preview, reports
 from .queries import UP_TO_O, _plan
 
 #: Small, so that batches end below, at and above them.
@@ -64,6 +64,34 @@ def previews(spark, sf_dir):
 query(_preview_sql())(previews)
 
 
+def _commit_sql() -> str:
+    sql = _preview_sql()
+    digests = sql[sql.index("dg AS (") : sql.index("jo AS (")].rstrip().rstrip(",")
+    from .queries import ORACLE_SQL
+
+    plans = ORACLE_SQL["plan_digest"]
+    base = plans[: plans.rindex("SELECT p1.batch_id")].rstrip()
+    outs = sql[sql.index("ju AS (") : sql.index("pv AS (")].rstrip().rstrip(",")
+    ops = sql[sql.index("jo AS (") : sql.index(", ju AS (")]
+    ops = ops.replace("""|| payload_sha256 || '"}'""", """|| payload_sha256 || '","inserted_payload_sha256":' || CASE WHEN effect = 'changed' THEN '"' || payload_sha256 || '"' ELSE 'null' END || '}'""")
+    assert "inserted_payload_sha256" in ops
+    return f"""{base}, {digests}, {ops}, {outs}, fc AS (SELECT batch_id, '[' || string_agg('"' || path || '"', ',' ORDER BY path) || ']' AS changed, '{{' || string_agg('"' || path || '":420', ',' ORDER BY path) || '}}' AS modes FROM out WHERE change_kind <> 'unchanged' GROUP BY 1)
+SELECT jo.batch_id, sha256('{{"protocol_version":1,"plan_hash_version":1,"plan_sha256":"' || plan_sha256 || '","workspace_identity_hash":"{WORKSPACE}","resolved_operations":' || ops || ',"outputs":' || coalesce(outs, '[]') || ',"diff":{{"kind":"omitted","text":null,"summary":null}},"warnings":[],"transaction_id":' || CASE WHEN changed IS NULL THEN 'null,"transaction_state":"no_op"' ELSE '"' || lpad(jo.batch_id, 32, '0') || '","transaction_state":"committed"' END
+  || ',"files_changed":' || coalesce(changed, '[]') || ',"preserved_permission_modes":' || CASE WHEN CAST(jo.batch_id AS BIGINT) % 2 = 0 THEN coalesce(modes, '{{}}') ELSE '{{}}' END || ',"recoverability_status":"complete","visibility":"recoverable_not_atomic"}}' || chr(10)) AS response_sha256 FROM jo JOIN dg ON dg.batch_id = jo.batch_id LEFT JOIN ju ON ju.batch_id = jo.batch_id LEFT JOIN fc ON fc.batch_id = jo.batch_id"""
+
+
+def commit_responses(spark, sf_dir):
+    """Every batch's whole report; batches of even number tell the modes of what they changed."""
+    p = _plan(spark, sf_dir)
+    changed = p.outputs.filter("change_kind <> 'unchanged'")
+    transactions = changed.select("batch_id").distinct().withColumn("transaction_id", F.lpad("batch_id", 32, "0"))
+    modes = changed.filter(F.col("batch_id").cast("long") % 2 == 0).select("batch_id", "path", F.lit(420).alias("mode"))
+    return reports.commit_responses(p, WORKSPACE, transactions, modes).select("batch_id", F.sha2("response", 256).alias("response_sha256"))
+
+
+query(_commit_sql())(commit_responses)
+
+
 MAGIC = b"QSREC\0"
 
 

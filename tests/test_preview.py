@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from quillspan.operators import preview, review
+from quillspan.operators import preview, reports, review
 from quillspan.plans.plan import plan
 from quillspan.schemas import FILES, OPERATIONS
 
@@ -99,3 +99,17 @@ def test_the_report_in_words(planned):
     text = {r.batch_id: r.text for r in review.human_report(planned.good, planned.outputs, shown).collect()}["t"]
     parts = [text.index(x) for x in ("resolved_operations:\n- [0] copy a[0..4) -> b@0 effect=changed", "- [1] move a[4..17) -> b@6", "outputs:\n- a change=modified_existing", "diff:\n--- a (before)\n", "warnings:\n")]
     assert parts == sorted(parts)
+
+
+def test_whole_reports_of_commits(spark, planned):
+    ids = spark.createDataFrame([("t", "0" * 31 + "1")], "batch_id string, transaction_id string")
+    modes = spark.createDataFrame([("t", "b", 0o644), ("t", "a", 0o600)], "batch_id string, path string, mode int")
+    told = spark.createDataFrame([("t", 1, "SECOND", "m", {}), ("t", 0, "FIRST", "m", {"reason": "x"})], "batch_id string, k int, code string, message string, context map<string,string>")
+    rows = {r.batch_id: json.loads(r.response) for r in reports.commit_responses(planned, WORKSPACE, ids, modes, told).collect()}
+    done, idle = rows["t"], rows["no"]
+    assert list(done) == ["protocol_version", "plan_hash_version", "plan_sha256", "workspace_identity_hash", "resolved_operations", "outputs", "diff", "warnings", "transaction_id", "transaction_state", "files_changed", "preserved_permission_modes", "recoverability_status", "visibility"]
+    assert list(done["resolved_operations"][0])[-2:] == ["selected_payload_sha256", "inserted_payload_sha256"] and done["resolved_operations"][1]["kind"] == "move"
+    assert (done["transaction_state"], done["files_changed"], list(done["preserved_permission_modes"].items())) == ("committed", ["a", "b"], [("a", 0o600), ("b", 0o644)])
+    assert [w["code"] for w in done["warnings"]] == ["FIRST", "SECOND"] and done["warnings"][0]["context"] == {"reason": "x"}
+    assert (idle["transaction_id"], idle["transaction_state"], idle["files_changed"], idle["outputs"], idle["preserved_permission_modes"]) == (None, "no_op", [], [], {})
+    assert idle["resolved_operations"][0]["inserted_payload_sha256"] is None
