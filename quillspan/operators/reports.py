@@ -44,7 +44,9 @@ def commit_responses(p, workspace: str, transactions: DataFrame, modes: DataFram
     if warnings is None:
         report = report.withColumn("warnings", none)
     else:
-        told = warnings.groupBy("batch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.struct("code", "message", "context").cast(WARNING).alias("w")))), lambda x: x["w"]).alias("warnings"))
+        each = F.collect_list(F.struct("k", F.struct("code", "message", "context").cast(WARNING).alias("w")))
+        in_order = F.array_sort(each, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))  # a map has no order
+        told = warnings.groupBy("batch_id").agg(F.transform(in_order, lambda x: x["w"]).alias("warnings"))
         report = report.join(told, "batch_id", "left").withColumn("warnings", F.coalesce("warnings", none))
     null = F.lit(None).cast("string")
     outputs = dict(report.dtypes)["outputs"]
