@@ -273,7 +273,8 @@ def marks(found: DataFrame, edges: DataFrame) -> DataFrame:
             F.when(F.col("branching") & (F.col("owner") == F.col("s_owner")), mark("open", F.struct("lo", "hi"))),
         )
     )
-    each = found.select("node", "edge", "owner", "body", "lo", "hi").join(known, ["node", "edge"]).select("owner", "body", F.explode(every).alias("mark"))
+    # Written down for the same reason as the repeated nodes: an edge may occur very often.
+    each = found.select("node", "edge", "owner", "body", "lo", "hi").join(staged(known, "known"), ["node", "edge"]).select("owner", "body", F.explode(every).alias("mark"))
     return each.groupBy("owner", "body").agg(F.collect_set("mark").alias("marks"))
 
 
