@@ -5,7 +5,7 @@ All of it is keyed by (batch, path): one exchange serves conflicts, segments and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,26 +55,23 @@ def segments(events: DataFrame, resolved: DataFrame, lengths: DataFrame) -> Data
     along = Window.partitionBy(*KEY).orderBy("at")
     gaps = points.withColumn("depth", F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("next", F.lead("at").over(along))
     null = F.lit(None)
-    kept = gaps.filter("depth = 0 and next > at").select(*KEY, F.col("at").alias("place"), F.lit(1).alias("rank"), null.cast("long").alias("operation_index"), F.col("path").alias("source_path"), F.col("at").alias("start"), F.col("next").alias("end"), null.cast("string").alias("payload_sha256"))
-    put = resolved.filter(F.col("problem").isNull() & (F.col("effect") == "changed")).select("batch_id", F.col("destination_path").alias("path"), F.col("destination_offset").alias("place"), F.lit(0).alias("rank"), "operation_index", "source_path", F.col("source_start").alias("start"), F.col("source_end").alias("end"), "payload_sha256")
+    kept = gaps.filter("depth = 0 and next > at").select(*KEY, F.col("at").alias("place"), F.lit(1).alias("rank"), null.cast("long").alias("operation_index"), F.col("path").alias("source_path"), F.col("at").alias("start"), F.col("next").alias("end"))
+    put = resolved.filter(F.col("problem").isNull() & (F.col("effect") == "changed")).select("batch_id", F.col("destination_path").alias("path"), F.col("destination_offset").alias("place"), F.lit(0).alias("rank"), "operation_index", "source_path", F.col("source_start").alias("start"), F.col("source_end").alias("end"))
     order = Window.partitionBy(*KEY).orderBy("place", "rank", "operation_index")
     every = kept.unionByName(put)
-    return every.select(*KEY, (F.row_number().over(order) - 1).cast("long").alias("seg"), F.when(F.col("rank") == 0, "payload").otherwise("original").alias("seg_class"), "operation_index", "source_path", "start", "end", "payload_sha256", F.col("place").alias("offset"))
+    return every.select(*KEY, (F.row_number().over(order) - 1).cast("long").alias("seg"), F.when(F.col("rank") == 0, "payload").otherwise("original").alias("seg_class"), "operation_index", "source_path", "start", "end", F.col("place").alias("offset"))
 
 
 def composed(recipe: DataFrame, events: DataFrame, files: DataFrame) -> DataFrame:
     """Every output with its bytes ``before`` (null for a new file) and ``after``, how it changed, and the digest before.
 
-    ``files(path, existed, bytes, sha256, byte_length, link_count?)``.
+    ``files(path, existed, bytes)``.
     """
-    made = rendered(recipe, files).withColumnRenamed("bytes", "made")
-    touched = events.select(*KEY).distinct()
-    before = files.select(F.col("path").alias("b_path"), F.col("existed"), F.col("bytes").alias("b_bytes"), F.col("sha256").alias("before_sha256"), F.col("byte_length").alias("before_length"))
-    joined = touched.join(made, list(KEY), "left").join(before, F.col("path") == F.col("b_path"), "left")
-    after = F.coalesce("made", F.unhex(F.lit("")))
-    existed = F.coalesce("existed", F.lit(False))
-    change = F.when(~existed, "created").when(after == F.col("b_bytes"), "unchanged").when(F.length(after) == 0, "emptied").otherwise("modified")
-    return joined.select(*KEY, change.alias("change_kind"), F.when(existed, F.col("b_bytes")).alias("before"), after.alias("after"), F.when(existed, F.col("before_length")).cast("long").alias("before_length"), F.when(existed, F.col("before_sha256")).alias("before_sha256"))
+    joined = parts_of(recipe, files, events).join(contents(files), F.col("path") == F.col("b_path"), "left")
+    existed = F.coalesce("b_existed", F.lit(False))
+    made = joined.withColumn("after", put_together("parts", "b_bytes"))
+    change = F.when(~existed, "created").when(F.col("after") == F.col("b_bytes"), "unchanged").when(F.length("after") == 0, "emptied").otherwise("modified")
+    return made.select(*KEY, change.alias("change_kind"), F.when(existed, F.col("b_bytes")).alias("before"), "after", F.when(existed, F.length("b_bytes")).cast("long").alias("before_length"), F.when(existed, digest("b_bytes")).alias("before_sha256"))
 
 
 def outputs(recipe: DataFrame, events: DataFrame, files: DataFrame) -> DataFrame:
@@ -82,11 +79,35 @@ def outputs(recipe: DataFrame, events: DataFrame, files: DataFrame) -> DataFrame
     return composed(recipe, events, files).select(*KEY, "change_kind", "before_length", "before_sha256", F.length("after").cast("long").alias("after_length"), digest("after").alias("after_sha256"))
 
 
+def contents(files: DataFrame) -> DataFrame:
+    """What both joins below read of the files; alike, so that one exchange serves them."""
+    return files.select(F.col("path").alias("b_path"), F.col("existed").alias("b_existed"), F.col("bytes").alias("b_bytes"))
+
+
+def parts_of(recipe: DataFrame, files: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Every output (of ``events`` too, that have no segment) with its ``parts`` in order: the bytes of payloads, the ranges of what stays.
+
+    Only payloads are cut at their sources. What stays of a file is cut where the file is joined to its output, so that no output is
+    exchanged whole.
+    """
+    null = F.lit(None)
+    paid = recipe.filter("seg_class = 'payload'").join(contents(files), F.col("source_path") == F.col("b_path"), "left")
+    paid = paid.select(*KEY, "seg", null.cast("long").alias("start"), null.cast("long").alias("end"), F.when(F.col("b_existed"), cut("b_bytes", F.col("start"), F.col("end"))).alias("part"))
+    every = paid.unionByName(recipe.filter("seg_class = 'original'").select(*KEY, "seg", "start", "end"), allowMissingColumns=True)
+    if events is not None:
+        every = every.unionByName(events.select(*KEY), allowMissingColumns=True)
+    item = F.when(F.col("seg").isNotNull(), F.struct("seg", "start", "end", "part"))
+    return every.groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("parts"))
+
+
+def put_together(parts: str, data: str) -> Column:
+    """The bytes of an output; strings are bytes here, of no charset."""
+    return F.array_join(F.transform(parts, lambda x: F.coalesce(x["part"], cut(data, x["start"], x["end"])).cast("string")), "").cast("binary")
+
+
 def rendered(recipe: DataFrame, files: DataFrame) -> DataFrame:
-    """The bytes of every output of a recipe. Slices are joined by source path only here, and put together in order."""
-    src = files.select(F.col("path").alias("s_path"), F.col("bytes").alias("s_bytes"))
-    parts = recipe.join(src, F.col("source_path") == F.col("s_path"), "left").select(*KEY, "seg", cut("s_bytes", F.col("start"), F.col("end")).alias("part"))
-    return parts.groupBy(*KEY).agg(F.expr("listagg(part) within group (order by seg)").alias("bytes"))
+    """The bytes of every output of a recipe."""
+    return parts_of(recipe, files).join(contents(files), F.col("path") == F.col("b_path"), "left").select(*KEY, put_together("parts", "b_bytes").alias("bytes"))
 
 
 def linked_outputs(made: DataFrame, files: DataFrame) -> DataFrame:

@@ -25,15 +25,15 @@ def manifests(p, transactions: DataFrame, new_file_mode: int = 0o644) -> DataFra
 
     ``p``: a plan. Inputs are all files that the batch names; targets its changed outputs in path order, each with its recipe's segments.
     """
-    asked = p.required.select("batch_id", F.col("path").alias("asked")).distinct().join(p.good.select("batch_id").distinct(), "batch_id", "left_semi")
-    known = p.used_files.filter("existed").withColumn("file_identity", identity("device", "inode"))
-    inputs = asked.join(known, F.col("asked") == F.col("path"), "left").select("batch_id", F.col("asked").alias("path"), F.col("path").isNotNull().alias("existed"), "file_identity", "sha256", F.length("bytes").cast("long").alias("length"), F.col("link_count").cast("long").alias("link_count"))
+    asked = p.required.select("batch_id", F.col("path").alias("asked")).distinct().join(p.sound.select("batch_id").distinct(), "batch_id", "left_semi")
+    known = p.all_files.filter("existed").withColumns({"file_identity": identity("device", "inode"), "length": F.length("bytes").cast("long")}).drop("bytes")
+    inputs = asked.join(known, F.col("asked") == F.col("path"), "left").select("batch_id", F.col("asked").alias("path"), F.col("path").isNotNull().alias("existed"), "file_identity", "sha256", "length", F.col("link_count").cast("long").alias("link_count"))
     item = F.struct("path", "existed", "file_identity", "sha256", "length", "link_count")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct((~F.col("existed")).alias("absent"), F.col("path").alias("key"), item.alias("item")))), lambda x: x["item"])
     listed = inputs.groupBy("batch_id").agg(in_order.cast(f"array<{INPUT}>").alias("inputs"))
 
     files = inputs.filter("existed").select("batch_id", F.col("path").alias("source_path"), (F.row_number().over(Window.partitionBy("batch_id").orderBy("path")) - 1).cast("long").alias("input_index"))
-    parts = p.recipe.join(files, ["batch_id", "source_path"])
+    parts = p.layout.join(files, ["batch_id", "source_path"])
     segments = parts.groupBy("batch_id", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "input_index", "start", "end", "operation_index"))), lambda x: F.struct(x["input_index"].alias("input_index"), x["start"].alias("start"), x["end"].alias("end"), x["operation_index"].alias("operation_index"))).cast(f"array<{SEGMENT}>").alias("segments"))
 
     originals = inputs.select("batch_id", "path", F.col("existed").alias("original_existed"), F.col("file_identity").alias("original_identity"))

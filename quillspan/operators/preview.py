@@ -92,10 +92,10 @@ def summary_entries(sides: DataFrame) -> DataFrame:
 
 def reviews(p) -> DataFrame:
     """``batch_id, review``: the review of each plan as JSON, keys in order of their names."""
-    ops = review.review_operations(p.good, p.files)
+    ops = review.review_operations(p.sound, p.files)
     ops = _in_order(ops, "operation_index", F.struct("operation_index", "selected_byte_length", "selected_logical_line_count"), "ops")
-    groups = review.insertion_groups(p.recipe).groupBy("batch_id", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("group", "destination_offset", "operation_indices"))), lambda g: F.struct(g["destination_offset"].alias("destination_offset"), g["operation_indices"].alias("operation_indices"))).alias("groups"))
-    lines = review.review_outputs(p.outputs, p.recipe, p.files).join(groups, ["batch_id", "path"], "left").join(p.outputs.select("batch_id", "path", F.col("change_kind").alias("change")), ["batch_id", "path"])
+    groups = review.insertion_groups(p.layout).groupBy("batch_id", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("group", "destination_offset", "operation_indices"))), lambda g: F.struct(g["destination_offset"].alias("destination_offset"), g["operation_indices"].alias("operation_indices"))).alias("groups"))
+    lines = review.review_outputs(p.outputs, p.layout, p.files).join(groups, ["batch_id", "path"], "left").join(p.outputs.select("batch_id", "path", F.col("change_kind").alias("change")), ["batch_id", "path"])
     lines = review.numbered(lines)
     none = F.array().cast("array<struct<destination_offset:bigint,operation_indices:array<bigint>>>")
     before = F.when(F.col("change") != "created", F.col("before_logical_line_count"))

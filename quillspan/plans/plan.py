@@ -32,8 +32,11 @@ class Plan:
     @cached_property
     def used_files(self) -> DataFrame:
         """The files that any operation names."""
-        asked = self.required.select(F.col("path").alias("asked")).distinct()
-        return self.all_files.join(asked, F.col("path") == F.col("asked"), "left_semi")
+        return self.all_files.join(self.asked, F.col("path") == F.col("asked"), "left_semi")
+
+    @cached_property
+    def asked(self) -> DataFrame:
+        return staged(self.required.select(F.col("path").alias("asked")).distinct(), "asked")
 
     @cached_property
     def unread(self) -> DataFrame:
@@ -43,46 +46,64 @@ class Plan:
 
     @cached_property
     def files(self) -> DataFrame:
-        return resolve.indexed(self.used_files, line_ends("bytes"))
+        """What joins on paths read, each its own columns; operations name the files that they use, so nothing is picked out before."""
+        return resolve.indexed(self.all_files, line_ends("bytes"))
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        """Resolved operations without digests, written down: everything after reads these few columns many times."""
+        return staged(resolve.resolve(self.operations, self.files), "placed")
 
     @cached_property
     def resolved(self) -> DataFrame:
-        """Resolved operations, written down: everything after reads these few columns many times, and none of the bytes again."""
-        return staged(resolve.resolve(self.operations, self.files), "resolved")
+        """Resolved operations with their payloads' digests, written down for those who tell them."""
+        return staged(resolve.with_payloads(self.placed, self.all_files), "resolved")
 
     @cached_property
     def conflicts(self) -> DataFrame:
-        every = resolve.edit_events(self.resolved)
+        every = resolve.edit_events(self.placed)
         overlaps = compose.overlapping_deletions(every).select("batch_id", "path", "operation_index", F.lit(0).alias("rank"), F.lit("OVERLAPPING_DELETIONS").alias("problem"))
         inside = compose.insertions_in_deletions(every).select("batch_id", "path", "operation_index", F.lit(1).alias("rank"), F.lit("INSERTION_IN_DELETION").alias("problem"))
         return overlaps.union(inside)
 
+    @cached_property
+    def sound(self) -> DataFrame:
+        """Placed operations of the batches without any problem so far."""
+        bad = self.conflicts.select("batch_id").union(self.placed.filter("problem is not null").select("batch_id")).union(self.unread.select("batch_id")).distinct()
+        return staged(self.placed.join(bad, "batch_id", "left_anti"), "sound")
+
     @cached_property
     def good(self) -> DataFrame:
-        """Resolved operations of the batches without any problem so far."""
-        bad = self.conflicts.select("batch_id").union(self.resolved.filter("problem is not null").select("batch_id")).union(self.unread.select("batch_id")).distinct()
-        return staged(self.resolved.join(bad, "batch_id", "left_anti"), "good")
+        """The same with their payloads' digests."""
+        return self.resolved.join(self.sound.select("batch_id").distinct(), "batch_id", "left_semi")
 
     @cached_property
     def events(self) -> DataFrame:
-        return resolve.edit_events(self.good)
+        return resolve.edit_events(self.sound)
 
     @cached_property
-    def recipe(self) -> DataFrame:
+    def layout(self) -> DataFrame:
         """The segments of all outputs, written down for the same reason."""
-        return staged(compose.segments(self.events, self.good, self.files.select("path", "byte_length")), "recipe")
+        return staged(compose.segments(self.events, self.sound, self.files.select("path", "byte_length")), "layout")
+
+    @cached_property
+    def recipe(self) -> DataFrame:
+        """The same with their payloads' digests."""
+        paid = self.resolved.select("batch_id", "operation_index", "payload_sha256")
+        return self.layout.join(paid, ["batch_id", "operation_index"], "left").select(*self.layout.columns, "payload_sha256")
 
     @cached_property
     def outputs(self) -> DataFrame:
-        return compose.outputs(self.recipe, self.events, self.files)
+        """Lengths and digests of all outputs, written down: limits, reports and manifests read them, and put nothing together again."""
+        return staged(compose.outputs(self.layout, self.events, self.files), "outputs")
 
     @cached_property
     def sides(self) -> DataFrame:
         """Every output with its bytes before and after, put together once."""
-        return compose.composed(self.recipe, self.events, self.files)
+        return compose.composed(self.layout, self.events, self.files)
 
     def usage(self) -> DataFrame:
-        return accounting.usage(self.resolved, self.outputs, self.recipe)
+        return accounting.usage(self.placed, self.outputs, self.layout)
 
     def problems(self) -> DataFrame:
         """The first problem of each batch that has one."""
@@ -91,7 +112,7 @@ class Plan:
         read = errors.problems(torn, "snapshot", None, "concat(rank, path)")
         index = errors.problems(self.unread.filter("phase = 'index'"), "index", None, "path")
         pre = errors.problems(resolve.precondition_conflicts(self.required), "precondition", "PRECONDITION_CONFLICT", "''", "operation_index * 2 + role")
-        ops = errors.problems(self.resolved.filter("problem is not null"), "operation", None, "''", "operation_index")
+        ops = errors.problems(self.placed.filter("problem is not null"), "operation", None, "''", "operation_index")
         linked = compose.linked_outputs(self.outputs, self.used_files).select("batch_id", "path", F.lit(None).cast("long").alias("operation_index"), F.lit(2).alias("rank"), F.lit("HARD_LINK_NOT_SUPPORTED").alias("problem"))
         outs = errors.problems(self.conflicts.unionByName(linked), "output", None, "path", "rank")
         used = errors.problems(accounting.limit_violations(self.usage()), "budget", "RESOURCE_LIMIT_EXCEEDED")
@@ -99,8 +120,8 @@ class Plan:
 
     def digests(self, domain: bytes = b"") -> DataFrame:
         asked = self.required.select("batch_id", F.col("path").alias("r_path")).distinct()
-        known = self.used_files.withColumnRenamed("path", "f_path")
-        inputs = asked.join(known, F.col("r_path") == F.col("f_path"), "left").select("batch_id", F.col("r_path").alias("path"), F.coalesce("existed", F.lit(False)).alias("existed"), F.length("bytes").cast("long").alias("byte_length"), "sha256", "device", "inode", "parent_device", "parent_inode")
+        known = self.all_files.withColumnRenamed("path", "f_path").withColumn("byte_length", F.length("bytes").cast("long")).drop("bytes")
+        inputs = asked.join(known, F.col("r_path") == F.col("f_path"), "left").select("batch_id", F.col("r_path").alias("path"), F.coalesce("existed", F.lit(False)).alias("existed"), "byte_length", "sha256", "device", "inode", "parent_device", "parent_inode")
         return planhash.plan_digests(inputs, self.operations, self.resolved, self.outputs, self.recipe, domain=domain)
 
 

@@ -106,7 +106,7 @@ def manifest_build(spark, sf_dir):
     from .staging import staged
 
     p = _plan(spark, sf_dir)
-    made = manifest.manifests(p, p.good.select("batch_id").distinct().withColumn("transaction_id", F.lpad("batch_id", 32, "0")))
+    made = manifest.manifests(p, p.sound.select("batch_id").distinct().withColumn("transaction_id", F.lpad("batch_id", 32, "0")))
     read = staged(manifest.loaded(manifest.stored(made, MAGIC), MAGIC), "manifests")
     wrong = journal.manifest_problems(read.filter("problem is null").drop("problem", "record")).select(F.col("transaction_id").alias("w_id"), F.col("problem").alias("w_problem"))
     checked = read.join(wrong, F.col("transaction_id") == F.col("w_id"), "left")

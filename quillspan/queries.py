@@ -12,9 +12,10 @@ from .named import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .operators import accounting, compose, reports, resolve, review, snapshot, symbols
 from .plans.plan import plan
 from .sources import tables as T
+from .staging import staged
 
 def _plan(spark, sf_dir):
-    return plan(T.operations(spark, sf_dir), T.files(spark, sf_dir))
+    return plan(staged(T.operations(spark, sf_dir), "operations"), T.files(spark, sf_dir))
 
 
 # --- The tables as DuckDB sees them -------------------------------------------------------------------------------------
@@ -145,32 +146,32 @@ def resolve_selectors(spark, sf_dir):
 
 @query(f"""{UP_TO_R} SELECT batch_id, operation_index, destination_path, CAST(destination_offset AS BIGINT) AS destination_offset, effect, CAST(NULL AS VARCHAR) AS problem FROM r""")
 def resolve_anchors(spark, sf_dir):
-    return _plan(spark, sf_dir).resolved.select("batch_id", "operation_index", "destination_path", "destination_offset", "effect", "problem")
+    return _plan(spark, sf_dir).placed.select("batch_id", "operation_index", "destination_path", "destination_offset", "effect", "problem")
 
 
 @query(f"""{UP_TO_R} SELECT batch_id, operation_index FROM r WHERE effect = 'no_op'""")
 def noop_ops(spark, sf_dir):
-    return _plan(spark, sf_dir).resolved.filter("effect = 'no_op'").select("batch_id", "operation_index")
+    return _plan(spark, sf_dir).placed.filter("effect = 'no_op'").select("batch_id", "operation_index")
 
 
 @query(f"""{UP_TO_R}, {EVENTS} SELECT batch_id, path, operation_index, event, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end" FROM ev""")
 def edit_events(spark, sf_dir):
-    return resolve.edit_events(_plan(spark, sf_dir).resolved)
+    return resolve.edit_events(_plan(spark, sf_dir).placed)
 
 
 @query(f"""{UP_TO_E} SELECT batch_id, path, operation_index FROM ov""")
 def overlap_conflicts(spark, sf_dir):
-    return compose.overlapping_deletions(resolve.edit_events(_plan(spark, sf_dir).resolved))
+    return compose.overlapping_deletions(resolve.edit_events(_plan(spark, sf_dir).placed))
 
 
 @query(f"""{UP_TO_E} SELECT batch_id, path, operation_index, CAST(off AS BIGINT) AS "offset" FROM ins""")
 def insert_in_delete(spark, sf_dir):
-    return compose.insertions_in_deletions(resolve.edit_events(_plan(spark, sf_dir).resolved))
+    return compose.insertions_in_deletions(resolve.edit_events(_plan(spark, sf_dir).placed))
 
 
 @query(f"""{UP_TO_S} SELECT batch_id, path, k AS seg, CASE WHEN rk = 0 THEN 'payload' ELSE 'original' END AS seg_class, operation_index, source_path, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end" FROM seg""")
 def segments(spark, sf_dir):
-    return _plan(spark, sf_dir).recipe.drop("payload_sha256", "offset")
+    return _plan(spark, sf_dir).layout.drop("offset")
 
 
 @query(f"""{UP_TO_O} SELECT batch_id, path, change_kind, before_length, before_sha256, after_length, after_sha256 FROM out""")
@@ -214,7 +215,7 @@ def problems_by_phase(spark, sf_dir):
     shared = F.col("inode_of") - F.when(F.col("inode_of") % 5 == 1, 1).otherwise(0)
     f = T.files(spark, sf_dir).withColumn("inode_of", F.col("path").cast("long"))
     f = f.withColumns({"inode": shared.cast("decimal(20,0)"), "link_count": F.when(F.col("inode_of") % 7 == 0, 2).otherwise(1).cast("decimal(20,0)")}).drop("inode_of")
-    return plan(T.operations(spark, sf_dir), f).problems().select("batch_id", "key", "problem")
+    return plan(staged(T.operations(spark, sf_dir), "operations"), f).problems().select("batch_id", "key", "problem")
 
 
 def _head(major: int, n: str) -> str:
@@ -262,18 +263,18 @@ def commit_report(spark, sf_dir):
 @query(f"""{UP_TO_R} SELECT batch_id, operation_index, CAST(source_end - source_start AS BIGINT) AS selected_byte_length, CAST(l2 - l1 + 1 AS BIGINT) AS selected_logical_line_count FROM r""")
 def review_ops(spark, sf_dir):
     p = _plan(spark, sf_dir)
-    return review.review_operations(p.resolved, p.files)
+    return review.review_operations(p.placed, p.files)
 
 
 @query(f"""{UP_TO_O}, tx AS (SELECT batch_id, path, decode(unhex(bh)) AS a, decode(unhex(h)) AS b FROM outs) SELECT batch_id, path, CAST(length(a) - length(replace(a, chr(10), '')) + CASE WHEN a = '' OR ends_with(a, chr(10)) THEN 0 ELSE 1 END AS BIGINT) AS before_logical_line_count, CAST(length(b) - length(replace(b, chr(10), '')) + CASE WHEN b = '' OR ends_with(b, chr(10)) THEN 0 ELSE 1 END AS BIGINT) AS after_logical_line_count FROM tx""")
 def review_outputs(spark, sf_dir):
     p = _plan(spark, sf_dir)
-    return review.review_outputs(p.outputs, p.recipe, p.files)
+    return review.review_outputs(p.outputs, p.layout, p.files)
 
 
 @query(f"""{UP_TO_S}, q AS (SELECT *, CASE WHEN lag(k) OVER x = k - 1 AND lag(place) OVER x = place THEN 0 ELSE 1 END AS fresh FROM seg WHERE rk = 0 WINDOW x AS (PARTITION BY batch_id, path ORDER BY k)), z AS (SELECT *, sum(fresh) OVER (PARTITION BY batch_id, path ORDER BY k) - 1 AS g FROM q) SELECT batch_id, path, CAST(g AS BIGINT) AS "group", CAST(min(place) AS BIGINT) AS destination_offset, string_agg(CAST(operation_index AS VARCHAR), ',' ORDER BY k) AS operation_indices FROM z GROUP BY batch_id, path, g""")
 def insertion_groups(spark, sf_dir):
-    return review.insertion_groups(_plan(spark, sf_dir).recipe).withColumn("operation_indices", F.array_join("operation_indices", ","))
+    return review.insertion_groups(_plan(spark, sf_dir).layout).withColumn("operation_indices", F.array_join("operation_indices", ","))
 
 
 def _sides(spark, sf_dir):

@@ -105,3 +105,18 @@ def test_record_shape():
     )
     h = "5820" + d.hex()
     assert got.hex() == "8601018201028282616187010102010304" + h + "8261628300010281" + "8d0002616183020002" + "8201" + h + "0002" + h + "6162" + "8101" + "8102" + "0001" + "81" + "866162f6" + h + "0203" + "81" + "8602000000" + "02" + h
+
+
+def test_outputs_are_not_exchanged_whole(spark):
+    """One large file, edited by many batches: what is exchanged is the file and the edits, not an output a batch."""
+    data = random.Random(3).randbytes(200_000)
+    rows = [op(f"b{k}", 0, "copy", "a", k, k + 3, "a", 7 * k, {"a": data}) for k in range(40)]
+    p = plan(spark.createDataFrame(rows, OPERATIONS), spark.createDataFrame([file_row("a", data)], FILES))
+    sc = spark.sparkContext
+    every = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    p.recipe
+    before = {x.stageId() for x in map(every().apply, range(every().size()))}
+    got = {r.batch_id: r.after_sha256 for r in p.outputs.collect()}
+    assert got == {f"b{k}": sha(data[: 7 * k] + data[k : k + 3] + data[7 * k :]) for k in range(40)}
+    now = every()
+    assert sum(x.shuffleWriteBytes() for x in map(now.apply, range(now.size())) if x.stageId() not in before) < 3_000_000
