@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 LINE = r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+"
 TERMINATOR = r"\r\n|\r|\n"
 RUN = 64
+BESIDE = 64  #: bytes beside a range that are looked at first
 
 
 def _col(c: Column | str) -> Column:
@@ -165,9 +166,19 @@ def declaration_extent(data: Column | str, start: Column, end: Column) -> Column
     It grows forward only over what is blank up to a terminator or the file's end, and not at all behind a terminator.
     """
     data = _col(data)
-    before = latin1(F.substring(data, F.lit(1), start.cast("int")))
-    after = latin1(F.substring(data, (end + 1).cast("int"), F.greatest(F.length(data) - end, F.lit(0)).cast("int")))
-    lead = F.regexp_extract(before, r"(?:^|[\r\n])([ \t]*)\z", 1)
-    trail = F.regexp_extract(after, r"\A[ \t]*(?:\r\n|\r|\n|\z)", 0)
+    size = F.length(data)
+
+    def lead(first: Column) -> Column:
+        return F.length(F.regexp_extract(latin1(F.substring(data, (first + 1).cast("int"), (start - first).cast("int"))), r"(?:^|[\r\n])([ \t]*)\z", 1))
+
+    def trail(last: Column) -> Column:
+        return F.length(F.regexp_extract(latin1(F.substring(data, (end + 1).cast("int"), F.greatest(last - end, F.lit(0)).cast("int"))), r"\A[ \t]*(?:\r\n|\r|\n|\z)", 0))
+
+    # The bytes beside the range tell, but where they are blank throughout; so a range costs a few bytes, however long its file is.
+    first, last = F.greatest(start - BESIDE, F.lit(0)), F.least(end + BESIDE, size)
+    blank_before = (first > 0) & latin1(F.substring(data, (first + 1).cast("int"), (start - first).cast("int"))).rlike(r"\A[ \t]*\z")
+    blank_after = (last < size) & latin1(F.substring(data, (end + 1).cast("int"), F.greatest(last - end, F.lit(0)).cast("int"))).rlike(r"\A[ \t]*\r?\z")
+    back = F.when(blank_before, lead(F.lit(0))).otherwise(lead(first))
+    on = F.when(blank_after, trail(size)).otherwise(trail(last))
     closed = byte_at(data, end - 1).isin("\r", "\n")
-    return F.struct((start - F.length(lead)).cast("long").alias("start"), (end + F.when(closed, 0).otherwise(F.length(trail))).cast("long").alias("end"))
+    return F.struct((start - back).cast("long").alias("start"), (end + F.when(closed, 0).otherwise(on)).cast("long").alias("end"))

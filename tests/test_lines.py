@@ -89,3 +89,26 @@ def test_ends_of_many_lines(spark):
             expected.append((at, end))
             at = end
         assert rows[k] == [e for _, e in expected] and table.get(k, []) == expected
+
+
+def test_declaration_extent_of_long_blanks_and_long_files(spark):
+    """Blanks beside a range, about as many as are looked at first and far more, against the rule on the whole file."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quillspan.functions.lines import declaration_extent
+
+    rows = []
+    for n in (0, 1, 62, 63, 64, 65, 66, 200):
+        for ahead in (b"", b"x\n", b"x\r", b"x", b"y" * 500 + b"\n"):
+            for behind in (b"", b"\n", b"\r\n", b"\r", b"z", b"\n\n" + b"w" * 500, b"\r" + b"w" * 500, b"\r\n" + b"w" * 500, b"z" * 500):
+                for blank in (b" ", b"\t"):
+                    data = ahead + blank * n + b"ab" + blank * n + behind
+                    start = len(ahead) + n
+                    rows.append((bytearray(data), start, start + 2))
+    got = spark.createDataFrame(rows, "b binary, s long, e long").select("b", "s", "e", declaration_extent("b", F.col("s"), F.col("e")).alias("x")).collect()
+    for r in got:
+        lead = re.search(rb"(?:^|[\r\n])([ \t]*)\Z", bytes(r.b[: r.s]))
+        trail = re.match(rb"[ \t]*(?:\r\n|\r|\n|\Z)", bytes(r.b[r.e :]))
+        assert (r.x.start, r.x.end) == (r.s - len(lead.group(1) if lead else b""), r.e + len(trail.group(0) if trail else b"")), (bytes(r.b), r.s)
