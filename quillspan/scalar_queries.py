@@ -10,6 +10,7 @@ from .functions import scalars as S
 from .named import query
 from .operators import requests
 from .sources import tables as T
+from .staging import staged
 
 FILES = """w AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS path, text, CAST(strlen(text) AS BIGINT) AS n FROM documents)"""
 
@@ -134,5 +135,6 @@ def request_checks(spark, sf_dir):
         F.lit('"}},"destination":{"path":"'), F.when(k == 5, "../b").otherwise("b"), F.lit('","anchor":{"kind":"file_start"},"precondition":{"kind":"must_not_exist"}}}]}'), F.when(k == 1, "}").otherwise(""),
     )
     parsed = requests.parse(T.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("batch_id"), body.alias("body")))
+    parsed = staged(parsed, "parsed")  # read twice
     found = requests.operations(parsed).groupBy(F.col("batch_id").alias("b")).agg(F.count(F.lit(1)).cast("int").alias("n"))
     return parsed.select("batch_id", "problem").join(found, F.col("batch_id") == F.col("b"), "left").select("batch_id", "problem", F.coalesce("n", F.lit(0)).alias("operations"))
