@@ -36,7 +36,7 @@ class Plan:
 
     @cached_property
     def asked(self) -> DataFrame:
-        return staged(self.required.select(F.col("path").alias("asked")).distinct(), "asked")
+        return staged(self.required.select(F.col("path").alias("asked")).distinct(), "asked", "zstd")
 
     @cached_property
     def unread(self) -> DataFrame:
@@ -52,12 +52,12 @@ class Plan:
     @cached_property
     def placed(self) -> DataFrame:
         """Resolved operations without digests, written down: everything after reads these few columns many times."""
-        return staged(resolve.resolve(self.operations, self.files), "placed")
+        return staged(resolve.resolve(self.operations, self.files), "placed", "zstd")
 
     @cached_property
     def resolved(self) -> DataFrame:
         """Resolved operations with their payloads' digests, written down for those who tell them."""
-        return staged(resolve.with_payloads(self.placed, self.all_files), "resolved")
+        return staged(resolve.with_payloads(self.placed, self.all_files), "resolved", "zstd")
 
     @cached_property
     def conflicts(self) -> DataFrame:
@@ -70,7 +70,7 @@ class Plan:
     def sound(self) -> DataFrame:
         """Placed operations of the batches without any problem so far."""
         bad = self.conflicts.select("batch_id").union(self.placed.filter("problem is not null").select("batch_id")).union(self.unread.select("batch_id")).distinct()
-        return staged(self.placed.join(bad, "batch_id", "left_anti"), "sound")
+        return staged(self.placed.join(bad, "batch_id", "left_anti"), "sound", "zstd")
 
     @cached_property
     def good(self) -> DataFrame:
@@ -84,7 +84,7 @@ class Plan:
     @cached_property
     def layout(self) -> DataFrame:
         """The segments of all outputs, written down for the same reason."""
-        return staged(compose.segments(self.events, self.sound, self.files.select("path", "byte_length")), "layout")
+        return staged(compose.segments(self.events, self.sound, self.files.select("path", "byte_length")), "layout", "zstd")
 
     @cached_property
     def recipe(self) -> DataFrame:
@@ -95,7 +95,7 @@ class Plan:
     @cached_property
     def outputs(self) -> DataFrame:
         """Lengths and digests of all outputs, written down: limits, reports and manifests read them, and put nothing together again."""
-        return staged(compose.outputs(self.layout, self.events, self.files), "outputs")
+        return staged(compose.outputs(self.layout, self.events, self.files), "outputs", "zstd")
 
     @cached_property
     def sides(self) -> DataFrame:

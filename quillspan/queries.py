@@ -15,7 +15,7 @@ from .sources import tables as T
 from .staging import staged
 
 def _plan(spark, sf_dir):
-    return plan(staged(T.operations(spark, sf_dir), "operations"), T.files(spark, sf_dir))
+    return plan(staged(T.operations(spark, sf_dir), "operations", "zstd"), T.files(spark, sf_dir))
 
 
 # --- The tables as DuckDB sees them -------------------------------------------------------------------------------------
@@ -215,7 +215,7 @@ def problems_by_phase(spark, sf_dir):
     shared = F.col("inode_of") - F.when(F.col("inode_of") % 5 == 1, 1).otherwise(0)
     f = T.files(spark, sf_dir).withColumn("inode_of", F.col("path").cast("long"))
     f = f.withColumns({"inode": shared.cast("decimal(20,0)"), "link_count": F.when(F.col("inode_of") % 7 == 0, 2).otherwise(1).cast("decimal(20,0)")}).drop("inode_of")
-    return plan(staged(T.operations(spark, sf_dir), "operations"), f).problems().select("batch_id", "key", "problem")
+    return plan(staged(T.operations(spark, sf_dir), "operations", "zstd"), f).problems().select("batch_id", "key", "problem")
 
 
 def _head(major: int, n: str) -> str:

@@ -32,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 GUESSED_TYPES = "spark.sql.variant.inferShreddingSchema"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back; digests in hex take half their length in zstd."""
+def staged(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back; digests in hex take half their length in ``zstd``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspan/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(GUESSED_TYPES, None)
@@ -41,7 +41,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     try:
         if variants:
             spark.conf.set(GUESSED_TYPES, "false")
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         if variants:
             spark.conf.unset(GUESSED_TYPES) if before is None else spark.conf.set(GUESSED_TYPES, before)
