@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.lines import running_sums
 from ..functions.scalars import BIDI, digest, head_sample, is_binary, json_cost, tail_sample, terminal_escape
+from ..staging import staged
 from . import review
 from .scan import running
 
@@ -30,17 +33,25 @@ def shown(text: Column) -> Column:
     return F.when(text.rlike(rf"[\x00-\x1F\x7F-\x9F{BIDI}]"), terminal_escape(text)).otherwise(text)
 
 
-def diff_chunks(sides: DataFrame) -> DataFrame:
+def diff_chunks(sides: DataFrame, most: int | None = None, work: int | None = None) -> DataFrame:
     """``batch_id, path, seq, text, work, raw, json`` of the changed outputs of ``sides``: what each chunk adds to the three sums.
 
-    The first chunk of an output has no text: it is the work of reading both sides.
+    The first chunk of an output has no text: it is the work of reading both sides. ``most`` and ``work``: what no budget of the batch exceeds;
+    chunks behind one of their own output that exceeds it stay out, since none of them could be kept, nor be the first that is not.
     """
     changed = sides.filter("change_kind <> 'unchanged'").withColumn("read", F.coalesce(F.length("before"), F.lit(0)) + F.coalesce(F.length("after"), F.lit(0)))
     hunks = review.prefix_suffix_diff(changed.select("batch_id", "path", "read", "before", "after"))
     head = F.array(F.concat(F.lit("--- "), F.col("path"), F.lit(" (before)")), F.concat(F.lit("+++ "), F.col("path"), F.lit(" (after)")), F.col("header"))
     lines = F.concat(F.array(F.lit(None).cast("string")), head, F.col("removed"), F.col("added"))
-    each = hunks.select("batch_id", "path", "read", F.posexplode(lines).alias("seq", "line"))
-    text = F.when(F.col("seq") > 0, F.concat(shown(F.col("line")), F.lit("\n")))
+    # Escapes only lengthen a line: what stands before it unescaped is a bound from below.
+    sizes = running_sums(F.transform("lines", lambda x: F.coalesce(F.octet_length(x) + 1, F.lit(0)).cast("long")))
+    each = hunks.select("batch_id", "path", "read", lines.alias("lines")).select("batch_id", "path", "read", F.posexplode(F.arrays_zip("lines", sizes.alias("upto"))).alias("seq", "x"))
+    ahead = F.col("x.upto") - F.coalesce(F.octet_length("x.lines") + 1, F.lit(0))
+    if most is not None:
+        each = each.filter(ahead <= most)
+    if work is not None:
+        each = each.filter((F.col("seq") == 0) | (F.col("read") + ahead <= work))
+    text = F.when(F.col("seq") > 0, F.concat(shown(F.col("x.lines")), F.lit("\n")))
     each = each.select("batch_id", "path", F.col("seq").cast("long").alias("seq"), "read", text.alias("text"))
     raw = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return each.select("batch_id", "path", "seq", "text", F.when(F.col("seq") == 0, F.col("read")).otherwise(raw).cast("long").alias("work"), raw.alias("raw"), F.coalesce(json_cost("text"), F.lit(0)).alias("json"))
@@ -48,15 +59,25 @@ def diff_chunks(sides: DataFrame) -> DataFrame:
 
 def cut_to_budget(chunks: DataFrame, budgets: DataFrame, work: int = DIFF_WORK) -> DataFrame:
     """``budgets(batch_id, most)`` with ``text`` (the whole chunks before the first that exceeds something), ``chunks`` (their number) and ``truncation``:
-    null, ``work`` or ``output``."""
-    given = chunks.join(budgets, "batch_id")
-    summed = running(given, ["batch_id"], ["path", "seq"], {"work_upto": F.col("work"), "raw_upto": F.col("raw"), "json_upto": F.col("json")})
-    spent = F.when(F.col("work_upto") > work, "work").when((F.col("raw_upto") > F.col("most")) | (F.col("json_upto") > F.col("most")), "output")
-    marked = summed.withColumn("spent", spent)
+    null, ``work`` or ``output``.
+
+    Sums run over the outputs of a batch, without any text, and over the chunks of an output; text is exchanged by output, and what is kept of it
+    by batch.
+    """
+    sums = ("work", "raw", "json")
+    given = staged(chunks, "chunks", "zstd")
+    totals = given.groupBy("batch_id", "path").agg(*(F.sum(c).alias(c) for c in sums)).join(budgets, "batch_id")
+    ends = running(totals, ["batch_id"], ["path"], {f"{c}_end": F.col(c) for c in sums})
+    ahead = ends.select("batch_id", "path", "most", *((F.col(f"{c}_end") - F.col(c)).alias(f"{c}_ahead") for c in sums))
+    inside = Window.partitionBy("batch_id", "path").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = given.withColumns({f"{c}_upto": F.sum(c).over(inside) for c in sums}).join(ahead, ["batch_id", "path"])
+    upto = {c: F.col(f"{c}_ahead") + F.col(f"{c}_upto") for c in sums}
+    marked = summed.withColumn("spent", F.when(upto["work"] > work, "work").when((upto["raw"] > F.col("most")) | (upto["json"] > F.col("most")), "output"))
     # Sums only grow: what is within every budget stands before the first that is not.
-    first = marked.filter("spent is not null").groupBy("batch_id").agg(F.min(F.struct("path", "seq", "spent")).alias("first"))
-    kept = marked.filter("spent is null and seq > 0").groupBy("batch_id").agg(F.expr("listagg(text) within group (order by path, seq)").alias("text"), F.count(F.lit(1)).alias("chunks"))
-    return budgets.join(kept, "batch_id", "left").join(first, "batch_id", "left").select("batch_id", "most", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.col("first.spent").alias("truncation"))
+    kept = F.col("spent").isNull() & (F.col("seq") > 0)
+    each = marked.groupBy("batch_id", "path").agg(F.expr("listagg(text) within group (order by seq) filter (where spent is null and seq > 0)").alias("text"), F.count_if(kept).alias("chunks"), F.min(F.when(F.col("spent").isNotNull(), F.struct("path", "seq", "spent"))).alias("first"))
+    whole = each.groupBy("batch_id").agg(F.expr("listagg(text) within group (order by path)").alias("text"), F.sum("chunks").alias("chunks"), F.min("first").alias("first"))
+    return budgets.join(whole, "batch_id", "left").select("batch_id", "most", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.col("first.spent").alias("truncation"))
 
 
 def modes(sides: DataFrame, wanted: bool, side_bytes: int = SIDE_BYTES) -> DataFrame:
@@ -137,7 +158,7 @@ def preview(p, workspace: str, diff: bool = True, with_review: bool = True, work
     left = F.lit(response_bytes) - F.octet_length(response(F.lit("text"), F.lit(""), limits(reserve), reserve))
     budget = F.least(F.lit(diff_bytes), left).cast("long") if with_review else F.lit(diff_bytes).cast("long")
     base = base.withColumn("most", budget)
-    made = cut_to_budget(diff_chunks(p.sides), base.filter("mode = 'text'").select("batch_id", F.greatest("most", F.lit(0)).cast("long").alias("most")), work)
+    made = cut_to_budget(diff_chunks(p.sides, diff_bytes, work), base.filter("mode = 'text'").select("batch_id", F.greatest("most", F.lit(0)).cast("long").alias("most")), work)
     every = base.join(made.drop("most"), "batch_id", "left")
     text_reason = F.when(F.col("truncation").isNull(), None).when((F.col("truncation") == "output") & (F.col("most") < diff_bytes), "response_budget").otherwise("diff_budget")
     reason = F.when(F.col("mode") == "text", text_reason).when(F.col("mode") == "too_large", "detailed_input_limit")

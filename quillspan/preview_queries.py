@@ -29,8 +29,9 @@ ct AS (SELECT batch_id, count(*) FILTER (WHERE spent IS NULL AND seq > 0) AS chu
 @query(f"""{_cut(WORK, BYTES)} SELECT batch_id, chunks, sha256(text) AS text_sha256, CAST(strlen(text) AS BIGINT) AS raw_bytes, truncation FROM ct""")
 def diff_budget(spark, sf_dir):
     """Diffs cut by a small budget: by the work of reading, by their text, or not at all."""
-    chunks = preview.diff_chunks(_plan(spark, sf_dir).sides)
-    budgets = chunks.select("batch_id").distinct().withColumn("most", F.lit(BYTES).cast("long"))
+    p = _plan(spark, sf_dir)
+    chunks = preview.diff_chunks(p.sides, BYTES, WORK)
+    budgets = p.outputs.filter("change_kind <> 'unchanged'").select("batch_id").distinct().withColumn("most", F.lit(BYTES).cast("long"))
     cut = preview.cut_to_budget(chunks, budgets, WORK)
     return cut.select("batch_id", "chunks", F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").cast("long").alias("raw_bytes"), "truncation")
 

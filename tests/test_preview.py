@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.operators import preview, reports, review
 from quillspan.plans.plan import plan
@@ -113,3 +114,15 @@ def test_whole_reports_of_commits(spark, planned):
     assert [w["code"] for w in done["warnings"]] == ["FIRST", "SECOND"] and done["warnings"][0]["context"] == {"reason": "x"}
     assert (idle["transaction_id"], idle["transaction_state"], idle["files_changed"], idle["outputs"], idle["preserved_permission_modes"]) == (None, "no_op", [], [], {})
     assert idle["resolved_operations"][0]["inserted_payload_sha256"] is None
+
+
+def test_chunks_behind_what_no_budget_holds_stay_out(planned):
+    """Cut before and not, by budgets of every size: the same text and reason."""
+    every = preview.diff_chunks(planned.sides)
+    batches = every.select("batch_id").distinct()
+    for most, work in ((40, 10**6), (60, 110)):
+        budgets = batches.withColumn("most", F.lit(most).cast("long"))
+        few = preview.diff_chunks(planned.sides, most, work)
+        assert few.count() < every.count()
+        a, b = ({r.batch_id: tuple(r) for r in preview.cut_to_budget(x, budgets, work).collect()} for x in (every, few))
+        assert a == b
