@@ -18,7 +18,8 @@ exactly and on the whole input, but only few of them become rows:
    that stand in a smaller document go. The smallest document of a window is among them: no edge of it there is a copy.
 
 Every shuffle is by hash of node, edge, window or document; what one key gathers is a least and a greatest value, or the marks of one
-document. A passage that a third of all documents share is one path and one row a document.
+document. A passage that a third of all documents share is one path and one row a document. Whatever grows with the corpus meets by a
+shuffle at every size: Spark counts what is spread over salts as if it were not, and would send it through the driver.
 
 Defined cases: null texts, empty ones and those of fewer words than a window keep all words; documents are told by id and text, so
 that repeated rows get the same result each, and rows that share an id remove nothing from each other; a null id counts as greater
@@ -217,7 +218,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """The occurrences of nodes that two documents at least hold."""
     both = nodes(docs).groupBy("node").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).filter("a < b").select("node")
     # Written down, the few repeated nodes meet the edges in a join of two exchanges, whose large partitions Spark splits.
-    return occurrences(docs).join(staged(both, "nodes"), "node", "left_semi")
+    return occurrences(docs).join(staged(both, "nodes").hint("merge"), "node", "left_semi")
 
 
 SOURCE = ("s_owner", "s_body", "s_lo")
@@ -242,7 +243,7 @@ def paths(edges: DataFrame) -> DataFrame:
     shared = edges.filter("shared")
     before = shared.filter("next is not null").select(F.col("edge").alias("b_edge"), F.col("next").alias("b_next"), F.col("n").alias("b_n"), F.col("s_owner").alias("b_owner"), F.col("s_body").alias("b_body"), (F.col("s_lo") + F.col("windows")).alias("b_end"))
     link = (F.col("prev") == F.col("b_edge")) & (F.col("edge") == F.col("b_next")) & (F.col("n") == F.col("b_n")) & (F.col("s_owner") == F.col("b_owner")) & (F.col("s_body") == F.col("b_body")) & (F.col("s_lo") == F.col("b_end"))
-    linked = shared.join(before, link, "left")
+    linked = shared.join(before.hint("merge"), link, "left")
     along = Window.partitionBy("s_owner", "s_body").orderBy("s_lo")
     numbered = linked.withColumn("path", F.sum(F.col("b_edge").isNull().cast("int")).over(along))
     each = numbered.groupBy("s_owner", "s_body", "path").agg(F.min(F.struct("s_lo", "node", "edge")).alias("first"), F.max(F.col("s_lo") + F.col("windows")).alias("end"))
@@ -259,7 +260,7 @@ def marks(found: DataFrame, edges: DataFrame) -> DataFrame:
     # A node may have very many edges: they are spread over salts where they meet its one row.
     many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = edges.select("node", "edge", *SOURCE, F.pmod(F.xxhash64("edge"), F.lit(SALTS)).cast("int").alias("salt"))
-    known = salted.join(many, ["node", "salt"], "left").drop("salt").join(paths(edges), ["node", "edge"], "left").filter("words is not null or branching")
+    known = salted.join(many.hint("merge"), ["node", "salt"], "left").drop("salt").join(paths(edges).hint("merge"), ["node", "edge"], "left").filter("words is not null or branching")
     whole = F.struct(F.col("lo"), (F.col("lo") + F.col("words")).alias("hi"), *SOURCE)
     source = (F.col("owner") == F.col("s_owner")) & (F.col("body") == F.col("s_body")) & (F.col("lo") == F.col("s_lo"))
 
@@ -274,7 +275,7 @@ def marks(found: DataFrame, edges: DataFrame) -> DataFrame:
         )
     )
     # Written down for the same reason as the repeated nodes: an edge may occur very often.
-    each = found.select("node", "edge", "owner", "body", "lo", "hi").join(staged(known, "known"), ["node", "edge"]).select("owner", "body", F.explode(every).alias("mark"))
+    each = found.select("node", "edge", "owner", "body", "lo", "hi").join(staged(known, "known").hint("merge"), ["node", "edge"]).select("owner", "body", F.explode(every).alias("mark"))
     return each.groupBy("owner", "body").agg(F.collect_set("mark").alias("marks"))
 
 
@@ -294,7 +295,7 @@ def settled(docs: DataFrame, marked: DataFrame) -> DataFrame:
             sha = pa.array([None if o else hex_of(w) for o, w in zip(open_, split)], pa.string())
             yield pa.record_batch([*(b.column(c) for c in names[:4]), data, pa.array([len(w) for w in split], pa.int64()), sha], names=names)
 
-    joined = docs.join(marked, ["owner", "body"], "left").select("doc_id", "owner", "body", "marks", "data")
+    joined = docs.join(marked.hint("merge"), ["owner", "body"], "left").select("doc_id", "owner", "body", "marks", "data")
     return joined.mapInArrow(run, f"doc_id long, owner long, body long, marks array<{MARK}>, data binary, n_words long, kept_sha256 string")
 
 
@@ -342,10 +343,10 @@ def removable(open_docs: DataFrame) -> DataFrame:
     """``owner, body, spans``: the ranges of words that stand in a document of a smaller id too."""
     checked = fingerprints(open_docs)
     sources = checked.filter("kind = 'source'").select(*SOURCE, "f1", "f2")
-    copies = checked.filter("kind = 'copy'").join(sources, [*SOURCE, "f1", "f2"], "left_semi").select("owner", "body", "lo", "hi")
+    copies = checked.filter("kind = 'copy'").join(sources.hint("merge"), [*SOURCE, "f1", "f2"], "left_semi").select("owner", "body", "lo", "hi")
     windows = open_windows(open_docs)
     first = windows.groupBy("w1", "w2").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).filter("a < b")
-    again = windows.join(staged(first, "windows"), ["w1", "w2"]).filter("owner > a").select("owner", "body", "lo", (F.col("lo") + SPAN).alias("hi"))
+    again = windows.join(staged(first, "windows").hint("merge"), ["w1", "w2"]).filter("owner > a").select("owner", "body", "lo", (F.col("lo") + SPAN).alias("hi"))
     return copies.unionByName(again).groupBy("owner", "body").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -378,10 +379,10 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t, _ in zip(zip(*rows), types, names)], names=names)
 
     in_question = every.filter(F.col("data").isNotNull())
-    joined = in_question.join(removable(in_question), ["owner", "body"], "left").select("doc_id", "data", "spans")
+    joined = in_question.join(removable(in_question).hint("merge"), ["owner", "body"], "left").select("doc_id", "data", "spans")
     judged = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * with_text)
     if with_text:
-        whole = given.join(every.filter(F.col("data").isNull()).select("owner", "body").distinct(), ["owner", "body"], "left_semi")
+        whole = given.join(every.filter(F.col("data").isNull()).select("owner", "body").distinct().hint("merge"), ["owner", "body"], "left_semi")
         return judged.unionByName(whole.withColumn("spans", F.lit(None).cast("array<struct<lo:long,hi:long>>")).select("doc_id", "data", "spans").mapInArrow(run, judged.schema)).withColumn("kept", F.col("kept").cast("string"))
     untouched = every.filter(F.col("data").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return judged.unionByName(untouched)

@@ -118,3 +118,17 @@ def test_words_are_told_apart():
     text = "".join(rng.choice([" ", "\n", "a", "bé", "\t", "\x0b", "\r", "日", "\x1c", "\x85", "\0"]) for _ in range(30_000)).encode()
     split, hashes = text.split(), R.word_hashes(text)
     assert len(split) == len(hashes) and len(set(zip(split, hashes.tolist()))) == len(set(split)) == len(set(hashes.tolist()))
+
+
+def test_what_grows_with_the_corpus_is_not_broadcast(spark, capsys):
+    """Rows that are spread over salts are counted before they are spread: a broadcast of them would be 64 times its estimate."""
+    text = " ".join(words(random.Random(7), 200))
+    docs = R.keyed(spark.createDataFrame([(k, f"{text} {k}") for k in range(3)], "doc_id long, text string"))
+    found = R.staged(R.repeated(docs), "repeated")
+    edges = R.staged(R.distinct_edges(found), "edges")
+    settled = R.staged(R.settled(docs, R.marks(found, edges)), "settled")
+    capsys.readouterr()
+    R.settled(docs, R.marks(found, edges)).explain()
+    R.removable(settled.filter("data is not null")).explain()
+    plans = capsys.readouterr().out
+    assert "SortMergeJoin" in plans and "Broadcast" not in plans
