@@ -34,7 +34,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = near_duplicates.classes(docs).filter(first).groupBy(F.col("doc_id").alias("__key"), F.col("text_key").alias("__text")).agg(F.count(F.lit(1)).alias("__rows"))
     text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     kept = staged(kept, "kept")
-    out = docs.join(kept.drop("__rows"), (text == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__key")), "left_semi")
+    out = docs.join(kept.drop("__rows").hint("merge"), (text == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__key")), "left_semi")
     return out.dropDuplicates(["doc_id", "text"]) if kept.filter("__rows > 1").limit(1).count() else out
 
 

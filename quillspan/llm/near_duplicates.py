@@ -194,11 +194,11 @@ def buckets(reps: DataFrame) -> DataFrame:
 
 def units_of(reps: DataFrame, groups: DataFrame) -> DataFrame:
     """The candidates with the ``unit`` and ``band`` that each is compared in: its group (band -1), or each of its buckets."""
-    wanted = reps.select("rep", "copies", "rep_doc", "rep_text", "n_shingles", "bands").join(groups, F.col("rep") == F.col("node")).drop("node")
+    wanted = reps.select("rep", "copies", "rep_doc", "rep_text", "n_shingles", "bands").join(groups.hint("merge"), F.col("rep") == F.col("node")).drop("node")
     sizes = groups.groupBy(F.col("component").alias("of")).agg(F.count(F.lit(1)).alias("n"))
     known = buckets(reps)
-    inside = known.join(groups, F.col("leader") == F.col("node")).groupBy(F.col("component").alias("in")).agg(F.sum(F.col("n_bucket") * (F.col("n_bucket") - 1)).alias("pairs"))
-    apart = sizes.join(inside, F.col("of") == F.col("in")).filter((F.col("n") > APART) & (4 * F.col("pairs") < F.col("n") * (F.col("n") - 1))).select("of", F.lit(True).alias("apart"))
+    inside = known.join(groups.hint("merge"), F.col("leader") == F.col("node")).groupBy(F.col("component").alias("in")).agg(F.sum(F.col("n_bucket") * (F.col("n_bucket") - 1)).alias("pairs"))
+    apart = sizes.join(inside.hint("merge"), F.col("of") == F.col("in")).filter((F.col("n") > APART) & (4 * F.col("pairs") < F.col("n") * (F.col("n") - 1))).select("of", F.lit(True).alias("apart"))
     marked = met(wanted, "component", apart, "of", "rep", "left")
     whole = marked.filter(F.col("apart").isNull()).select("rep", "copies", "rep_doc", "rep_text", "n_shingles", F.col("component").alias("unit"), F.lit(-1).alias("band"))
     taken = marked.filter("apart").select("rep", "copies", "rep_doc", "rep_text", "n_shingles", F.posexplode("bands").alias("band", "key"))
@@ -352,9 +352,9 @@ def classes(docs: DataFrame) -> DataFrame:
     links, labels = verified(docs, reps, candidate_groups(reps))
     labels = labels.select(F.col("r"), "label")
     known = reps.select("copy", "rep", "rep_doc", "rep_text", "copies")
-    joined = known.join(labels, F.col("rep") == F.col("r"), "left").drop("r").withColumn("label", F.coalesce("label", "rep"))
+    joined = known.join(labels.hint("merge"), F.col("rep") == F.col("r"), "left").drop("r").withColumn("label", F.coalesce("label", "rep"))
     names = joined.groupBy(F.col("label").alias("l")).agg(F.min(F.struct("rep_doc", "rep_text")).alias("first"))
-    joined = met(joined, "label", names, "l", "rep").join(links.withColumnRenamed("rep", "k"), F.col("rep") == F.col("k"), "left")
+    joined = met(joined, "label", names, "l", "rep").join(links.withColumnRenamed("rep", "k").hint("merge"), F.col("rep") == F.col("k"), "left")
     joined = joined.select(F.col("copy").alias("c"), F.col("first.rep_doc").alias("class_id"), F.col("first.rep_text").alias("class_text"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("rep_doc").alias("copy_id"), F.col("copies").alias("n_copies"))
     each = met(rows.select("row_key", "doc_id", "text_key", "copy"), "copy", joined, "c", "row_key")
     return each.select("doc_id", "text_key", "class_id", "class_text", "n_links", "copy_id", "n_copies")

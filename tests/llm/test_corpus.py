@@ -390,3 +390,11 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = sorted((str(r.doc_id), r.n_tokens, r.decoded_sha256) for r in stages["byte_bpe"](spark, now, folder).collect())
     assert rows == sorted((k, len(library.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()) for k, t in told(now))
+
+
+def test_near_duplicates_are_not_broadcast(spark, docs, capsys):
+    found = near_duplicates.classes(docs)
+    capsys.readouterr()
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
