@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..staging import staged
 from .lines import cut, latin1, line_content, line_pieces, line_table, running_sums
 
 UNITS = {"utf-8": ("utf-8", 1), "utf-16": ("utf-16-le", 2), "utf-32": ("utf-32-le", 4)}
@@ -77,7 +78,8 @@ def position_to_byte(positions: DataFrame, lines: DataFrame) -> DataFrame:
     ``lines(path, line, line_start, content)``: lines from 1; a file that ends in a terminator has a last, empty line.
     """
     known = lines.select(F.col("path").alias("l_path"), F.col("line").alias("l_line"), "line_start", "content")
-    joined = positions.join(known, (F.col("path") == F.col("l_path")) & (F.col("line") + 1 == F.col("l_line")), "left")
+    # Lines are many times what their files are estimated at: no broadcast.
+    joined = positions.join(known.hint("merge"), (F.col("path") == F.col("l_path")) & (F.col("line") + 1 == F.col("l_line")), "left")
     inside = units_to_byte(F.col("content"), F.col("character"), F.col("encoding"))
     out = joined.withColumn("inside", inside)
     problem = F.when(F.col("l_line").isNull(), "NO_SUCH_LINE").when(F.col("inside").isNull(), "SPLIT_CHARACTER")
@@ -128,8 +130,8 @@ def checkpoints(files: DataFrame) -> DataFrame:
 
 
 def scalars_in(data: Column) -> Column:
-    """Code points that begin in a piece of UTF-8."""
-    return F.regexp_count(latin1(data), F.lit(r"[^\x80-\xBF]")).cast("long")
+    """Code points that begin in a piece of UTF-8: its bytes but for those that go on with one, which are few or none."""
+    return F.length(data).cast("long") - F.regexp_count(latin1(data), F.lit(r"[\x80-\xBF]"))
 
 
 def units_in(data: Column) -> Column:
@@ -166,7 +168,9 @@ def bytes_to_positions(asked: DataFrame, files: DataFrame) -> DataFrame:
     located = lines_of_bytes(asked, lines)
     places = located.select("path", F.col("offset").alias("at")).union(located.select("path", "line_start")).distinct().withColumn("block", F.floor(F.col("at") / BLOCK))
     inside = F.substring("data", F.lit(1), (F.col("at") - F.col("block") * BLOCK).cast("int"))
+    # Written down, since both ends of a question read them.
     known = places.join(checkpoints(files), ["path", "block"]).select("path", "at", (F.col("scalars") + scalars_in(inside)).alias("scalars"), (F.col("units") + units_in(inside)).alias("units"), _point_continues(F.col("data"), F.col("at") - F.col("block") * BLOCK).alias("split"))
+    known = staged(known, "places", "zstd")
     own = known.select(F.col("path").alias("o_path"), F.col("at").alias("o_at"), F.col("scalars").alias("o_scalars"), F.col("units").alias("o_units"), F.col("split").alias("o_split"))
     begun = known.select(F.col("path").alias("b_path"), F.col("at").alias("b_at"), F.col("scalars").alias("b_scalars"), F.col("units").alias("b_units"))
     joined = located.join(own, (F.col("path") == F.col("o_path")) & (F.col("offset") == F.col("o_at"))).join(begun, (F.col("path") == F.col("b_path")) & (F.col("line_start") == F.col("b_at")))
