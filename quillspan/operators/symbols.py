@@ -40,8 +40,13 @@ def _wire_range(node: Column, name: str) -> Column:
 
 
 def _children(node: Column, at: str) -> Column:
-    """The parts of an array, null where there is none (or a JSON null)."""
-    return F.when(_kind_of(node, at).startswith("ARRAY"), F.try_variant_get(node, at, "array<variant>"))
+    """The parts of an array, null where there is none (or a JSON null). Only the array is copied: a type would be that of all below it."""
+    return F.try_variant_get(node, at, "array<variant>")
+
+
+def _has(node: Column, at: str) -> Column:
+    """Whether there is such a part, a JSON null too."""
+    return F.try_variant_get(node, at, "variant").isNotNull()
 
 
 def tree_nodes(responses: DataFrame) -> DataFrame:
@@ -59,10 +64,10 @@ def tree_nodes(responses: DataFrame) -> DataFrame:
         "lsp_selection_range": _wire_range(node, "selectionRange"),
         "below": _children(node, "$.children"),
     }
-    odd = F.lit(False)
-    for part, kinds in (("detail", ("STRING", "VOID")), ("children", ("ARRAY", "VOID"))):
-        kind = _kind_of(node, f"$.{part}")
-        odd |= kind.isNotNull() & ~F.greatest(*(F.coalesce(kind.startswith(k), F.lit(False)) for k in kinds))
+    other = F.try_variant_get(node, "$.children", "variant")
+    # Looked at where there is no array alone.
+    odd = F.when(F.col("below").isNull(), other.isNotNull() & ~F.coalesce(F.is_variant_null(other), F.lit(False))).otherwise(False)
+    odd |= F.coalesce(~_kind_of(node, "$.detail").isin("STRING", "VOID"), F.lit(False))
     malformed = odd | F.col("name").isNull() | F.col("kind_number").isNull() | F.col("lsp_range").isNull() | F.col("lsp_selection_range").isNull()
     kept = ["path", "place", "depth", "symbol_path", "name", "detail", "kind_number", "lsp_range", "lsp_selection_range", "n_children", "malformed"]
     above = responses.select("path", F.lit(None).cast("array<int>").alias("place"), F.lit(0).alias("depth"), F.lit(None).cast("array<string>").alias("symbol_path"), _children(F.col("tree"), "$").alias("below"))
@@ -113,16 +118,14 @@ def flatten(responses: DataFrame, limits: dict[str, int] | None = None) -> DataF
     tree = F.try_parse_json("symbols")
     given = staged(responses.select("path", "bytes", "encoding", "symbols").withColumn("tree", tree), "responses")
     roots = _children(F.col("tree"), "$")
-    shape = F.schema_of_variant("tree")
-    has = lambda x, part: F.schema_of_variant(F.try_variant_get(x, f"$.{part}", "variant")).isNotNull()
-    objects = F.forall("roots", lambda x: F.schema_of_variant(x).startswith("OBJECT"))
     torn = (
-        F.when(F.col("symbols").isNull() | (F.col("symbols") == "") | (shape == "VOID") | (F.size("roots") == 0), None)
-        .when(shape.isNull() | F.col("roots").isNull() | ~objects, "MALFORMED")
-        .when(F.forall("roots", lambda x: has(x, "location")), "FLAT_UNSUPPORTED")
-        .when(~F.forall("roots", lambda x: has(x, "range") & has(x, "selectionRange")), "MALFORMED")
+        F.when(F.col("symbols").isNull() | (F.col("symbols") == "") | F.is_variant_null("tree") | (F.size("roots") == 0), None)
+        .when(F.col("tree").isNull() | F.col("roots").isNull(), "MALFORMED")
+        .when(F.forall("roots", lambda x: _has(x, "$.location")), "FLAT_UNSUPPORTED")
+        # A root that is no object has none of these.
+        .when(~F.forall("roots", lambda x: _has(x, "$.range") & _has(x, "$.selectionRange")), "MALFORMED")
     )
-    shaped = given.withColumn("roots", roots).select("path", torn.alias("problem"))
+    shaped = staged(given.withColumn("roots", roots).select("path", torn.alias("problem")), "shaped")
     good = given.join(shaped.filter("problem is null").select("path"), "path", "left_semi")
     nodes = staged(tree_nodes(good.select("path", "tree")), "nodes")
     placed = nodes.join(node_ranges(nodes, good.select("path", "bytes", "encoding")), ["path", "place"], "left")
@@ -159,7 +162,7 @@ def flatten(responses: DataFrame, limits: dict[str, int] | None = None) -> DataF
     )
     judged = staged(placed.withColumns(sums).withColumn("problem", problem), "judged")
     # A response is read whole before it is walked through: a node of a wrong shape comes before all else.
-    broken = judged.groupBy("path").agg(F.bool_or("malformed").alias("broken"), F.min(F.when(F.col("problem").isNotNull(), F.struct("ordinal", "problem"))).alias("p"))
+    broken = judged.filter("malformed or problem is not null").groupBy("path").agg(F.bool_or("malformed").alias("broken"), F.min(F.when(F.col("problem").isNotNull(), F.struct("ordinal", "problem"))).alias("p"))
     broken = broken.select("path", F.when(F.col("broken"), "MALFORMED").otherwise(F.col("p.problem")).alias("problem")).filter("problem is not null")
     refused = shaped.filter("problem is not null").unionByName(broken)
     kinds = F.array(*map(F.lit, SYMBOL_KINDS))

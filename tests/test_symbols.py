@@ -193,3 +193,24 @@ def test_units_of_lines_without_python(spark):
     df = spark.createDataFrame(rows, "line binary, c long, e string")
     for r in df.select("*", P.units_to_byte(F.col("line"), F.col("c"), F.col("e")).alias("b"), P.byte_to_units(F.col("line"), F.col("c"), F.col("e")).alias("u")).collect():
         assert (r.b, r.u) == (P.byte_of_unit(bytes(r.line), r.c, r.e), P.unit_of_byte(bytes(r.line), r.c, r.e))
+
+
+def test_a_type_is_not_that_of_all_below(spark, capsys):
+    """The type of an array or of a tree would be worked out of everything in it."""
+    df = spark.createDataFrame([('[{"children": [{"a": 1}]}]',)], "j string").selectExpr("parse_json(j) AS t")
+    assert "schema_of_variant" not in str(S._children(df["t"], "$[0].children"))
+    kinds = spark.createDataFrame([('{"x": [1]}',), ('{"x": null}',), ('{"x": {"y": 1}}',), ('{"x": "[1]"}',), ("{}",)], "j string").selectExpr("parse_json(j) AS t")
+    found = kinds.select(S._children(kinds["t"], "$.x").isNotNull().alias("array"), S._has(kinds["t"], "$.x").alias("has")).collect()
+    assert [(r.array, r.has) for r in found] == [(True, True), (False, True), (False, True), (False, True), (False, False)]
+
+
+def test_lines_are_not_broadcast_and_bytes_are_counted_once(spark, capsys):
+    files = spark.createDataFrame([("f", bytearray("aé🚀\nb\r\n".encode() + b"\x80\xf0")), ("g", bytearray())], "path string, bytes binary")
+    asked = spark.createDataFrame([("f", 0, 1)], "path string, line long, character long").selectExpr("*", "'utf-16' AS encoding")
+    P.position_to_byte(asked, P.editor_lines(files)).explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    capsys.readouterr()
+    P.bytes_to_positions(files.selectExpr("path", "1L AS offset"), files).explain("formatted")
+    assert "x80-" not in capsys.readouterr().out  # what stands before a byte has been counted and is read by both ends
+    rows = files.select(P.scalars_in(files["bytes"]).alias("s"), P.units_in(files["bytes"]).alias("u")).collect()
+    assert [(r.s, r.u) for r in rows] == [(8, 10), (0, 0)]
