@@ -85,15 +85,16 @@ def contents(files: DataFrame) -> DataFrame:
 
 
 def parts_of(recipe: DataFrame, files: DataFrame, events: DataFrame | None = None) -> DataFrame:
-    """Every output (of ``events`` too, that have no segment) with its ``parts`` in order: the bytes of payloads, the ranges of what stays.
+    """Every output (of ``events`` too, that have no segment) with its ``parts`` in order: the bytes of other files, the ranges of its own.
 
-    Only payloads are cut at their sources. What stays of a file is cut where the file is joined to its output, so that no output is
-    exchanged whole.
+    Only payloads out of other files are cut at their sources. What is taken from the output's own file is cut where the file is joined to
+    it, so that no output is exchanged whole.
     """
     null = F.lit(None)
-    paid = recipe.filter("seg_class = 'payload'").join(contents(files), F.col("source_path") == F.col("b_path"), "left")
+    foreign = F.col("source_path") != F.col("path")
+    paid = recipe.filter(foreign).join(contents(files), F.col("source_path") == F.col("b_path"), "left")
     paid = paid.select(*KEY, "seg", null.cast("long").alias("start"), null.cast("long").alias("end"), F.when(F.col("b_existed"), cut("b_bytes", F.col("start"), F.col("end"))).alias("part"))
-    every = paid.unionByName(recipe.filter("seg_class = 'original'").select(*KEY, "seg", "start", "end"), allowMissingColumns=True)
+    every = paid.unionByName(recipe.filter(~foreign).select(*KEY, "seg", "start", "end"), allowMissingColumns=True)
     if events is not None:
         every = every.unionByName(events.select(*KEY), allowMissingColumns=True)
     item = F.when(F.col("seg").isNotNull(), F.struct("seg", "start", "end", "part"))

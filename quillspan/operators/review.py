@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.lines import cut, fold_metrics, line_content, line_pieces, metrics, metrics_lines, terminator_label
+from ..functions.lines import common_end, common_start, cut, fold_metrics, line_number, metrics, metrics_lines, rest, terminator_label, text_pieces
 from ..functions.scalars import is_binary
 
 KEY = ("batch_id", "path")
@@ -56,25 +56,21 @@ def prefix_suffix_diff(sides: DataFrame) -> DataFrame:
     """
     keys = [c for c in sides.columns if c not in ("before", "after")]
     empty = F.unhex(F.lit(""))
-    df = sides.withColumn("a", line_pieces(F.coalesce("before", empty))).withColumn("b", line_pieces(F.coalesce("after", empty)))
-
-    def common(x, y):
-        same = F.zip_with(x, y, lambda p, q: p.eqNullSafe(q) & p.isNotNull())
-        first = F.array_position(same, False)
-        return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
-
-    df = df.withColumn("prefix", common(F.col("a"), F.col("b")))
-    rest = {c: F.slice(c, F.col("prefix") + 1, F.greatest(F.size(c) - F.col("prefix"), F.lit(0))) for c in ("a", "b")}
-    df = df.withColumn("ra", rest["a"]).withColumn("rb", rest["b"])
-    df = df.withColumn("suffix", common(F.reverse("ra"), F.reverse("rb")))
-    cut_off = {c: F.slice(c, F.lit(1), F.size(c) - F.col("suffix")) for c in ("ra", "rb")}
+    df = sides.select(*keys, F.coalesce("before", empty).alias("a"), F.coalesce("after", empty).alias("b"))
+    # What is in common is found by bytes and only counted in lines; nothing but the hunk is split.
+    df = df.withColumn("top", common_start("a", "b"))
+    df = df.select(*keys, line_number(rest("a", F.lit(0), F.col("top"))).alias("prefix"), rest("a", F.col("top"), F.length("a")).alias("a"), rest("b", F.col("top"), F.length("b")).alias("b"))
+    df = df.withColumn("low", common_end("a", "b"))
+    # Lines end at bytes of one character, so a hunk is decoded whole; its lines hold no terminator but the last bytes.
+    hunk = {c: F.decode(rest(c, F.lit(0), F.length(c) - F.col("low")), "UTF-8").alias(f"r{c}") for c in ("a", "b")}
+    df = df.select(*keys, "prefix", line_number(rest("a", F.length("a") - F.col("low"), F.length("a"))).alias("suffix"), *hunk.values())
 
     def shown(c, sign):
-        return F.transform(c, lambda p: F.concat(F.lit(sign), F.decode(F.encode(line_content(p), "ISO-8859-1"), "UTF-8"), F.lit(" ["), terminator_label(p), F.lit("]")))
+        return F.transform(text_pieces(F.col(c)), lambda p: F.concat(F.lit(sign), F.rtrim(p, F.lit("\r\n")), F.lit(" ["), terminator_label(p), F.lit("]")))
 
-    df = df.withColumn("removed", shown(cut_off["ra"], "-")).withColumn("added", shown(cut_off["rb"], "+"))
+    df = df.withColumn("removed", shown("ra", "-")).withColumn("added", shown("rb", "+"))
     header = F.format_string("@@ -%d,%d +%d,%d @@", F.col("prefix") + 1, F.size("removed"), F.col("prefix") + 1, F.size("added"))
-    return df.select(*keys, F.col("prefix").cast("long").alias("prefix"), F.col("suffix").cast("long").alias("suffix"), header.alias("header"), "removed", "added")
+    return df.select(*keys, "prefix", "suffix", header.alias("header"), "removed", "added")
 
 
 def numbered(made: DataFrame) -> DataFrame:

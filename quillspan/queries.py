@@ -286,7 +286,7 @@ u AS (SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(a), len(b))
 SELECT batch_id, path, CAST(p AS BIGINT) AS prefix, CAST(q AS BIGINT) AS suffix, CAST(len(ra) - q AS BIGINT) AS n_removed, CAST(len(rb) - q AS BIGINT) AS n_added, sha256(array_to_string(list_transform(rb[: len(rb) - q], lambda y: rtrim(y, chr(10))), '|')) AS added FROM x""")
 def prefix_suffix_diff(spark, sf_dir):
     d = review.prefix_suffix_diff(_sides(spark, sf_dir))
-    return d.select("batch_id", "path", "prefix", "suffix", F.size("removed").cast("long").alias("n_removed"), F.size("added").cast("long").alias("n_added"), F.sha2(F.array_join(F.transform("added", lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x)), r" \[[A-Z]+\]\z", "")), "|"), 256).alias("added"))
+    return d.select("batch_id", "path", "prefix", "suffix", F.size("removed").cast("long").alias("n_removed"), F.size("added").cast("long").alias("n_added"), F.sha2(F.array_join(F.transform("added", lambda x: F.substring(x, F.lit(2), F.length(x) - F.length(F.substring_index(x, " [", -1)) - 3)), "|"), 256).alias("added"))
 
 
 @query(f"""{UP_TO_O} SELECT batch_id, CASE WHEN bool_or(change_kind <> 'unchanged') THEN 'text' ELSE 'unchanged' END AS mode FROM out GROUP BY 1""")
