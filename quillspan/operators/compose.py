@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.lines import cut
 from ..functions.scalars import digest
+from ..staging import staged
 
 KEY = ("batch_id", "path")
 
@@ -79,6 +80,25 @@ def outputs(recipe: DataFrame, events: DataFrame, files: DataFrame) -> DataFrame
     return composed(recipe, events, files).select(*KEY, "change_kind", "before_length", "before_sha256", F.length("after").cast("long").alias("after_length"), digest("after").alias("after_sha256"))
 
 
+def changes(recipe: DataFrame, events: DataFrame, files: DataFrame) -> DataFrame:
+    """Every output with its length before and after and how it changed, without its bytes wherever lengths tell.
+
+    ``files(path, existed, bytes, byte_length)``; ``recipe`` lies inside its files. An output that is as long as its file was may hold the
+    same bytes: such outputs alone are put together and compared.
+    """
+    sums = recipe.select(*KEY, (F.col("end") - F.col("start")).alias("n")).unionByName(events.select(*KEY, F.lit(0).cast("long").alias("n")))
+    known = files.select(F.col("path").alias("b_path"), F.col("existed").alias("b_existed"), F.col("byte_length").alias("b_length"))
+    joined = sums.groupBy(*KEY).agg(F.sum("n").alias("after_length")).join(known, F.col("path") == F.col("b_path"), "left")
+    existed = F.coalesce("b_existed", F.lit(False))
+    same = F.col("after_length") == F.col("b_length")
+    kind = F.when(~existed, "created").when(same & (F.col("after_length") > 0), None).when(same, "unchanged").when(F.col("after_length") == 0, "emptied").otherwise("modified")
+    told = staged(joined.select(*KEY, kind.alias("change_kind"), F.when(existed, F.col("b_length")).alias("before_length"), "after_length"), "changes", "zstd")
+    open_ = told.filter("change_kind is null")
+    compared = composed(recipe.join(open_.select(*KEY), list(KEY), "left_semi"), open_, files)
+    compared = compared.select(*KEY, "change_kind", "before_length", F.length("after").cast("long").alias("after_length"))
+    return told.filter("change_kind is not null").unionByName(compared)
+
+
 def contents(files: DataFrame) -> DataFrame:
     """What both joins below read of the files; alike, so that one exchange serves them."""
     return files.select(F.col("path").alias("b_path"), F.col("existed").alias("b_existed"), F.col("bytes").alias("b_bytes"))

@@ -97,13 +97,20 @@ class Plan:
         """Lengths and digests of all outputs, written down: limits, reports and manifests read them, and put nothing together again."""
         return staged(compose.outputs(self.layout, self.events, self.files), "outputs", "zstd")
 
+    @cached_property
+    def changes(self) -> DataFrame:
+        """How all outputs changed, and their lengths: what limits and sums read, for which few outputs are put together."""
+        if "outputs" in self.__dict__:
+            return self.outputs.select(*compose.KEY, "change_kind", "before_length", "after_length")
+        return staged(compose.changes(self.layout, self.events, self.files), "changed", "zstd")
+
     @cached_property
     def sides(self) -> DataFrame:
         """Every output with its bytes before and after, put together once."""
         return compose.composed(self.layout, self.events, self.files)
 
     def usage(self) -> DataFrame:
-        return accounting.usage(self.placed, self.outputs, self.layout)
+        return accounting.usage(self.placed, self.changes, self.layout)
 
     def problems(self) -> DataFrame:
         """The first problem of each batch that has one."""
@@ -113,7 +120,7 @@ class Plan:
         index = errors.problems(self.unread.filter("phase = 'index'"), "index", None, "path")
         pre = errors.problems(resolve.precondition_conflicts(self.required), "precondition", "PRECONDITION_CONFLICT", "''", "operation_index * 2 + role")
         ops = errors.problems(self.placed.filter("problem is not null"), "operation", None, "''", "operation_index")
-        linked = compose.linked_outputs(self.outputs, self.used_files).select("batch_id", "path", F.lit(None).cast("long").alias("operation_index"), F.lit(2).alias("rank"), F.lit("HARD_LINK_NOT_SUPPORTED").alias("problem"))
+        linked = compose.linked_outputs(self.changes, self.used_files).select("batch_id", "path", F.lit(None).cast("long").alias("operation_index"), F.lit(2).alias("rank"), F.lit("HARD_LINK_NOT_SUPPORTED").alias("problem"))
         outs = errors.problems(self.conflicts.unionByName(linked), "output", None, "path", "rank")
         used = errors.problems(accounting.limit_violations(self.usage()), "budget", "RESOURCE_LIMIT_EXCEEDED")
         return errors.first_problem(read, index, pre, ops, outs, used)

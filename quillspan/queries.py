@@ -182,7 +182,7 @@ def outputs(spark, sf_dir):
 
 @query(f"""{UP_TO_O} SELECT batch_id, string_agg(path, ',' ORDER BY path) AS paths FROM out WHERE change_kind <> 'unchanged' GROUP BY 1""")
 def changed_paths(spark, sf_dir):
-    return compose.changed_paths(_plan(spark, sf_dir).outputs).filter(F.size("paths") > 0).select("batch_id", F.array_join("paths", ",").alias("paths"))
+    return compose.changed_paths(_plan(spark, sf_dir).changes).filter(F.size("paths") > 0).select("batch_id", F.array_join("paths", ",").alias("paths"))
 
 
 USAGE = f"""{UP_TO_O}, sc AS (SELECT batch_id, path, count(*) AS segs FROM seg GROUP BY ALL), po AS (SELECT out.batch_id, count(*) AS outputs, count(*) FILTER (WHERE change_kind <> 'unchanged') AS changed_targets, max(after_length) AS output_bytes, sum(after_length) AS total_output_bytes, max(coalesce(segs, 0)) AS output_segments, sum(coalesce(segs, 0)) AS total_segments, sum(512 + strlen(out.path) + 512 * coalesce(segs, 0)) AS ob FROM out LEFT JOIN sc ON sc.batch_id = out.batch_id AND sc.path = out.path GROUP BY 1),
@@ -301,7 +301,7 @@ def samples_base64(spark, sf_dir):
 
 @query(f"""{UP_TO_O} SELECT batch_id, CAST(sum(after_length + before_length) AS BIGINT) AS disk_bytes, sum(after_length + before_length) > 3221225472 AS exceeded FROM out WHERE change_kind <> 'unchanged' GROUP BY 1""")
 def projected_disk(spark, sf_dir):
-    return accounting.projected_disk(_plan(spark, sf_dir).outputs)
+    return accounting.projected_disk(_plan(spark, sf_dir).changes)
 
 
 # --- Positions and symbols ----------------------------------------------------------------------------------------------

@@ -3,10 +3,15 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions.lines import text_pieces
 from quillspan.operators import compose, review
+from quillspan.plans.plan import plan
+from quillspan.schemas import FILES, OPERATIONS
+
+from .test_plan import file_row, op
 
 LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
 ENDS = {"\r\n": "CRLF", "\n": "LF", "\r": "CR"}
@@ -64,3 +69,32 @@ def test_own_payloads_are_not_exchanged(spark):
     (row,) = compose.parts_of(recipe, files).collect()
     assert [None if p.part is None else bytes(p.part) for p in row.parts] == [None, None, b"z"]
     assert bytes(compose.rendered(recipe, files).collect()[0].bytes) == b"cdabcdz"
+
+
+@pytest.fixture
+def batches(spark):
+    rng = random.Random(19)
+    files = {f"f{k}": bytes(rng.choice(b"ab\n") for _ in range(rng.randint(1, 6))) for k in range(5)}
+    rows = []
+    for n in range(150):
+        for k in range(rng.randint(1, 3)):
+            src, dst = rng.choice(list(files)), rng.choice([*files, "new"])
+            dst = src if rng.random() < 0.4 else dst
+            a, b = sorted(rng.sample(range(len(files[src]) + 1), 2))
+            rows.append(op(str(n), k, rng.choice(["move", "copy"]), src, a, b, dst, rng.randint(0, len(files[dst])) if dst in files else 0, files))
+    return plan(spark.createDataFrame(rows, OPERATIONS), spark.createDataFrame([file_row(k, v) for k, v in files.items()], FILES))
+
+
+def test_changes_are_those_of_the_bytes(batches):
+    columns = ["batch_id", "path", "change_kind", "before_length", "after_length"]
+    got = sorted(map(tuple, batches.changes.select(*columns).collect()), key=str)
+    assert "outputs" not in batches.__dict__
+    assert got == sorted(map(tuple, batches.outputs.select(*columns).collect()), key=str)
+    kinds = {r[2] for r in got}
+    assert kinds == {"created", "unchanged", "emptied", "modified"}
+    assert any(r[2] == "modified" and r[3] == r[4] for r in got)
+
+
+def test_limits_put_no_output_together(batches):
+    used = batches.usage().count()
+    assert used == 150 and "outputs" not in batches.__dict__
