@@ -40,26 +40,63 @@ def insertions_in_deletions(events: DataFrame) -> DataFrame:
     return marks.withColumn("depth", F.sum("step").over(upto)).filter("event = 'insert' and depth > 0").select(*KEY, "operation_index", F.col("at").alias("offset"))
 
 
-def segments(events: DataFrame, resolved: DataFrame, lengths: DataFrame) -> DataFrame:
+def unclashing(resolved: DataFrame) -> DataFrame:
+    """The operations of batches in which none has a problem, no deletions overlap and nothing is inserted inside one.
+
+    Dealt out by batch once: marks of a path in order, then all of a batch. An operation's row goes along with its insertion.
+    """
+    live = F.col("problem").isNull() & (F.col("effect") == "changed")
+    others = [c for c in resolved.columns if c != "batch_id"]
+    kind = dict(resolved.select(F.struct(*others).alias("op")).dtypes)["op"]
+
+    def mark(path: str, at: str, turn: int, step: int, op: Column) -> Column:
+        return F.struct(F.col(path).alias("path"), F.col(at).alias("at"), F.lit(turn).alias("turn"), F.lit(step).alias("step"), op.cast(kind).alias("op"))
+
+    # At an offset deletions end first, then insertions stand, then deletions begin.
+    put = mark("destination_path", "destination_offset", 1, 0, F.struct(*others))
+    none = F.lit(None)
+    cutting = F.array(put, mark("source_path", "source_start", 2, 1, none), mark("source_path", "source_end", 0, -1, none))
+    marks = resolved.repartition("batch_id").select("batch_id", F.inline(F.when(live & (F.col("kind") == "move"), cutting).otherwise(F.array(put))))
+    upto = Window.partitionBy(*KEY).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    deep = marks.withColumn("depth", F.sum("step").over(upto))
+    inside = (F.col("turn") == 1) & F.col("op.problem").isNull() & (F.col("op.effect") == "changed") & (F.col("depth") > 0)
+    bad = inside | ((F.col("turn") == 2) & (F.col("depth") > 1)) | F.col("op.problem").isNotNull()
+    told = deep.withColumn("clash", F.max(F.coalesce(bad, F.lit(False))).over(Window.partitionBy("batch_id")))
+    return told.filter(~F.col("clash") & F.col("op").isNotNull()).select(*(F.col(c) if c == "batch_id" else F.col(f"op.{c}").alias(c) for c in resolved.columns))
+
+
+def segments(resolved: DataFrame) -> DataFrame:
     """The recipe of every output: ``seg`` from 0, ``seg_class`` original or payload, and the range it is taken from.
 
-    ``lengths(path, byte_length)``: null for a path that does not exist. Kept ranges split at every event; payloads stand at
-    their offset before the kept range that begins there, in order of their operations.
+    ``resolved``: with the lengths of both files, 0 for one that does not exist; no edits clash. Kept ranges split at every event;
+    payloads stand at their offset before the kept range that begins there, in order of their operations. Marks of a path are dealt out
+    once: between two that stand apart the bytes are kept where no deletion is open.
     """
-    touched = events.select(*KEY).distinct().join(lengths.withColumnRenamed("path", "l_path"), F.col("path") == F.col("l_path"), "left").select(*KEY, F.coalesce("byte_length", F.lit(0)).cast("long").alias("length"))
-    steps = (
-        events.filter("event = 'delete'").select(*KEY, F.inline(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")))))
-        .unionByName(events.filter("event = 'insert'").select(*KEY, F.col("start").alias("at"), F.lit(0).alias("step")))
-        .unionByName(touched.select(*KEY, F.inline(F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("step")), F.struct(F.col("length").alias("at"), F.lit(0).alias("step"))))))
-    )
-    points = steps.groupBy(*KEY, "at").agg(F.sum("step").alias("step"))
-    along = Window.partitionBy(*KEY).orderBy("at")
-    gaps = points.withColumn("depth", F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("next", F.lead("at").over(along))
+    live = resolved.filter(F.col("problem").isNull() & (F.col("effect") == "changed"))
     null = F.lit(None)
-    kept = gaps.filter("depth = 0 and next > at").select(*KEY, F.col("at").alias("place"), F.lit(1).alias("rank"), null.cast("long").alias("operation_index"), F.col("path").alias("source_path"), F.col("at").alias("start"), F.col("next").alias("end"))
-    put = resolved.filter(F.col("problem").isNull() & (F.col("effect") == "changed")).select("batch_id", F.col("destination_path").alias("path"), F.col("destination_offset").alias("place"), F.lit(0).alias("rank"), "operation_index", "source_path", F.col("source_start").alias("start"), F.col("source_end").alias("end"))
+    part = "struct<place:bigint,rank:int,operation_index:bigint,source_path:string,start:bigint,end:bigint>"
+
+    def mark(path: str, at: str, length: str, step: int, put: Column) -> Column:
+        return F.struct(F.col(path).alias("path"), F.col(at).alias("at"), F.col(length).alias("length"), F.lit(step).alias("step"), put.cast(part).alias("put"))
+
+    put = mark("destination_path", "destination_offset", "destination_length", 0, F.struct("destination_offset", F.lit(0), "operation_index", "source_path", "source_start", "source_end"))
+    cutting = F.array(put, mark("source_path", "source_start", "source_length", 1, null), mark("source_path", "source_end", "source_length", -1, null))
+    marks = live.select("batch_id", F.inline(F.when(F.col("kind") == "move", cutting).otherwise(F.array(put))))
+    along = Window.partitionBy(*KEY).orderBy("at")
+    found = marks.withColumns({
+        "depth": F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "first": F.lag("at").over(along).isNull(),
+        "next": F.coalesce(F.lead("at").over(along), F.col("length")),
+    })
+
+    def kept(start: Column, end: Column) -> Column:
+        return F.struct(start, F.lit(1), null, F.col("path"), start, end).cast(part)
+
+    zero = F.lit(0).cast("long")
+    before = F.when(F.col("first") & (F.col("at") > 0), kept(zero, F.col("at")))
+    behind = F.when((F.col("depth") == 0) & (F.col("next") > F.col("at")), kept(F.col("at"), F.col("next")))
+    every = found.select(*KEY, F.inline(F.array_compact(F.array(before, "put", behind))))
     order = Window.partitionBy(*KEY).orderBy("place", "rank", "operation_index")
-    every = kept.unionByName(put)
     return every.select(*KEY, (F.row_number().over(order) - 1).cast("long").alias("seg"), F.when(F.col("rank") == 0, "payload").otherwise("original").alias("seg_class"), "operation_index", "source_path", "start", "end", F.col("place").alias("offset"))
 
 

@@ -69,8 +69,7 @@ class Plan:
     @cached_property
     def sound(self) -> DataFrame:
         """Placed operations of the batches without any problem so far."""
-        bad = self.conflicts.select("batch_id").union(self.placed.filter("problem is not null").select("batch_id")).union(self.unread.select("batch_id")).distinct()
-        return staged(self.placed.join(bad, "batch_id", "left_anti"), "sound", "zstd")
+        return staged(compose.unclashing(self.placed).join(self.unread.select("batch_id").distinct(), "batch_id", "left_anti"), "sound", "zstd")
 
     @cached_property
     def good(self) -> DataFrame:
@@ -84,7 +83,7 @@ class Plan:
     @cached_property
     def layout(self) -> DataFrame:
         """The segments of all outputs, written down for the same reason."""
-        return staged(compose.segments(self.events, self.sound, self.files.select("path", "byte_length")), "layout", "zstd")
+        return staged(compose.segments(self.sound), "layout", "zstd")
 
     @cached_property
     def recipe(self) -> DataFrame:

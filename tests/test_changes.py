@@ -98,3 +98,24 @@ def test_changes_are_those_of_the_bytes(batches):
 def test_limits_put_no_output_together(batches):
     used = batches.usage().count()
     assert used == 150 and "outputs" not in batches.__dict__
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_sound_batches_are_those_without_conflicts(batches):
+    bad = {r.batch_id for r in batches.conflicts.collect()} | {r.batch_id for r in batches.placed.filter("problem is not null").collect()} | {r.batch_id for r in batches.unread.collect()}
+    got, given = batches.sound.collect(), [r for r in batches.placed.collect() if r.batch_id not in bad]
+    assert bad and given and sorted(got, key=str) == sorted(given, key=str)
+    assert exchanges(compose.unclashing(batches.placed)) == 1
+
+
+def test_segments_are_dealt_out_once(batches):
+    assert exchanges(compose.segments(batches.sound)) == 1
+    made = {(r.batch_id, r.path): r.after_length for r in batches.changes.collect()}
+    got = {}
+    for r in batches.layout.orderBy("batch_id", "path", "seg").collect():
+        got.setdefault((r.batch_id, r.path), []).append(r)
+        assert r.seg == len(got[r.batch_id, r.path]) - 1 and r.start < r.end
+    assert {k: sum(r.end - r.start for r in v) for k, v in got.items()} == {k: n for k, n in made.items() if n}
