@@ -86,7 +86,7 @@ def tree_nodes(responses: DataFrame) -> DataFrame:
             "malformed",
             "below",
         )
-        level = staged(level, "level")
+        level = staged(level, "level", wide=True)
         levels.append(level.select(*kept))
         above = level.filter("n_children > 0").select("path", "place", "depth", "symbol_path", "below")
         if above.isEmpty():
@@ -116,7 +116,7 @@ def flatten(responses: DataFrame, limits: dict[str, int] | None = None) -> DataF
     """
     bounds = LIMITS | (limits or {})
     tree = F.try_parse_json("symbols")
-    given = staged(responses.select("path", "bytes", "encoding", "symbols").withColumn("tree", tree), "responses")
+    given = staged(responses.select("path", "bytes", "encoding", "symbols").withColumn("tree", tree), "responses", wide=True)
     roots = _children(F.col("tree"), "$")
     torn = (
         F.when(F.col("symbols").isNull() | (F.col("symbols") == "") | F.is_variant_null("tree") | (F.size("roots") == 0), None)

@@ -32,8 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
 GUESSED_TYPES = "spark.sql.variant.inferShreddingSchema"
 
 
-def staged(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back; digests in hex take half their length in ``zstd``."""
+#: Compressed bytes of a row group of whole documents or trees. Spark reads up to 4,096 rows at once, but never rows of two groups.
+WIDE = 2 << 20
+
+
+def staged(df: DataFrame, label: str, codec: str = "snappy", wide: bool = False) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back; digests in hex take half their length in ``zstd``.
+
+    ``wide``: rows hold whole documents or trees. Their row groups are small, so that a reading task's memory does not grow with its rows.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspan/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(GUESSED_TYPES, None)
@@ -41,7 +48,8 @@ def staged(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     try:
         if variants:
             spark.conf.set(GUESSED_TYPES, "false")
-        df.write.option("compression", codec).parquet(path)
+        written = df.write.option("compression", codec)
+        (written.option("parquet.block.size", WIDE) if wide else written).parquet(path)
     finally:
         if variants:
             spark.conf.unset(GUESSED_TYPES) if before is None else spark.conf.set(GUESSED_TYPES, before)

@@ -76,7 +76,7 @@ def responses(spark, sf_dir):
 def _flat(spark, sf_dir):
     from .staging import staged
 
-    given = staged(responses(spark, sf_dir), "responses")
+    given = staged(responses(spark, sf_dir), "responses", wide=True)
     return given, staged(symbols.flatten(given), "flat")
 
 
