@@ -54,10 +54,12 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lines.select(F.col("doc_id").alias("s_id"), F.col("n_lines").alias("s_lines"), F.col("sha").alias("s_sha"))
     d = lines.select(F.col("doc_id").alias("d_id"), F.col("n_lines").alias("d_lines"), F.col("sha").alias("d_sha"))
     o = o.join(s, F.col("src") == F.col("s_id")).join(d, F.col("dst") == F.col("d_id"))
-    first = F.col("o_orderkey") % F.col("s_lines") + 1
+    # A document without lines has none to name: a remainder by 0 is an error where Spark is strict, and null in SQL.
+    s_count, d_count = F.nullif(F.col("s_lines"), F.lit(0)), F.nullif(F.col("d_lines"), F.lit(0))
+    first = F.col("o_orderkey") % s_count + 1
     last = F.least(first + F.floor(F.col("o_orderkey") / 5) % 2, F.col("s_lines"))
     kind = F.element_at(F.array(*map(F.lit, ("file_start", "file_end", "before_line", "after_line", "byte_offset"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    line = F.when(kind.isin("before_line", "after_line"), F.floor(F.col("o_orderkey") / 7) % F.col("d_lines") + 1)
+    line = F.when(kind.isin("before_line", "after_line"), F.floor(F.col("o_orderkey") / 7) % d_count + 1)
     u64 = "decimal(20,0)"
     return o.select(
         F.col("o_custkey").cast("string").alias("batch_id"),
